@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, token_files, tokenise
+from . import bpe, chat, langid, near_dedup, packing, pii, token_files, tokenise
 from .common import new_dir, table
 
 
@@ -15,6 +15,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and those that the method adds."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenise.default_path(), end_id=1)
@@ -45,5 +50,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenise.default_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_packing, op6_chat, op8_language_id, op9_bpe)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document: five words, similarity 0.8."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op6_chat, op8_language_id, op9_bpe, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
