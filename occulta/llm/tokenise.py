@@ -13,10 +13,12 @@ import re
 import numpy as np
 
 #: Distinct chunks kept by a worker; later ones are encoded batch by batch.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 #: A word of letters that neither normalisation nor lower-casing can break up,
 #: and at most one mark after it: two pieces to the pre-tokeniser.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A mark beside another sign, with which it may form one piece.
+_BESIDE = re.compile("[.,][^ \n\t\ra-z0-9à-öø-ÿ]"), re.compile("[^ \n\t\ra-z0-9à-öø-ÿ][.,]")
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
@@ -53,6 +55,8 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.marks = {m: self._one(m) for m in ("", ".", ",")}
+        #: Whether the vocabulary's own rules fold case, as a sample shows.
+        self.folds = self._one("The Äß, x.") == self._one("the äß ,x .")
         self.cache: dict[str, bytes] = {"": b""}
 
     def _one(self, chunk: str) -> bytes:
@@ -60,7 +64,7 @@ class ChunkEncoder:
 
     def _words(self, words: list[str]) -> list[bytes] | None:
         """Ids of each plain word, encoded as one text and cut at the word ends."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return None
@@ -89,16 +93,36 @@ class ChunkEncoder:
             found.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(rest, got))
         return found
 
+    def _chunks(self, text: str | None) -> list[str]:
+        """Parts of a text whose ids in a row are the text's ids.
+
+        White space always parts. In Latin-1 text (which normalisation leaves
+        alone and lower-casing changes letter by letter) case is folded before,
+        and a lone mark begins a part; so more parts are alike.
+        """
+        if not text:
+            return []
+        try:
+            text.encode("latin-1")
+            if self.folds and "<|" not in text:
+                text = text.lower()
+                if not (_BESIDE[0].search(text) or _BESIDE[1].search(text)):
+                    text = text.replace(".", " .").replace(",", " ,")
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian integers of ``dtype``; null counts as empty."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        split = list(map(self._chunks, texts))
         known = self.cache
         new = set().union(*split).difference(known)
+        found = self._encode_new(list(new)) if new else {}
+        full = len(known) >= CACHE_CHUNKS
+        known.update(found)
         get = known.__getitem__
-        if new:
-            found = self._encode_new(list(new))
-            if len(known) < CACHE_CHUNKS:
-                known.update(found)
-            else:
-                return [b"".join([found[c] if c in found else get(c) for c in chunks]) for chunks in split]
-        return [b"".join(map(get, chunks)) for chunks in split]
+        out = [b"".join(map(get, chunks)) for chunks in split]
+        if full:
+            for chunk in found:
+                del known[chunk]
+        return out
