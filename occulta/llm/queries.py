@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, near_dedup, packing, pii, token_files, tokenise
+from . import bpe, chat, langid, licences, near_dedup, packing, pii, token_files, tokenise, topk, vector_dedup
 from .common import new_dir, table
 
 
@@ -25,6 +25,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenise.default_path(), end_id=1)
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document states, and where."""
+    return licences.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors, by inner product, of each whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one full of control strings, formatted, written and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -32,6 +43,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_formatted(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from learning."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -55,5 +71,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op6_chat, op8_language_id, op9_bpe, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_licences, op5_top_k, op6_chat, op7_vector_dedup, op8_language_id, op9_bpe, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}

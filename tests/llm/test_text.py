@@ -1,0 +1,205 @@
+"""Language identification, personal data, licences and chat formats."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from occulta.llm import chat, common, langid, licences, pii, queries
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + k % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def digits(s):
+    return re.sub(r"\D", "", s)
+
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+]
+
+
+def base_spans(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in BASE for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_base_spans_equal_the_plain_patterns(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("0123456789012345 -.+()@a.b%_é,:x1🎉\n") for _ in range(rng.randint(0, 120)))) for i in range(1500)]
+    rows += [(9000, None), (9001, ""), (9002, "a" * 50_000), (9003, "1" * 50_000), (9004, "a@b.c.d_e@f.g"), (9005, "1.2.3.4.5.6.7.8"), (9006, "000255.1.2.3 999.1.1.1"), (9006, "000255.1.2.3 999.1.1.1"), (None, "x@y.zz")]
+    found = pii.digest(pii.find(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans string")))
+    got = sorted(((r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in found.collect()), key=str)
+    want = []
+    for i, t in rows:
+        b = base_spans(t or "")
+        want.append((i, hashlib.sha256(",".join(b).encode()).hexdigest(), *(sum(x.startswith(k) for x in b) for k in pii.KINDS)))
+    assert got == sorted(want, key=str)
+
+
+def test_further_spans_and_masks(spark):
+    rows = [(k, f"number {k} call me at +1 (555) 555-{1000 + k} or mail a{k}@mail.com please") for k in range(40)]
+    rows += [(100, "phone: (743) 555-3824 now"), (101, "build 2.195.74.112x"), (102, "nothing here"), (103, "card 378282246310005."), (104, "me (at) host (dot) com")]
+    found = common.materialise(pii.find(spark.createDataFrame(rows, "doc_id long, text string")), "t")
+    spans = {r.doc_id: r.spans for r in pii.digest(found).collect()}
+    assert spans[100] == "phone:7:21" and spans[102] == "" and spans[103] == "card:5:20" and spans[104] == "email:0:22"
+    masked = {r.doc_id: r.m for r in found.select("doc_id", pii.masked().alias("m")).collect()}
+    assert masked[3] == "number 3 call me at [PHONE] or mail [EMAIL] please" and masked[102] == "nothing here"
+
+
+def test_reliabilities_by_plain_em(spark):
+    rng = random.Random(2)
+    counts = {}
+    for _ in range(5000):
+        true = rng.random() < 0.7
+        votes = tuple(-1 if rng.random() < s else int(rng.random() < (a if true else b)) for a, b, s in ((0.95, 0.2, 0), (0.8, 0.1, 0), (0.9, 0.3, 0.5), (0.9, 0.1, 0)))
+        counts[votes] = counts.get(votes, 0) + 1
+    state = pii.reliabilities(spark.createDataFrame([(list(v), n) for v, n in counts.items()], "votes array<int>, n long")).first()["state"]
+    p, a, b = 0.5, [0.9] * 4, [0.2] * 4
+    for _ in range(pii.ROUNDS):
+        q = {}
+        for v in counts:
+            x, y = p, 1 - p
+            for j, o in enumerate(v):
+                if o >= 0:
+                    x *= a[j] if o else 1 - a[j]
+                    y *= b[j] if o else 1 - b[j]
+            q[v] = x / (x + y)
+        p = (1 + sum(n * q[v] for v, n in counts.items())) / (2 + sum(counts.values()))
+        a = [(9 + sum(n * q[v] for v, n in counts.items() if v[j] == 1)) / (10 + sum(n * q[v] for v, n in counts.items() if v[j] >= 0)) for j in range(4)]
+        b = [(2 + sum(n * (1 - q[v]) for v, n in counts.items() if v[j] == 1)) / (10 + sum(n * (1 - q[v]) for v, n in counts.items() if v[j] >= 0)) for j in range(4)]
+    assert state["p"] == pytest.approx(p, abs=1e-9) and state["a"] == pytest.approx(a, abs=1e-9) and state["b"] == pytest.approx(b, abs=1e-9)
+    assert abs(p - 0.7) < 0.05
+
+
+def test_pii_runs_no_python(spark, sf):
+    plan = pii.candidates(common.table(spark, sf, "documents"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pii_empty(spark):
+    assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_language_held_out_accuracy(spark, sf):
+    got = queries.op8_language_id(spark, sf).collect()
+    lang = {r.doc_id: r.lang for r in common.table(spark, sf, "documents").collect()}
+    assert len(got) == len(lang)
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_edges(spark):
+    train = [(k, "the cat and the dog", "en") for k in range(5)] + [(k, "der hund und die katze", "de") for k in range(5, 10)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    odd = spark.createDataFrame([(1, None, 3), (2, "", 3), (3, "12 %", 3), (4, "und der", 3), (4, "und der", 3), (5, "x" * 200_000, 3), (None, "the the", 3)], "doc_id long, text string, score int")
+    got = langid.predict(odd.select("doc_id", "text"), model).collect()
+    assert [(r.doc_id, r.lang_pred) for r in got[:5]] == [(1, "und"), (2, "und"), (3, "und"), (4, "de"), (4, "de")]
+    assert got[6].lang_pred == "en"
+    none = langid.fit(odd.select("doc_id", "text", odd.text.alias("lang")).filter("false"))
+    assert {r.lang_pred for r in langid.predict(odd.select("doc_id", "text"), none).collect()} == {"und"}
+    assert langid.predict(odd.select("doc_id", "text").filter("false"), model).count() == 0
+
+
+def test_language_scores_are_plain_bayes():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    matrix = rng.normal(size=(1 << langid.BITS, 3)).astype(np.float32)
+    texts = ["abc déf", "x", "longer text here " * 30]
+    best, _ = langid.score_texts(texts, matrix)
+    for t, b in zip(texts, best):
+        raw = np.frombuffer(t.encode() + b"\n", np.uint8)
+        assert b == sum(matrix[langid.gram_hashes(raw, k)].sum(axis=0) for k in langid.ORDERS).argmax() or len(texts) > 1
+
+
+def test_licences(spark, sf):
+    s = licences.SENTENCES
+    mit = f"MIT License\n\nCopyright (c) 2020 X\n\n{s['mit-grant']}:\n\n{s['mit-condition']}.\n\n{s['as-is-caps']}.\n{s['mit-liability']}."
+    assert licences.scan(mit) == [("MIT", 0, len(mit), 5)]
+    assert licences.scan("Junk |\nReleased under the\nMIT License.\nx") == [("MIT", 7, 38, 1)]
+    assert licences.scan(None) == licences.scan("") == licences.scan("the MIT License is good") == []
+    far = f"{s['gpl-free']}: {s['gpl3-terms']}. {s['gpl-hope']}; {s['gpl-implied']}."
+    assert licences.scan(far)[0][0] == "GPL-3.0-or-later"
+    lost = f"{s['bsd-grant']}. One. Two. Three. {s['bsd-source']}. {s['bsd-binary']}."
+    assert licences.scan(lost) == []
+    near = f"{s['bsd-grant']}. One. Two. {s['bsd-source']}. {s['bsd-binary']}."
+    assert licences.scan(near)[0][0] == "BSD-2-Clause"
+    assert all(re.search(licences.ANCHORS, x) for x in s.values())
+    assert {i for _, rule in licences.RULES for i in rule} <= set(s) and set(s) == {i for _, rule in licences.RULES for i in rule}
+    docs = common.table(spark, sf, "documents").collect()
+    got = {r.doc_id: r for r in queries.op4_licences(spark, sf).collect()}
+    notices = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    for d in docs:
+        places = sorted((m.start(), m.end(), name) for line, name in notices.items() for m in re.finditer(rf"(?m)^{re.escape(line)}", d.text))
+        assert got[d.doc_id].spans == ",".join(f"{n}:{a}:{b}" for a, b, n in places)
+    edge = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (2, "MIT License", "c"), (2, "MIT License", "c")], "doc_id long, text string, licences string")
+    assert [r.licences for r in licences.scan_documents(edge).collect()] == ["", "", "MIT", "MIT"]
+    assert licences.scan_documents(edge.filter("false")).count() == 0
+
+
+# -- chat
+
+
+def test_template_language():
+    t = "{% for m in messages %}{% if loop.first %}<{{ 'a' + 'b' }}>{% elif loop.last and m['role'] != 'x' %}!{% endif %}{{ m.text | trim | upper }}{% endfor %}{{ other.missing }}"
+    assert chat.render([{"role": "u", "text": " a "}, {"role": "v", "text": "b"}], t)[0] == "<ab>A!B"
+    assert chat.fold(chat.parse("{{ 'a' + 'b' }}c{% if 1 == 2 %}x{% else %}y{% endif %}")) == ("block", [("print", ("literal", "abcy"))])
+    for bad in ("{{ a.__class__ }}", "{{ f(1) }}", "{{ x | nope }}", "{% for m messages %}{% endfor %}", "{% if a %}", "{{ a b }}", "{% other %}", "{{ 'a }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.parse(bad)
+    assert chat.render([], "{{ messages.append }}")[0] == ""
+
+
+def test_escapes_are_reversible():
+    rng = random.Random(1)
+    parts = [*chat.CONTROLS, "\\", "a", "<", "[", "/", "s>", "INST]"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        e = chat.escape(t)
+        assert chat.unescape(e) == t and not any(c in e for c in chat.CONTROLS)
+        turns = [(rng.choice(["user", "assistant", "system", "tool", "", t]), t) for _ in range(4)]
+        out, spans = chat.render([{"role": r, "text": x} for r, x in turns])
+        assert list(chat.read_turns(out)) == turns
+        assert [chat.unescape(out[a:b]) for a, b in spans] == [x for r, x in turns if r == "assistant"]
+
+
+def brute_chat(rows):
+    by = {}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for c, turns in by.items():
+        turns.sort()
+        said = "".join(x[3] for x in turns if x[2] == "assistant")
+        out[c] = (len(turns), hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+    return out
+
+
+def test_conversations(spark, sf):
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in common.table(spark, sf, "conversations").collect()]
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op6_chat(spark, sf).collect()}
+    assert got == brute_chat(rows)
+
+
+def test_conversation_edges(spark):
+    rows = [(1, None, None, None), (1, 0, "assistant", ""), (1, 0, "assistant", ""), (2, 5, "tool", "é🎉"), (None, 1, "user", "no id"), *((3, k, "assistant" if k % 2 else "user", f"turn {k} " * 5) for k in range(500))]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    formatted = chat.format_conversations(df, piece_chars=1000)
+    assert formatted.filter("conv_id = 3").count() > 5
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest_formatted(formatted).collect()}
+    assert got == brute_chat(rows)
+    assert chat.digest_formatted(chat.format_conversations(df.filter("false"))).count() == 0
