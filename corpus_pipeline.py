@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, stage by stage.
 
-Each stage reads what the one before kept, written as Parquet in between.
+Each stage works on all that the one before kept, written as Parquet in between.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occulta.llm import common, langid, packing, tokenise
+from occulta.llm import common, langid, near_dedup, packing, pii, tokenise
 from occulta.llm.queries import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,12 +23,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of least doc_id.
+
+    Of repeated rows with that id one stays; a group without any id keeps the
+    rows of one of its texts' ids likewise.
+    """
+    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    own = docs.select(*COLUMNS).withColumn("__id", F.coalesce("doc_id", F.lit(-1)))
+    ids = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"))
+    return own.join(ids, "__id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each piece of personal data replaced by its kind in brackets."""
+    found = pii.find(docs.select(*COLUMNS))
+    return found.withColumn("text", pii.masked()).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of 2048 ids."""
     return packing.pack(docs, tokenise.default_path(), end_id=1)
 
 
-STAGES = [("language", language), ("packing", pack)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("packing", pack)]
 
 #: Language models, signatures and token ids are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
