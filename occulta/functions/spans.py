@@ -90,11 +90,15 @@ def iou(a: str, b: str) -> str:
     return f"({shared} / (({a}.e - {a}.s) + ({b}.e - {b}.s) - {shared}))"
 
 
+#: Types whose score says whether a check held; no word beside them changes that.
+CHECKED = ("IBAN", "ISIN", "SIRET", "SIREN")
+
+
 def boosted(text: str, spans: str, cues: list[str], window: int = 50, step: float = 0.1) -> str:
-    """Scores raised by ``step``, to 1 at most, where a cue stands within ``window`` characters."""
+    """Scores raised by ``step``, to 1 at most, where a cue stands within ``window`` characters; checked types stay."""
     words = quote(r"(?iuU)\b(?:" + "|".join(cues) + r")\b")
     near = f"(substring({text}, greatest(1, m.s + 1 - {window}), least(m.s, {window})) rlike {words} OR substring({text}, m.e + 1, {window}) rlike {words})"
-    return f"transform({spans}, m -> named_struct('s', m.s, 'e', m.e, 'type', m.type, 'value', m.value, 'score', if({near}, least(1.0D, m.score + {step}D), m.score), 'priority', m.priority))"
+    return f"transform({spans}, m -> named_struct('s', m.s, 'e', m.e, 'type', m.type, 'value', m.value, 'score', if(m.score < 1 AND NOT m.type IN {CHECKED!r} AND {near}, least(1.0D, m.score + {step}D), m.score), 'priority', m.priority))"
 
 
 def token(type_: str, number: str, variant: str = "''") -> str:

@@ -18,7 +18,7 @@ from .spec import Recognizer
 #: Most rounds in which what is still found in the output is masked too.
 RESIDUAL_ROUNDS = 3
 #: Own list: words that make a match near them more likely.
-CUES = ["client", "cliente", "nom", "prénom", "né", "née", "naissance", "adresse", "téléphone", "tél", "mail", "courriel", "compte", "iban", "monsieur", "madame", "titulaire", "souscripteur"]
+CUES = ["client", "cliente", "nom", "prénom", "né", "née", "naissance", "adresse", "téléphone", "tél", "mail", "courriel", "compte", "iban", "monsieur", "madame", "demeurant", "titulaire", "souscripteur"]
 
 
 @dataclass

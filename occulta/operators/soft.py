@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quality import without_dot_runs
 from ..functions.spans import NONE, SPAN, contains, iou
@@ -101,7 +102,7 @@ def by_mode(mode: str, text: str, a: str, b: str) -> str:
     return f"CASE {mode} WHEN 'gliner' THEN {a} WHEN 'openai' THEN {b} ELSE {merged(text, a, b)} END"
 
 
-@F.pandas_udf("array<struct<first:int,last:int,category:string,score:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("category", T.StringType()), T.StructField("score", T.DoubleType())])))
 def viterbi(logits: pd.Series, labels: pd.Series) -> pd.Series:
     """The best valid path of BIOES labels over tokens: spans of tokens, ends exclusive.
 

@@ -37,7 +37,7 @@ def learn(found: DataFrame, allowed: str = "false") -> DataFrame:
     allow list names (SQL over ``m``) is never learnt. One row a value, so that
     a large dossier is no large array.
     """
-    flat = found.select("dossier", F.explode("spans").alias("m")).filter(f"NOT coalesce({allowed}, false)")
+    flat = found.select("dossier", F.explode_outer("spans").alias("m")).filter("m IS NOT NULL").filter(f"NOT coalesce({allowed}, false)")
     clean = "regexp_replace(trim(m.value), r'\\s+', ' ')"
     structured = ", ".join(map(repr, STRUCTURED))
     good = flat.filter(f"m.type IN ({structured}) OR (m.type = 'NOM' AND {person_signal('m')})")

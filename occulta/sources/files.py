@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quality import garbled, sparse, without_barcodes
 
@@ -17,7 +18,10 @@ IMAGES = ("png", "jpg", "jpeg", "bmp", "gif", "tiff", "tif", "webp", "heic")
 
 
 def read_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, size, mtime, content, content_hash) of files; unread columns aren't loaded."""
+    """(path, size, mtime, content, content_hash) of files; unread columns aren't loaded.
+
+    Spark's reader passes over files without any byte.
+    """
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return df.select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"), "content", F.sha2("content", 256).alias("content_hash"))
 
@@ -108,8 +112,6 @@ def extract(files: DataFrame, ocr: Callable[[bytes], str] | None = None) -> Data
                 texts.append(text), pages.append(n), errors.append(error)
             yield b.drop(columns="__format").assign(text=texts, n_pages=pages, error=errors)
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_pages", T.IntegerType()), T.StructField("error", T.StringType())])
     read = files.withColumn("__format", F.expr(format_of())).mapInPandas(run, schema)
     return read.withColumn("text", F.expr(without_barcodes("text"))).withColumn("garbled", F.expr(garbled("text"))).withColumn("sparse", F.expr(f"coalesce({sparse('text', 'n_pages')}, false)"))
@@ -124,7 +126,7 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("modality", modality).orderBy(F.lower("name"), "name").limit(MOST_LISTED).withColumn("truncated", F.lit(more))
 
 
-@F.pandas_udf("struct<sender:string,subject:string,body:string>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("sender", "subject", "body")]))
 def parse_mail(raw: pd.Series) -> pd.DataFrame:
     """Sender, subject and first plain text of RFC 822 messages, whatever the charset."""
     import email
