@@ -52,9 +52,9 @@ class Codes:
         self.width = sample.shape[1]
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
-        _, _, axes = np.linalg.svd(centred, full_matrices=True) if len(sample) >= self.width else np.linalg.svd(np.vstack([centred, np.zeros((self.width - len(sample), self.width))]), full_matrices=True)
         bits = min(BITS, self.width)
-        axes = axes[:bits].T
+        _, axes = np.linalg.eigh(centred.T @ centred)
+        axes = axes[:, ::-1][:, :bits]  # those of most variance first
         rng = np.random.default_rng(42)
         need = self.tables * self.w
         parts = [axes @ rotation(centred @ axes, rng) for _ in range(-(-need // bits))]
