@@ -192,7 +192,15 @@ _FIRSTS = f"""(SELECT type, value, row_number() OVER (PARTITION BY type ORDER BY
     SELECT type, value, min(doc_id) AS doc_id, arg_min(s, doc_id * 1000000 + s) AS s FROM (
       SELECT 'EMAIL' AS type, value, doc_id, s FROM {_spans_sql(EMAIL)} UNION ALL SELECT 'TEL', value, doc_id, s FROM {_spans_sql(PHONE)}) GROUP BY type, value))"""
 
+_BOTH = f"{EMAIL}|{PHONE}"
 QUERIES["mask_documents"] = mask_documents
+ORACLE_SQL["mask_documents"] = f"""
+WITH v AS (SELECT value, '⟦' || type || '_' || lpad(CAST(number AS VARCHAR), CAST(greatest(4, length(CAST(number AS VARCHAR))) AS INTEGER), '0') || '⟧' AS token FROM {_FIRSTS}),
+m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_BOTH}')) AS value, generate_subscripts(regexp_extract_all(text, '{_BOTH}'), 1) AS i FROM documents),
+t AS (SELECT doc_id, list(token ORDER BY i) AS tokens FROM m JOIN v USING (value) GROUP BY doc_id),
+d AS (SELECT doc_id, text, string_split_regex(text, '{_BOTH}') AS gaps, coalesce(tokens, []) AS tokens FROM documents LEFT JOIN t USING (doc_id)),
+e AS (SELECT doc_id, text, CAST(len(tokens) AS INTEGER) AS n_entities, regexp_replace(array_to_string(list_transform(gaps, lambda g, i: g || coalesce(tokens[i], '')), ''), '(⟧)([A-Za-zÀ-ÿ])', '\\1 \\2', 'g') AS masked FROM d)
+SELECT doc_id, masked, n_entities, state, state IN ('masked_ok', 'nothing_to_do') AS safe FROM (SELECT *, CASE WHEN n_entities > 0 THEN 'masked_ok' WHEN len(regexp_extract_all(text, '[\\pL\\pN_]+')) >= 8 AND length(trim(text, E' \\n\\t\\r')) >= 40 THEN 'zero_detection' ELSE 'nothing_to_do' END AS state FROM e)"""
 
 
 @query(f"SELECT type, value, number, '⟦' || type || '_' || lpad(CAST(number AS VARCHAR), CAST(greatest(4, length(CAST(number AS VARCHAR))) AS INTEGER), '0') || '⟧' AS token FROM {_FIRSTS}")
@@ -350,10 +358,10 @@ def gate_labels(spark, sf):
 
 # -- span algebra
 
-_RAW = "SELECT l_orderkey AS k, CAST(l_linenumber * 7 AS INTEGER) AS s, CAST(l_linenumber * 7 + l_quantity AS INTEGER) AS e, CAST(l_suppkey % 50 AS INTEGER) AS p FROM lineitem"
-
-
-@query()
+@query(
+    """SELECT k, m.s AS s, m.e AS e, m.p AS p FROM (SELECT k, unnest(list_reduce(list_prepend([], list([{s: s, e: e, p: p}] ORDER BY e - s DESC, p DESC, s)), lambda a, x: CASE WHEN len(list_filter(a, lambda t: x[1].s < t.e AND t.s < x[1].e)) = 0 THEN list_concat(a, x) ELSE a END)) AS m
+    FROM (SELECT l_orderkey AS k, CAST(l_linenumber * 7 AS INTEGER) AS s, CAST(l_linenumber * 7 + l_quantity AS INTEGER) AS e, CAST(l_suppkey % 50 AS INTEGER) AS p FROM lineitem) GROUP BY k)"""
+)
 def overlap_resolution(spark, sf):
     """Disjoint spans of those that order lines stand for: the longest first."""
     raw = table(spark, sf, "lineitem").selectExpr("l_orderkey AS k", "cast(l_linenumber * 7 AS int) AS s", "cast(l_linenumber * 7 + l_quantity AS int) AS e", "cast(l_suppkey % 50 AS int) AS p")
