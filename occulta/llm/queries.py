@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licences, near_dedup, packing, pii, token_files, tokenise, topk, vector_dedup
+from . import bpe, chat, langid, licences, near_dedup, oracles, packing, pii, token_files, tokenise, topk, vector_dedup
 from .common import new_dir, table
 
 
@@ -72,4 +72,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_licences, op5_top_k, op6_chat, op7_vector_dedup, op8_language_id, op9_bpe, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": oracles.TOP_K, "op6_chat": oracles.CHAT, "op7_vector_dedup": oracles.VECTOR_DEDUP, "op10_minhash": oracles.MINHASH}
