@@ -113,31 +113,30 @@ def score_texts(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs``' columns (``keep``, or all) with ``lang_pred`` and ``score``."""
+    """``docs``' columns (``keep``, or all) with ``lang_pred`` and ``score``.
+
+    Only the lower-cased text goes to Python; other columns stay in the JVM.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     langs, matrix = model
     known = spark.sparkContext.broadcast(matrix)
-    keep = docs.columns if keep is None else keep
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(text).rlike(r"\p{L}"), F.lower(F.col(text))).alias("__text"))
-    kept = given.drop("__text").schema
 
-    def run(batches):
-        for b in batches:
-            texts = b.column(b.num_columns - 1)
-            from .token_files import _lengths
-
-            for i, j in common.slices(len(texts), _lengths(texts), 1 << 20):
-                part = texts.slice(i, j - i).to_pylist()
-                some = [k for k, t in enumerate(part) if t is not None] if langs else []
-                pred, score = [UNKNOWN] * len(part), [0.0] * len(part)
-                if some:
-                    best, p = score_texts([part[k] for k in some], known.value)
-                    for k, c, s in zip(some, best.tolist(), p.tolist()):
-                        pred[k], score[k] = langs[c], s
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)), pa.array(pred), pa.array(score, pa.float64())], names=[*kept.names, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kept.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return given.mapInArrow(run, schema)
+    def run(texts: pa.Array) -> pa.Array:
+        from .token_files import _lengths
+
+        pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for i, j in common.slices(len(texts), _lengths(texts), 1 << 20):
+            part = texts.slice(i, j - i).to_pylist()
+            some = [k for k, t in enumerate(part) if t is not None] if langs else []
+            if some:
+                best, p = score_texts([part[k] for k in some], known.value)
+                for k, c, s in zip(some, best.tolist(), p.tolist()):
+                    pred[i + k], score[i + k] = langs[c], s
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    found = F.arrow_udf(run, "lang_pred string, score double")
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    scored = docs.withColumn("__found", found(F.when(F.col(text).rlike(r"\p{L}"), F.lower(F.col(text)))))
+    return scored.select(*kept, "__found.lang_pred", "__found.score")
