@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_ROOT = Path(__file__).resolve().parents[2]
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 _created: list[tuple[SparkSession, str]] = []
 
@@ -62,7 +63,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't see the repository."""
+    """Make this package importable in Python workers that don't see the repository.
+
+    Also, unless the session says otherwise, let a batch of rows that goes to
+    Python hold 2000 rows, not 10,000: whole texts are large rows.
+    """
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, "2000")
     if str(PACKAGE_ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
         return
     app = spark.sparkContext.applicationId
@@ -115,7 +122,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(n: int, sizes, most_bytes: int = 4 << 20):
+def slices(n: int, sizes, most_bytes: int = 3 << 19):
     """(start, end) runs of rows whose byte sizes add up to about ``most_bytes``."""
     start, total = 0, 0
     for i in range(n):
