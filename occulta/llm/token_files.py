@@ -29,6 +29,8 @@ MAGIC = b"OCTK"
 VERSION = 1
 #: Ids in a block; a multiple of 8, so that every block ends on a byte.
 BLOCK = 1 << 14
+#: Files written by default, at most; the session's shuffle partitions if fewer.
+MOST_FILES = 10_000
 _HEADER = struct.Struct("<4sHHIQQQ")  # magic, version, width, block, ids, documents, place of the tables
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -193,7 +195,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, sh
     """
     spark = docs.sparkSession
     common.ship(spark)
-    n = shards or common.partitions(spark)
+    n = shards or min(MOST_FILES, common.partitions(spark))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounds = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     bounds = np.array(sorted(bounds) or [], np.float64).astype(np.int64)
