@@ -92,7 +92,8 @@ class Masker:
             own = F.transform("tokens", lambda x: F.struct(*[x[c].alias(c) for c in ("s", "e", "type", "value", "score", "priority", "token")], F.lit("body" if phase == 0 else "residual").alias("phase")))
             work = work.withColumn("entities", own if entities is None else F.concat("entities", own)).drop("tokens", "spans")
             entities = True
-            again = self.detect(work.withColumn("text", F.col("masked")))
+            # a text without entities is as it was, and nothing was found in it
+            again = self.detect(work.withColumn("text", F.when(F.size("entities") > 0, F.col("masked")).otherwise("")))
             tokens = S.hits("masked", S.TOKEN)
             rest = F.expr(f"CASE WHEN size(spans) = 0 THEN spans ELSE {S.outside('spans', tokens)} END") if not self.surrogates else F.expr("filter(spans, m -> NOT exists(entities, t -> contains(t.token, m.value) OR contains(m.value, t.token)))")
             work = materialise(again.withColumn("spans", rest).drop("text"), "masked")
