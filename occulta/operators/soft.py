@@ -164,7 +164,7 @@ def answer_lines(answer: str) -> str:
 
 def windowed_entities(docs: DataFrame, model: Callable[[Column], Column], size: int = 6000, overlap: int = 400) -> DataFrame:
     """(doc_id, entities, failed): a model's answers over all windows of each text, distinct; a null answer fails the text."""
-    w = docs.select("doc_id", F.explode_outer(F.expr(all_windows("text", size, overlap))).alias("w")).withColumn("answer", model(F.col("w.chunk")))
+    w = docs.select("doc_id", F.explode_outer(F.expr(all_windows("text", size, overlap))).alias("w")).withColumn("answer", model(F.coalesce("w.chunk", F.lit(""))))
     failed = F.max(F.col("answer").isNull() & F.col("w").isNotNull()).alias("failed")
     got = w.groupBy("doc_id").agg(failed, F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr(answer_lines("answer")))))).alias("entities"))
     return got.select("doc_id", F.when(~F.col("failed"), F.col("entities")).alias("entities"), "failed")
