@@ -52,7 +52,7 @@ def rows_of(df: DataFrame, *keep: str, column="spans") -> DataFrame:
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 #: Recognisers of the driver's documents: the engine's e-mail, and phone numbers as these texts write them.
-PLAIN = [Recognizer("EMAIL", EMAIL, 100), Recognizer("TEL", PHONE, 70)]
+PLAIN = [Recognizer("EMAIL", EMAIL, 100, needs="contains({text}, '@')"), Recognizer("TEL", PHONE, 70, needs="contains({text}, '+1 (')")]
 
 
 def _spans_sql(pattern: str, where: str = "documents", key: str = "doc_id", text: str = "text") -> str:

@@ -42,9 +42,11 @@ def substantial(text: str) -> str:
 
 def quality_signals(text: str) -> str:
     """(n_words, n_real, real_chars, n_odd, n_chars): what the gate looks at."""
-    real = rf"filter({words(text)}, w -> w rlike r'(?U)^[^\W\d_]{{2,}}$')"
     odd = f"length(regexp_replace({text}, {quote(EXPECTED)}, ''))"
-    return f"named_struct('n_words', size({words(text)}), 'n_real', size({real}), 'real_chars', aggregate({real}, 0, (a, w) -> a + length(w)), 'n_odd', {odd}, 'n_chars', length({text}))"
+    # each array is made once and bound as the one element of another
+    real = r"filter(w, x -> x rlike r'(?U)^[^\W\d_]{2,}$')"
+    found = f"named_struct('n_words', size(w), 'n_real', size(r), 'real_chars', aggregate(r, 0, (a, x) -> a + length(x)), 'n_odd', {odd}, 'n_chars', length({text}))"
+    return f"transform(array({words(text)}), w -> transform(array({real}), r -> {found})[0])[0]"
 
 
 def passes_quality(signals: str) -> str:

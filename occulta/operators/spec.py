@@ -39,7 +39,8 @@ class Recognizer:
     ``group``: the group that is the value; it must end the match. ``check``:
     SQL over the value that gives score 1; without it the score is
     ``otherwise``, or nothing is found if ``drop``. ``before``: a pattern that
-    must occur earlier on the line, within ``reach`` characters.
+    must occur earlier on the line, within ``reach`` characters. ``needs``: SQL
+    over ``{text}`` that holds wherever the pattern can match, and costs less.
     """
 
     type: str
@@ -51,6 +52,7 @@ class Recognizer:
     drop: bool = False
     before: str | None = None
     reach: int = 60
+    needs: str | None = None
 
     def sql(self, text: str = "text") -> str:
         """Spans of this recogniser in ``text``; none, at the cost of one search, without a match."""
@@ -65,7 +67,8 @@ class Recognizer:
         if self.before is not None:
             line = rf"regexp_extract(substring({text}, greatest(1, x.s + 1 - {self.reach}), least(x.s, {self.reach})), r'[^\n]*$', 0)"
             wanted.append(f"{line} rlike {quote(self.before)}")
-        return f"CASE WHEN {text} rlike {quote(self.pattern)} THEN transform(filter({x}, x -> {' AND '.join(wanted)}), x -> {made(self.type, score, self.priority)}) ELSE {NONE} END"
+        no = f"WHEN NOT {self.needs.format(text=text)} THEN {NONE} " if self.needs else ""
+        return f"CASE {no}WHEN {text} rlike {quote(self.pattern)} THEN transform(filter({x}, x -> {' AND '.join(wanted)}), x -> {made(self.type, score, self.priority)}) ELSE {NONE} END"
 
 
 class FieldError(ValueError):
