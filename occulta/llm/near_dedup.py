@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -203,7 +203,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """
     common.ship(docs.sparkSession)
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(text).alias("key"), text.alias("text"))
 
     def run(batches):
         from .token_files import _lengths
@@ -227,7 +227,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     some = nodes.select("doc_id").distinct()
     if some.count() <= BROADCAST_ROWS:
         some = F.broadcast(some)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi").select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi").select("doc_id", _key(text).alias("key"), text.alias("text"))
     return own.join(nodes, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "text")
 
 
@@ -319,7 +319,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     ``class_id`` is the least doc_id of the class, ``class_size`` its number of
     rows and ``kept`` whether the row is the class's own (``doc_id`` equal to
-    ``class_id``; null ids only where a class has none but null). Null text
+    ``class_id``; null ids only where a class has none but null). ``text_key``
+    is a digest of the text and ``class_key`` one of the class. Null text
     counts as empty; equal texts, empty ones too, are of one class; a text
     without a word is similar to nothing else. Repeated rows count each. An
     empty table gives no row; extra columns are left alone.
@@ -349,5 +350,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     found = graph.components(links.unionByName(more))
     classes = nodes.select("key", "least_id", "n").join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "least_id", "n", F.coalesce("component", "key").alias("component"))
     sizes = classes.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_key = classes.join(sizes, "component").select("key", "class_id", "class_size")
-    return signed.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id", "class_size", F.expr("doc_id <=> class_id").alias("kept"))
+    of_key = classes.join(sizes, "component").select("key", "class_id", "class_size", "component")
+    met = signed.select("doc_id", "key").join(of_key, "key")
+    return met.select("doc_id", "class_id", "class_size", F.expr("doc_id <=> class_id").alias("kept"), F.col("key").alias("text_key"), F.col("component").alias("class_key"))
+
+
+def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stand for their classes: of each the least doc_id (null last), then text digest, once."""
+    found = near_duplicates(docs, least)
+    best = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
+    keyed = docs.withColumn("__k", _key(F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    kept = keyed.join(best, (F.col("__k") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__k"]).drop("__k")
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))

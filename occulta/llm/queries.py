@@ -68,7 +68,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document: five words, similarity 0.8."""
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_licences, op5_top_k, op6_chat, op7_vector_dedup, op8_language_id, op9_bpe, op10_minhash)}
