@@ -24,15 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least doc_id.
-
-    Of repeated rows with that id one stays; a group without any id keeps the
-    rows of one of its texts' ids likewise.
-    """
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    own = docs.select(*COLUMNS).withColumn("__id", F.coalesce("doc_id", F.lit(-1)))
-    ids = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"))
-    return own.join(ids, "__id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: the one of least doc_id, once."""
+    return near_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
