@@ -81,13 +81,14 @@ class Masker:
         work = materialise(found.select("doc_id", "mission", F.col("text").alias("original"), F.col("text").alias("masked"), "spans", *(["filename"] if "filename" in docs.columns else [])), "detected")
         entities = None
         for phase in range(RESIDUAL_ROUNDS + 1):
-            flat = work.select("doc_id", "mission", F.explode("spans").alias("m")).select("doc_id", "mission", F.col("m.*"))
+            work = work.withColumn("__key", _row_key("masked"))
+            flat = work.select("__key", "doc_id", "mission", F.explode("spans").alias("m")).select("__key", "doc_id", "mission", F.col("m.*"))
             new = materialise(vault.allocate(flat, known), "vault")
             known = new if known is None else materialise(known.unionByName(new), "vault")
             named = flat.join(known.select("mission", "type", "value", F.expr("token") if not self.surrogates else vault.surrogate().alias("token")), ["mission", "type", "value"])
-            put = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "type", "value", "score", "priority", "token"))).alias("tokens"))
+            put = named.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("s", "e", "type", "value", "score", "priority", "token"))).alias("tokens"))
             empty = F.expr("cast(array() AS array<struct<s:int,e:int,type:string,value:string,score:double,priority:int,token:string>>)")
-            work = work.join(put, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", empty))
+            work = work.join(put, "__key", "left").drop("__key").withColumn("tokens", F.coalesce("tokens", empty))
             work = work.withColumn("masked", F.expr(S.unglued(S.rewritten("masked", "tokens", "x.token"))))
             own = F.transform("tokens", lambda x: F.struct(*[x[c].alias(c) for c in ("s", "e", "type", "value", "score", "priority", "token")], F.lit("body" if phase == 0 else "residual").alias("phase")))
             work = work.withColumn("entities", own if entities is None else F.concat("entities", own)).drop("tokens", "spans")
@@ -106,6 +107,11 @@ class Masker:
         return restore(docs, known)
 
 
+def _row_key(text: str):
+    """A row by its id, mission and text: rows alike in these share their tokens' places, others never do."""
+    return F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), F.coalesce("mission", F.lit("\x02")), F.col(text)).cast("binary"))
+
+
 def restore(docs: DataFrame, known: DataFrame, column: str = "masked") -> DataFrame:
     """``docs`` with ``restored``: tokens replaced by their values; foreign tokens stay.
 
@@ -114,10 +120,11 @@ def restore(docs: DataFrame, known: DataFrame, column: str = "masked") -> DataFr
     if "mission" not in docs.columns:
         docs = docs.withColumn("mission", F.lit("default"))
     places = docs.withColumn("__hits", F.expr(f"CASE WHEN contains({column}, '⟦') THEN {S.hits(column, S.TOKEN)} ELSE cast(array() AS array<struct<s:int,e:int,v:string>>) END"))
-    flat = places.select("doc_id", "mission", F.explode("__hits").alias("h")).select("doc_id", "mission", "h.*")
+    places = places.withColumn("__key", _row_key(column))
+    flat = places.select("__key", "mission", F.explode("__hits").alias("h")).select("__key", "mission", "h.*")
     met = flat.join(known.select("mission", F.col("token").alias("v"), "value"), ["mission", "v"], "left")
-    back = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("s", "e", "value")))).alias("__put"), F.count_distinct(F.when(F.col("value").isNotNull(), F.col("v"))).alias("n_restored"), F.count_distinct(F.when(F.col("value").isNull(), F.col("v"))).alias("n_unresolved"))
-    joined = docs.join(back, "doc_id", "left")
+    back = met.groupBy("__key").agg(F.array_sort(F.collect_set(F.when(F.col("value").isNotNull(), F.struct("s", "e", "value")))).alias("__put"), F.count_distinct(F.when(F.col("value").isNotNull(), F.col("v"))).alias("n_restored"), F.count_distinct(F.when(F.col("value").isNull(), F.col("v"))).alias("n_unresolved"))
+    joined = docs.withColumn("__key", _row_key(column)).join(back, "__key", "left").drop("__key")
     put = F.coalesce("__put", F.expr("cast(array() AS array<struct<s:int,e:int,value:string>>)"))
     return (
         joined.withColumn("__put", put).withColumn("restored", F.expr(S.rewritten(column, "__put", "x.value")))

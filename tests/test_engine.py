@@ -32,6 +32,16 @@ def test_mask_and_restore(spark):
     assert more.first().masked == "⟦EMAIL_0002⟧ et ⟦EMAIL_0003⟧" and grown.count() == known.count() + 1
 
 
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, "a@b.fr"), (1, "vu c@d.fr et a@b.fr"), (1, "a@b.fr"), (None, "e@f.fr"), (None, "rien")]
+    out, known = Masker().mask(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.original, r.masked) for r in out.collect())
+    assert len(got) == 5 and known.count() == 3 and all("@" not in m and (m == o) == (o == "rien") for o, m in got)
+    assert sorted(r.restored for r in restore(out, known).collect()) == sorted(t for _, t in rows)
+    none, vault_ = Masker().mask(spark.createDataFrame([], "doc_id long, text string"))
+    assert none.count() == 0 and vault_.count() == 0
+
+
 def test_surrogates_and_policy(spark):
     out, known = Masker(surrogates=True).mask(docs_of(spark, "marie@ex.fr 06 12 34 56 78"))
     assert "marie" not in out.first().masked and "@exemple.invalid" in out.first().masked
