@@ -138,7 +138,7 @@ def test_lists(spark):
 
 
 def test_input_guard(spark):
-    ask = [(IBAN, "regex", False, True), ("marc@x.com", "regex", False, True), (r"\b[A-Z]{2}-\d{5}\b", "regex", False, False), ("dossier", "regex", False, False), ("Martin", "gliner_label", False, True), ("employer name", "gliner_label", False, False), ("nom d'employeur", "gliner_label", False, False), ("Bubble SAS", "keep", False, True), ("Bubble SAS", "keep", True, False), (IBAN, "keep", True, True), ("1 84 12 75 116 001 42", "gliner_label", False, True), ("MARC DURAND", "regex", False, True), ("123456789012", "regex", False, True), ("  ", "regex", False, True), ("x", "bogus", False, True)]
+    ask = [(IBAN, "regex", False, True), ("marc@x.com", "regex", False, True), (r"\b[A-Z]{2}-\d{5}\b", "regex", False, False), ("dossier", "regex", False, False), ("Martin", "gliner_label", False, True), ("employer name", "gliner_label", False, False), ("nom d'employeur", "gliner_label", False, False), ("Acme SAS", "keep", False, True), ("Acme SAS", "keep", True, False), (IBAN, "keep", True, True), ("1 84 12 75 116 001 42", "gliner_label", False, True), ("MARC DURAND", "regex", False, True), ("123456789012", "regex", False, True), ("  ", "regex", False, True), ("x", "bogus", False, True)]
     rows = spark.createDataFrame(ask, "v string, k string, c boolean, no boolean").withColumn("r", F.expr(lists.refused("v", "k", "c"))).collect()
     assert [(r.v, r.r is not None) for r in rows] == [(r.v, r.no) for r in rows]
     assert not any(r.r and r.v.strip() and r.v in r.r for r in rows if len(r.v) > 3)
