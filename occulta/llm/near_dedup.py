@@ -29,8 +29,8 @@ from . import common, graph
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 K = BANDS * ROWS
-#: Words in a block of texts that are all compared; columns of a 0/1 matrix.
-BLOCK_WORDS, COLUMNS = 400_000, 2048
+#: Words and texts in a block of which all are compared; columns of a 0/1 matrix.
+BLOCK_WORDS, BLOCK_TEXTS, COLUMNS = 400_000, 2048, 2048
 #: Rows of ids small enough to be sent to every executor (checked by count).
 BROADCAST_ROWS = 1_000_000
 SCHEMA = "doc_id long, class_id long, class_size long, kept boolean"
@@ -295,10 +295,11 @@ def block_links(left: list[str], right: list[str] | None, least: float = SIMILAR
 def link_buckets(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that connect whatever is similar within each band of ``rows(band, key, weight)``.
 
-    A band's texts are dealt to blocks of about ``BLOCK_WORDS`` words, and each
+    A band's texts are dealt to blocks of about ``BLOCK_WORDS`` words or
+    ``BLOCK_TEXTS`` texts, whichever are more blocks, and each
     pair of blocks is one task's group.
     """
-    sizes = rows.groupBy("band").agg(F.ceil(F.sum("weight") / BLOCK_WORDS).cast("int").alias("parts"))
+    sizes = rows.groupBy("band").agg(F.ceil(F.greatest(F.sum("weight") / BLOCK_WORDS, F.count("*") / BLOCK_TEXTS)).cast("int").alias("parts"))
     placed = rows.join(sizes, "band").withColumn("i", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     given = placed.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "key").join(texts.select("key", "text"), "key")
 
