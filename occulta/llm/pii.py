@@ -197,8 +197,8 @@ def classified(found: DataFrame, model: dict[str, float]) -> DataFrame:
     return found.withColumn("found", F.expr(f"CASE WHEN size(found) = 0 THEN found ELSE array_sort(filter(found, x -> x.base OR {score} > 0), (l, r) -> {rank}) END"))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """``docs``' columns with ``found``: the personal data of each text.
+def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``docs``' columns, the text only if kept, with ``found``: the personal data of each text.
 
     ``docs`` has a column text; null counts as empty. Candidates are found
     once, written, counted for the classifier, and judged. ``found`` holds
@@ -206,7 +206,8 @@ def find(docs: DataFrame) -> DataFrame:
     No text, or no match, gives an empty array; repeated rows are judged alike
     and counted each; an empty table gives no row.
     """
-    found = common.materialise(candidates(docs), "candidates")
+    found = candidates(docs)
+    found = common.materialise(found if keep_text else found.drop("text"), "candidates")
     return classified(found, train(found))
 
 

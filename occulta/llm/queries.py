@@ -17,7 +17,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans and those that the method adds."""
-    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
