@@ -7,7 +7,10 @@ agree on a whole substring meet, and their cosine is computed from the original
 vectors, in double precision. A pair that meets in several tables counts in
 the first. With substrings of ``w`` bits and angles up to that of the threshold
 a pair meets in one table with probability ``(1 - angle / pi) ** w``; as many
-tables are made as miss a pair at the threshold in 1 of 1000 cases.
+tables are made as miss a pair at the threshold in 1 of 1000 cases. Codes are
+about the mean, which widens angles where vectors share a direction: tables are
+made for the widest possible. Where that takes too many, codes are about zero,
+and where buckets get too large, all vectors are compared with all (see ``Codes``).
 
 Equal vectors are one class before all this. A bucket beyond ``BLOCK`` rows is
 compared block against block in several tasks, whole. Links within a task
@@ -32,6 +35,8 @@ SAMPLE_ROWS = 10_000
 BUCKET, BITS = 256, 64
 MISS = 0.001
 BLOCK, TILE = 4096, 512
+#: What a copy of a row in a shuffle costs, in pairs compared.
+COPY = 500
 ITERATIONS = 30
 SCHEMA = "vec_id long, n_links long, component_id long, kept boolean"
 
@@ -43,24 +48,78 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """Learned codes: ``tables`` substrings of ``w`` bits for each vector."""
+    """Codes of vectors: ``tables`` substrings of ``w`` bits for each, of the plan that costs least on the sample.
+
+    * learned: balanced bits of centred vectors. Two unit vectors are at most
+      ``gap = sqrt(2 - 2 * least)`` apart at the threshold and at least
+      ``1 - |mean|`` from the mean, so that angle seen from the mean, which the
+      tables are made for, is ``2 * asin(gap / 2 / (1 - |mean|))`` at most. This
+      needs all axes, and that planted pairs of the sample meet as often.
+    * plain: signs about zero after random rotations; the angle is the threshold's.
+    * whole: one table of no bits, all vectors against all, where these would cost more.
+    """
 
     def __init__(self, sample: np.ndarray, rows: int, least: float = COSINE):
-        self.w = max(4, min(30, math.ceil(math.log2(max(1, rows) / BUCKET))) if rows > BUCKET else 4)
-        meet = (1 - math.acos(least) / math.pi) ** self.w
-        self.tables = max(1, math.ceil(math.log(MISS) / math.log(1 - meet)))
-        self.width = sample.shape[1]
-        self.mean = sample.mean(axis=0)
-        centred = sample - self.mean
-        bits = min(BITS, self.width)
-        _, axes = np.linalg.eigh(centred.T @ centred)
-        axes = axes[:, ::-1][:, :bits]  # those of most variance first
-        rng = np.random.default_rng(42)
+        bits = max(4, min(30, math.ceil(math.log2(max(1, rows) / BUCKET))) if rows > BUCKET else 4)
+        self.width, rng = sample.shape[1], np.random.default_rng(42)
+        mean = sample.mean(axis=0)
+        half = math.sqrt(max(0.0, 2 - 2 * least)) / 2
+        far = 1 - float(np.linalg.norm(mean))
+        self.plan, self.mean, self.w, self.tables, self.planes = "whole", np.zeros(self.width), 0, 1, np.zeros((self.width, 0))
+        cost = self._cost(sample, rows)
+        plans = [("plain", np.zeros(self.width), math.acos(least))]
+        if self.width <= BITS and half < far:
+            plans.insert(0, ("learned", mean, 2 * math.asin(half / far)))
+        best = self.__dict__.copy()
+        for plan, centre, angle in plans:
+            meet = (1 - angle / math.pi) ** bits
+            tables = max(1, math.ceil(math.log(MISS) / math.log1p(-meet)))
+            if rows * tables * COPY >= cost:
+                continue
+            self.plan, self.mean, self.w, self.tables = plan, centre, bits, tables
+            self.planes = self._planes(sample, rng)
+            if plan == "learned" and self.missed(sample, least, rng) > 2 * MISS:
+                continue
+            # bits that are learned win unless others are a tenth cheaper
+            own = self._cost(sample, rows) * (0.9 if plan == "learned" else 1.0)
+            if own < cost:
+                cost, best = own, self.__dict__.copy()
+        self.__dict__.update(best)
+
+    def _planes(self, sample: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         need = self.tables * self.w
-        parts = [axes @ rotation(centred @ axes, rng) for _ in range(-(-need // bits))]
+        if self.plan == "learned":
+            centred = sample - self.mean
+            _, axes = np.linalg.eigh(centred.T @ centred)
+            axes = axes[:, ::-1]  # those of most variance first
+            parts = [axes @ rotation(centred @ axes, rng) for _ in range(-(-need // self.width))]
+        else:
+            bits = min(BITS, self.width)
+            parts = [np.linalg.qr(rng.standard_normal((self.width, bits)))[0] for _ in range(-(-need // bits))]
+            parts = [p * rng.choice([-1.0, 1.0], p.shape[1]) for p in parts]
         # each substring takes its bits from all over the rotations
-        order = np.concatenate([rng.permutation(p.shape[1]) + k * bits for k, p in enumerate(parts)])[:need]
-        self.planes = np.hstack(parts)[:, order]
+        n = parts[0].shape[1]
+        order = np.concatenate([rng.permutation(n) + k * n for k in range(len(parts))])[:need]
+        return np.hstack(parts)[:, order]
+
+    def _cost(self, sample: np.ndarray, rows: int) -> float:
+        """Pairs compared, and copies of rows in pairs' worth, as the sample's buckets foretell."""
+        total, scale = 0.0, rows / len(sample)
+        for codes in self.of(sample).T:
+            m = np.unique(codes, return_counts=True)[1] * scale
+            total += float((m * m / 2 + COPY * m * np.ceil(m / BLOCK)).sum())
+        return total
+
+    def missed(self, sample: np.ndarray, least: float, rng: np.random.Generator) -> float:
+        """Share of pairs at the threshold, made of sample rows turned towards others, that meet in no table."""
+        some = sample[rng.integers(len(sample), size=SAMPLE_ROWS)]
+        to = sample[rng.integers(len(sample), size=SAMPLE_ROWS)]
+        to = to - (to * some).sum(axis=1, keepdims=True) * some
+        length = np.linalg.norm(to, axis=1)
+        some, to = some[length > 1e-6], to[length > 1e-6] / length[length > 1e-6, None]
+        if not len(some):
+            return 0.0
+        return float((self.of(some) != self.of(least * some + math.sqrt(1 - least * least) * to)).all(axis=1).mean())
 
     def of(self, rows: np.ndarray) -> np.ndarray:
         """One 32-bit number for each table of each row (of unit length)."""

@@ -109,6 +109,29 @@ def test_codes_are_balanced():
     assert abs(signs - 0.5).max() < 0.1 and c.of(x).max() < 1 << c.w
 
 
+@pytest.mark.parametrize("rows", [8_000, 51_000, 1_000_000])
+@pytest.mark.parametrize("offset", [0.3, 1.0, 2.0, 2.9])
+def test_codes_of_vectors_with_a_common_mean(rows, offset):
+    rng = np.random.default_rng(1)
+    x = vector_dedup.unit(rng.normal(size=(2000, 64)))
+    x = np.vstack([x, vector_dedup.unit(x + rng.normal(scale=0.05, size=x.shape))])
+    x[:, 0] += offset
+    x = vector_dedup.unit(x)
+    codes = vector_dedup.Codes(x, rows).of(x)
+    r, c = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    some = rng.permutation(len(r))[:20_000]
+    assert (codes[r[some]] == codes[c[some]]).any(axis=1).mean() >= 0.995
+
+
+def test_vector_dedup_with_a_common_mean(spark):
+    x = vector_dedup.unit(np.random.default_rng(2).normal(size=(400, 64)))
+    x[:, 0] += 2.6
+    x = x.astype(np.float32)
+    got = {r.vec_id: r for r in vector_dedup.near_duplicate_vectors(frame(spark, [(k, [float(v) for v in r]) for k, r in enumerate(x)])).collect()}
+    n_links, label = components(np.arange(400), np.array(x, np.float64), 0.9)
+    assert [(got[i].n_links, got[i].component_id) for i in range(400)] == list(zip(n_links.tolist(), label.tolist()))
+
+
 def test_registered_queries(spark, sf):
     t = common.table(spark, sf, "embeddings").toArrow()
     ids, x = np.array(t["vec_id"]), np.array(t["embedding"].to_pylist(), np.float64)
