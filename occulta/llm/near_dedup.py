@@ -224,11 +224,14 @@ def sign(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, text): the text of each of ``nodes(key, doc_id)``."""
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    some = nodes.select("doc_id").distinct()
+    wanted = nodes.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    some = wanted.select("__id").distinct()
     if some.count() <= BROADCAST_ROWS:
         some = F.broadcast(some)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi").select("doc_id", _key(text).alias("key"), text.alias("text"))
-    return own.join(nodes, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "text")
+    # a class of which no row has an id is fetched by its null id
+    same_id = F.col("doc_id").eqNullSafe(F.col("__id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, same_id, "left_semi").select("doc_id", _key(text).alias("key"), text.alias("text"))
+    return own.join(wanted, same_id & (F.col("key") == F.col("__key")), "left_semi").dropDuplicates(["key"]).select("key", "text")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -328,7 +331,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     signed = sign(docs)
     nodes = common.materialise(
-        signed.groupBy("key").agg(F.min(F.struct("doc_id", "weight", "bands")).alias("x"), F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+        signed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "weight", "bands")).alias("x"), F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
         .select("key", F.col("x.doc_id").alias("doc_id"), "least_id", "n", F.col("x.weight").alias("weight"), F.col("x.bands").alias("bands")),
         "classes",
     )

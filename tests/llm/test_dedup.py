@@ -81,6 +81,20 @@ def test_one_of_each(spark):
     assert len(got) == len(groups) and sorted(str(r.doc_id) for r in got) == sorted(str(c) for c, _, _ in groups)
 
 
+def test_rows_without_ids_are_linked(spark):
+    rng = random.Random(9)
+    rows = []
+    for g, ids in enumerate([(None, 5), (None, None, 7), (8, 9), (None, None)]):
+        base = [f"g{g}w{rng.randrange(300)}" for _ in range(80)]
+        for k, i in enumerate(ids):  # near copies, some without an id
+            rows.append((i, " ".join([*base[:-1], f"end{k}"])))
+    rows += [(None, rows[5][1]), (None, rows[1][1])]  # exact copies, without an id, of linked texts
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df).select("doc_id", "class_id", "class_size").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(classes(rows), key=str)
+    assert sorted(str(r.doc_id) for r in near_dedup.one_of_each(df).collect()) == ["5", "7", "8", "None"]
+
+
 def test_near_duplicates_empty(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = near_dedup.near_duplicates(spark.createDataFrame([(None, None)], "doc_id long, text string")).first()
