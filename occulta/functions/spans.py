@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<s:int,e:int,type:string,value:string,score:double,priority:int>"
 NONE = f"cast(array() AS array<{SPAN}>)"
-#: A token: type in capitals, number of four digits or more, a variant's letter.
-TOKEN = r"⟦([A-Z_]+)_(\d{4,}[a-z]?)⟧"
+#: A token: type in capitals, number of four digits or more, a variant's letters.
+TOKEN = r"⟦([A-Z_]+)_(\d{4,}[a-z]*)⟧"
 
 
 def quote(pattern: str) -> str:

@@ -56,34 +56,41 @@ def distinctive_words(value: str = "value", least: int = 4) -> str:
     return f"array_distinct(filter(split(upper({value}), r'(?U)[^\\p{{L}}\\p{{N}}]+'), w -> length(w) >= {least} AND NOT w IN ('MADAME', 'MONSIEUR', 'MADEMOISELLE', 'MAITRE', 'MAÎTRE')))"
 
 
-def variant_groups(rows: DataFrame, rounds: int = 20) -> DataFrame:
+def letters(k: str) -> str:
+    """SQL: a number from 1 as letters: a to z, aa, ab and so on."""
+    return f"""aggregate(sequence(1, 14), named_struct('n', cast({k} AS bigint), 'out', ''),
+      (a, i) -> if(a.n = 0, a, named_struct('n', (a.n - 1) div 26, 'out', concat(char(97 + (a.n - 1) % 26), a.out))), a -> a.out)"""
+
+
+def variant_groups(rows: DataFrame, rounds: int = 60) -> DataFrame:
     """Names of one mission that share a distinctive word, directly or by others, get one number.
 
     ``rows`` is a vault; NOM rows come back with the least number of their
-    group and, where a group has several members, letters by their own numbers.
-    Labels spread from values to words and back until none changes.
+    group and, where a group has several members, letters by their own numbers
+    (a to z, aa, ab ...). Labels spread from values to words and back, then to
+    the label of the label's own row, so that chains shorten by more than a
+    link a round, until none changes; beyond ``rounds`` an error is raised.
     """
-    from pyspark.sql import Window
-
-    names = rows.filter("type = 'NOM'").select("mission", "value", "number")
+    names = materialise(rows.filter("type = 'NOM'").select("mission", "value", "number", "variant"), "names")
     words = materialise(names.select("mission", "value", F.explode(F.expr(distinctive_words())).alias("word")), "words")
-    labels = names.select("mission", "value", F.col("number").alias("label"))
+    labels = names.select("mission", "value", "number", F.col("number").alias("label"))
     state = None
     for _ in range(rounds):
         of_word = words.join(labels, ["mission", "value"]).groupBy("mission", "word").agg(F.min("label").alias("w"))
         of_value = words.join(of_word, ["mission", "word"]).groupBy("mission", "value").agg(F.min("w").alias("w"))
-        labels = materialise(labels.join(of_value, ["mission", "value"], "left").select("mission", "value", F.least("label", F.coalesce("w", "label")).alias("label")), "labels")
+        spread = materialise(labels.join(of_value, ["mission", "value"], "left").select("mission", "value", "number", F.least("label", F.coalesce("w", "label")).alias("label")), "spread")
+        of_number = spread.groupBy("mission", F.col("number").alias("label")).agg(F.min("label").alias("l"))
+        labels = materialise(spread.join(of_number, ["mission", "label"], "left").select("mission", "value", "number", F.least("label", F.coalesce("l", "label")).alias("label")), "labels")
         new = labels.agg(F.sum("label")).first()[0]
         if new == state:
             break
         state = new
-    grouped = names.join(labels, ["mission", "value"])
-    w = Window.partitionBy("mission", "label")
-    letters = grouped.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("number")))
-    variant = F.when(F.col("n") == 1, "").when(F.col("k") <= 26, F.expr("char(96 + cast(k AS int))")).otherwise("z")
-    # beyond 26 surface forms a group's further members keep numbers of their own
-    number = F.when(F.col("k") <= 26, F.col("label")).otherwise(F.col("number"))
-    given = letters.select("mission", "value", number.alias("number"), F.when(F.col("k") > 26, "").otherwise(variant).alias("variant"))
+    else:
+        raise RuntimeError(f"no end after {rounds} rounds")
+    grouped = names.join(labels.select("mission", "value", "label"), ["mission", "value"]).withColumn("__long", F.length("variant"))
+    sizes = grouped.groupBy("mission", "label").agg(F.count("*").alias("n"))
+    placed = numbered(grouped, ["mission", "label"], ["number", "__long", "variant", "value"], "k").join(sizes, ["mission", "label"])
+    given = placed.select("mission", "value", F.col("label").alias("number"), F.expr(f"if(n = 1, '', {letters('k')})").alias("variant"))
     others = rows.filter("type <> 'NOM'")
     own = rows.filter("type = 'NOM'").drop("number", "variant", "token").join(given, ["mission", "value"]).withColumn("token", F.expr(token("type", "number", "variant")))
     return others.unionByName(own.select(*others.columns))

@@ -93,3 +93,14 @@ def test_live_counts(spark, tmp_path):
     q = index.live_counts(stream).writeStream.outputMode("complete").format("memory").queryName("live").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(120)
     assert {r.type: r["count"] for r in spark.sql("SELECT * FROM live").collect()} == {"NOM": 2, "TEL": 1}
+
+
+def test_large_and_long_variant_groups(spark):
+    firsts = [("Prénom%02d DUPONT" % k) for k in range(30)]
+    chain = [f"CHAINE{k:03d} CHAINE{k + 1:03d}" for k in range(70)]
+    rows = [("m", "NOM", v, k + 1, "", "") for k, v in enumerate([*firsts, *chain, "Seul"])]
+    v = spark.createDataFrame(rows, "mission string, type string, value string, number long, variant string, token string").withColumn("created_at", F.current_timestamp())
+    got = {r.value: r for r in vault.variant_groups(v).collect()}
+    assert [got[x].token for x in (firsts[0], firsts[25], firsts[26], firsts[29])] == ["⟦NOM_0001a⟧", "⟦NOM_0001z⟧", "⟦NOM_0001aa⟧", "⟦NOM_0001ad⟧"]
+    assert {got[x].number for x in chain} == {31} and len({got[x].token for x in chain}) == 70 and got["Seul"].token == "⟦NOM_0101⟧"
+    assert spark.range(1).select(F.expr(f"regexp_extract_all('⟦NOM_0001ad⟧', r'{spans.TOKEN}', 0)").alias("x")).first().x == ["⟦NOM_0001ad⟧"]
