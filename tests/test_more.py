@@ -1,8 +1,12 @@
 """Sinks, gates, statistics and hooks not covered elsewhere."""
 
+import html
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from occulta import catalogue
 from occulta.functions import gate, spans
 from occulta.operators import lists, soft, vault
 from occulta.operators.masker import Masker
@@ -104,3 +108,10 @@ def test_large_and_long_variant_groups(spark):
     assert [got[x].token for x in (firsts[0], firsts[25], firsts[26], firsts[29])] == ["⟦NOM_0001a⟧", "⟦NOM_0001z⟧", "⟦NOM_0001aa⟧", "⟦NOM_0001ad⟧"]
     assert {got[x].number for x in chain} == {31} and len({got[x].token for x in chain}) == 70 and got["Seul"].token == "⟦NOM_0101⟧"
     assert spark.range(1).select(F.expr(f"regexp_extract_all('⟦NOM_0001ad⟧', r'{spans.TOKEN}', 0)").alias("x")).first().x == ["⟦NOM_0001ad⟧"]
+
+
+def test_highlight_documents(spark, sf):
+    docs = {r.doc_id: r.text for r in catalogue.table(spark, sf, "documents").collect()}
+    got = {r.doc_id: r.html for r in catalogue.highlight_documents(spark, sf).collect()}
+    want = {d: "".join(f'<mark title="EMAIL">{html.escape(p, False)}</mark>' if k % 2 else html.escape(p, False).replace('"', "&quot;") for k, p in enumerate(re.split(f"({catalogue.EMAIL})", t or ""))) for d, t in docs.items()}
+    assert got == want and any("<mark" in h for h in got.values())
