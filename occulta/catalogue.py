@@ -270,6 +270,19 @@ def highlight_documents(spark, sf):
     return found.select("doc_id", F.expr(highlight("text", "spans")).alias("html"))
 
 
+_TOKENED = "replace(text, ' of ', ' ⟦NOM_0001the⟧ ')"
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(list_transform(g, lambda p, i: replace(p, 'the', 'THE') || coalesce(t[i], '')), '') AS out, CAST(list_sum(list_transform(g, lambda p: (length(p) - length(replace(p, 'the', ''))) / 3)) AS INTEGER) AS n
+    FROM (SELECT doc_id, string_split_regex(x, '{S.TOKEN}') AS g, regexp_extract_all(x, '{S.TOKEN}') AS t FROM (SELECT doc_id, {_TOKENED} AS x FROM documents))"""
+)
+def replace_outside_documents(spark, sf):
+    """A word replaced outside tokens only, in all documents, tokens that hold it within their texts."""
+    made = table(spark, sf, "documents").select("doc_id", F.expr(_TOKENED).alias("t")).withColumn("r", F.expr(replace_outside_tokens("t", "'the'", "'THE'")))
+    return made.select("doc_id", F.col("r.text").alias("out"), "r.n")
+
+
 # -- quality, verdicts, windows
 
 _GATE = r"""SELECT doc_id, n_words > 0 AND n_real > 0 AND n_real / n_words >= 0.4 AND real_chars / n_real >= 3.5 AND n_odd / length(text) * 100 <= 8 AS clean, n_words >= 8 AND length(trim(text, E' \n\t\r')) >= 40 AS substantial FROM (

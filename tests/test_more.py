@@ -115,3 +115,14 @@ def test_highlight_documents(spark, sf):
     got = {r.doc_id: r.html for r in catalogue.highlight_documents(spark, sf).collect()}
     want = {d: "".join(f'<mark title="EMAIL">{html.escape(p, False)}</mark>' if k % 2 else html.escape(p, False).replace('"', "&quot;") for k, p in enumerate(re.split(f"({catalogue.EMAIL})", t or ""))) for d, t in docs.items()}
     assert got == want and any("<mark" in h for h in got.values())
+
+
+def test_replace_outside_documents(spark, sf):
+    docs = {r.doc_id: r.text for r in catalogue.table(spark, sf, "documents").collect()}
+    token = "⟦NOM_0001the⟧"
+    want = {}
+    for d, t in docs.items():
+        gaps = re.split(f"({spans.TOKEN})", t.replace(" of ", f" {token} "))[::4]
+        tokens = [m.group() for m in re.finditer(spans.TOKEN, t.replace(" of ", f" {token} "))]
+        want[d] = ("".join(g.replace("the", "THE") + x for g, x in zip(gaps, [*tokens, ""])), sum(g.count("the") for g in gaps))
+    assert {r.doc_id: (r.out, r.n) for r in catalogue.replace_outside_documents(spark, sf).collect()} == want and any(token in o for o, _ in want.values())
