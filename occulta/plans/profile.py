@@ -60,7 +60,7 @@ def sweep(docs: DataFrame, profile: DataFrame) -> DataFrame:
     words = docs.select("dossier", "doc_id", "text", F.explode(F.expr(hits("text", word))).alias("h")).select("dossier", "doc_id", "text", F.col("h.s").alias("p"), F.lower("h.v").alias("__w"))
     met = words.join(heads, ["dossier", "__w"]).filter("p >= __lead").withColumn("s", F.expr("p - __lead"))
     pattern = r"concat('^', if(kind = 'word', '(?iuU)', ''), array_join(transform(split(value, ' '), w -> concat('\\Q', w, '\\E')), '\\s+'), '(?![\\p{L}\\p{N}])')"
-    got = met.withColumn("v", F.expr(f"regexp_extract(substring(text, s + 1, length(value) * 2 + 20), {pattern}, 0)")).filter(r"v <> '' AND (s = 0 OR NOT substring(text, s, 1) rlike r'[\p{L}\p{N}]')")
+    got = met.withColumn("v", F.expr(f"regexp_extract(substring(text, s + 1), {pattern}, 0)")).filter(r"v <> '' AND (s = 0 OR NOT substring(text, s, 1) rlike r'[\p{L}\p{N}]')")
     spans = got.groupBy("dossier", "doc_id").agg(F.array_sort(F.collect_set(F.expr("named_struct('s', s, 'e', s + length(v), 'type', type, 'value', v, 'score', 0.9D, 'priority', 58)"))).alias("swept"))
     return docs.join(spans, ["dossier", "doc_id"], "left").withColumn("swept", F.coalesce(F.expr(f"cast(swept AS array<{SPAN}>)"), F.expr(NONE)))
 

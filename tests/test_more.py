@@ -10,7 +10,7 @@ from occulta import catalogue
 from occulta.functions import gate, spans
 from occulta.operators import lists, soft, vault
 from occulta.operators.masker import Masker
-from occulta.plans import analytics, verdict
+from occulta.plans import analytics, profile, verdict
 from occulta.sources import files
 from occulta.streaming import index
 
@@ -126,3 +126,11 @@ def test_replace_outside_documents(spark, sf):
         tokens = [m.group() for m in re.finditer(spans.TOKEN, t.replace(" of ", f" {token} "))]
         want[d] = ("".join(g.replace("the", "THE") + x for g, x in zip(gaps, [*tokens, ""])), sum(g.count("the") for g in gaps))
     assert {r.doc_id: (r.out, r.n) for r in catalogue.replace_outside_documents(spark, sf).collect()} == want and any(token in o for o, _ in want.values())
+
+
+def test_sweep_across_long_white_space(spark):
+    text = "vu Jean" + " " * 90 + "\n" * 40 + "Dupont hier"
+    docs = spark.createDataFrame([("d", 1, text)], "dossier string, doc_id long, text string")
+    known = spark.createDataFrame([("d", "NOM", "Jean Dupont", "value")], "dossier string, type string, value string, kind string")
+    got = profile.sweep(docs, known).first().swept
+    assert [(m.s, m.e) for m in got] == [(3, len(text) - 5)]
