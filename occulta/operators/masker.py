@@ -158,11 +158,12 @@ def json_strings(text: str) -> str:
 
 
 def highlight(text: str, spans: str) -> str:
-    """SQL: HTML of a text with its spans marked."""
+    """SQL: HTML of a text with its spans, in order, marked; one that begins inside a marked one isn't."""
     escaped = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
-    return f"""concat(aggregate({spans}, named_struct('at', 0, 'out', ''),
-      (a, x) -> if(x.s < a.at, a, named_struct('at', x.e, 'out', concat(a.out, {escaped.format(f'substring({text}, a.at + 1, x.s - a.at)')}, '<mark title="', x.type, '">', {escaped.format(f'substring({text}, x.s + 1, x.e - x.s)')}, '</mark>'))),
-      a -> concat(a.out, {escaped.format(f'substring({text}, a.at + 1)')})))"""
+    kept = "aggregate(r, cast(array() AS array<struct<s:int,e:int,type:string>>), (a, x) -> if(size(a) > 0 AND x.s < element_at(a, -1).e, a, array_append(a, named_struct('s', x.s, 'e', x.e, 'type', x.type))))"
+    marked = S.let("o", spans, f"CASE WHEN size(o) = 0 THEN cast(array() AS array<struct<s:int,e:int,type:string>>) ELSE flatten({S.runs('o', kept)}) END")
+    mark = f"concat({escaped.format('{}')}, '<mark title=\"', x.type, '\">', {escaped.format(S.cut('bl', 'x.s', 'x.e'))}, '</mark>')"
+    return S.joined(text, marked, mark, escaped)
 
 
 def anonymise_mail(mail: DataFrame, masker: Masker) -> tuple[DataFrame, DataFrame]:

@@ -150,3 +150,32 @@ def test_quality_and_gate(spark):
     rows = df.select("k", F.expr(quality.passes_quality("q")).alias("clean"), F.expr(quality.structured_form("text")).alias("form"), F.expr(quality.garbled("text")).alias("garbled"), F.expr(quality.without_barcodes("text")).alias("bare"), F.expr(gate.labels("text")).alias("labels"), F.expr(gate.action("text")).alias("act")).orderBy("k").collect()
     assert rows[0].clean and not rows[1].clean and not rows[2].clean and rows[3].form and not rows[4].form and rows[5].garbled and not rows[0].garbled
     assert rows[6].bare == "x ⟦2DDOC_BARCODE_STRIPPED⟧ y" and rows[7].labels == ["IBAN", "email", "téléphone"] and [r.act for r in rows][6:] == ["none", "nudge", "nudge"]
+
+
+def test_very_many_matches_in_one_text(spark):
+    from occulta.operators.masker import highlight
+
+    email = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+    rows = [(n, "é" + " ".join(f"a{k}@mail{k % 7}.com x🎉" for k in range(n))) for n in (0, 1, 63, 64, 65, 129, 16_000)]
+    docs = Masker(recognizers=core()[:1]).detect(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = docs.select("doc_id", F.expr(S.rewritten("text", "spans", "concat('[', x.type, ']')")).alias("masked"), F.expr(highlight("text", "spans")).alias("html")).collect()
+    for r in got:
+        text = dict(rows)[r.doc_id]
+        assert r.masked == re.sub(email, "[EMAIL]", text) and r.html == re.sub(f"({email})", r'<mark title="EMAIL">\1</mark>', text)
+
+
+def test_spans_outside_others(spark):
+    rng = random.Random(3)
+
+    def some(n):
+        return [(s, s + rng.randint(1, 9)) for s in (rng.randint(0, 300) for _ in range(n))]
+
+    rows = [(k, some(rng.choice([0, 1, 5, 90])), some(rng.choice([0, 1, 5, 90]))) for k in range(60)]
+    kind = "array<struct<s:int,e:int>>"
+    df = spark.createDataFrame(rows, f"k int, a {kind}, b {kind}")
+    for r in df.select("k", F.expr(S.outside("a", "b")).alias("o"), F.expr(S.outside("a", "b", own=True)).alias("u")).collect():
+        a, b = rows[r.k][1:]
+        free = [x for x in a if not any(y[0] <= x[0] and x[1] <= y[1] for y in b)]
+        assert [tuple(x) for x in r.o] == free
+        alone = [x for i, x in enumerate(free) if not any((y[0] <= x[0] and x[1] <= y[1]) and (y != x or j < i) for j, y in enumerate(free) if j != i)]
+        assert [tuple(x) for x in r.u] == alone
