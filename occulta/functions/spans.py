@@ -48,10 +48,10 @@ def hits(text: str, pattern: str, group: int = 0, around: int = 0) -> str:
     beside = f", 'b', right(g, {around}), 'f', left(g, 1)" if around else ""
     zipped = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, h) -> named_struct('g', length(g), 'h', h{beside}))"
     if group:
-        zipped = f"zip_with({zipped}, regexp_extract_all({text}, {p}, {group}), (x, v) -> named_struct('g', x.g, 'h', x.h, 'v', v))"
+        zipped = f"zip_with({zipped}, regexp_extract_all({text}, {p}, {group}), (x, v) -> named_struct('g', x.g, 'h', x.h, 'v', v{", 'b', x.b, 'f', x.f" if around else ""}))"
     if around:
         near = f"'b', right(concat(coalesce(get(zz, i - 1).h, ''), x.b), {around}), 'a', coalesce(nullif(get(zz, i + 1).f, ''), left(get(zz, i + 1).h, 1), '')"
-        zipped = let("zz", zipped, f"transform(zz, (x, i) -> named_struct('g', x.g, 'h', x.h, {near}))")
+        zipped = let("zz", zipped, f"transform(zz, (x, i) -> named_struct('g', x.g, 'h', x.h, {"'v', x.v, " if group else ""}{near}))")
     value = "x.v" if group else "x.h"
     kind = "s:int,e:int,v:string" + (",b:string,a:string" if around else "")
     more = ", 'b', x.b, 'a', x.a" if around else ""
