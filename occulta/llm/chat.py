@@ -1,14 +1,21 @@
 """Chat formatting with compiled templates.
 
 The template language has text, ``{{ expression }}``, ``{% for x in list %}``,
-``{% if %} {% elif %} {% else %}`` and ``{% generation %}``, which marks what a
-model is to learn. Expressions know literals, names, ``a.b`` and ``a['b']`` on
-mappings, ``+``, ``==``, ``!=``, ``and``, ``or``, ``not`` and a fixed set of
-filters; no calls, no attributes of Python objects, nothing else.
-
-A template is parsed into a syntax tree, constants are folded, and each node
-becomes a Python closure. Rendering takes the messages one after the other, so
-a conversation of any length is written in pieces of bounded size.
+``{% if %} {% elif %} {% else %}``, ``{% set x = expression %}``, comments
+``{# #}``, ``-`` inside a tag to drop the white space beside it, and
+``{% generation %}``, which marks what a model is to learn. Expressions know
+literals, names, ``a.b``, ``a['b']``, ``a[0]`` and slices ``a[1:]``, ``+ - %``,
+``~``, comparisons, ``in``, ``is defined``, ``is none``, ``and``, ``or``, ``not``
+and a fixed set of filters; no calls, no attributes of Python objects, nothing
+else. What isn't there is empty text, and not defined. ``+`` and ``-`` and ``%``
+compute with whole numbers; ``+`` joins anything else as text.
+
+A template is parsed into a syntax tree, constants are folded by the very
+functions that compute them later, and each node becomes a Python closure. A
+template that only loops once over ``messages``, and looks at fixed places of
+its beginning, takes the messages one after the other, so a conversation of any
+length is written in pieces of bounded size; any other template holds a whole
+conversation, and fails with ``TemplateError`` beyond ``HELD_CHARS`` characters.
 """
 
 from __future__ import annotations
@@ -36,6 +43,10 @@ DEFAULT_TEMPLATE = (
 )
 #: Characters after which a conversation's output is cut into a further row.
 PIECE_CHARS = 1 << 20
+#: Characters of a conversation that a template may hold which looks at messages out of order.
+HELD_CHARS = 1 << 28
+#: Characters of a text by which rows are dealt to ranges.
+PREFIX = 32
 FORMATTED = "conv_id long, piece long, n_turns long, formatted string, spans array<long>"
 SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -54,7 +65,7 @@ def unescape(text: str) -> str:
     return _CODE.sub(lambda m: _TEXTS[m[0]], text)
 
 
-FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
+FILTERS: dict[str, Callable] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len}
 
 
 class TemplateError(ValueError):
@@ -63,8 +74,10 @@ class TemplateError(ValueError):
 
 # -- parsing: nodes are tuples ("kind", ...)
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
-_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z][A-Za-z0-9_]*)|(==|!=|[+|.\[\]()]))")
+_STRING = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+_TAG = re.compile(rf"\{{\{{-?((?:{_STRING}|[^'\"])*?)-?\}}\}}|\{{%-?((?:{_STRING}|[^'\"])*?)-?%\}}|\{{#-?.*?-?#\}}", re.S)
+_TOKEN = re.compile(rf"\s*(?:({_STRING})|(\d+)|([A-Za-z_][A-Za-z0-9_]*)|(==|!=|<=|>=|[-<>+%~|.:\[\]()]))")
+_WORDS = ("and", "or", "not", "in", "is", "if", "else")
 
 
 class _Expression:
@@ -115,14 +128,25 @@ class _Expression:
 
     def compared(self):
         node = self.added()
-        while op := self.take("==", "!="):
-            node = (op, node, self.added())
-        return node
+        while True:
+            if op := self.take("==", "!=", "<=", ">=", "<", ">", "in"):
+                node = (op, node, self.added())
+            elif self.take("is"):
+                no = self.take("not")
+                test = self.take("defined", "none")
+                if not test:
+                    raise TemplateError(f"no test {self.peek()[1]!r}")
+                node = ("not", (test, node)) if no else (test, node)
+            elif self.peek() == (3, "not") and self.tokens[self.at + 1 : self.at + 2] == [(3, "in")]:
+                self.at += 2
+                node = ("not", ("in", node, self.added()))
+            else:
+                return node
 
     def added(self):
         node = self.filtered()
-        while self.take("+"):
-            node = ("+", node, self.filtered())
+        while op := self.take("+", "-", "%", "~"):
+            node = (op, node, self.filtered())
         return node
 
     def filtered(self):
@@ -142,10 +166,15 @@ class _Expression:
             node = ("literal", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), text[1:-1]))
         elif kind == 2:
             node = ("literal", int(text))
-        elif kind == 3 and text in ("true", "false"):
-            node = ("literal", text == "true")
-        elif kind == 3 and text not in ("and", "or", "not"):
+        elif kind == 3 and text.lower() in ("true", "false"):
+            node = ("literal", text.lower() == "true")
+        elif kind == 3 and text.lower() == "none":
+            node = ("literal", None)
+        elif kind == 3 and text not in _WORDS and not text.startswith("_"):
             node = ("name", text)
+        elif text == "-" and self.peek()[0] == 2:
+            node = ("literal", -int(self.peek()[1]))
+            self.at += 1
         elif text == "(":
             node = self.either()
             if not self.take(")"):
@@ -155,12 +184,17 @@ class _Expression:
         while op := self.take(".", "["):
             if op == ".":
                 kind, text = self.peek()
-                if kind != 3:
+                if kind != 3 or text.startswith("_"):
                     raise TemplateError(f"unexpected {text!r}")
                 self.at += 1
                 node = ("item", node, ("literal", text))
             else:
-                node = ("item", node, self.either())
+                first = ("literal", None) if self.peek() == (4, ":") else self.either()
+                if self.take(":"):
+                    last = ("literal", None) if self.peek() == (4, "]") else self.either()
+                    node = ("slice", node, first, last)
+                else:
+                    node = ("item", node, first)
                 if not self.take("]"):
                     raise TemplateError("missing ]")
         return node
@@ -168,14 +202,21 @@ class _Expression:
 
 def parse(template: str):
     """The template's syntax tree."""
-    parts, at = [], 0
+    parts, at, strip = [], 0, False
+
+    def said(text: str, right: bool) -> None:
+        text = text.lstrip() if strip else text
+        text = text.rstrip() if right else text
+        if text:
+            parts.append(("text", text))
+
     for m in _TAG.finditer(template):
-        if m.start() > at:
-            parts.append(("text", template[at : m.start()]))
-        parts.append(("print", m[1]) if m[1] is not None else ("tag", m[2].strip()))
-        at = m.end()
-    if at < len(template):
-        parts.append(("text", template[at:]))
+        tag = m[0]
+        said(template[at : m.start()], tag[2] == "-")
+        if not tag.startswith("{#"):
+            parts.append(("print", m[1]) if m[1] is not None else ("tag", m[2].strip()))
+        at, strip = m.end(), tag[-3] == "-"
+    said(template[at:], False)
     parts.reverse()
 
     def block(*ends: str):
@@ -196,6 +237,11 @@ def parse(template: str):
                 nodes.append(("for", m[1], _Expression(m[2]).whole(), body))
             elif word == "if":
                 nodes.append(branch(text[2:]))
+            elif word == "set":
+                m = re.fullmatch(r"set\s+([A-Za-z]\w*)\s*=\s*(.+)", text, re.S)
+                if not m:
+                    raise TemplateError(f"bad {text!r}")
+                nodes.append(("set", m[1], _Expression(m[2]).whole()))
             elif word == "generation":
                 body, _ = block("endgeneration")
                 nodes.append(("generation", body))
@@ -218,23 +264,78 @@ def parse(template: str):
 
 # -- folding
 
-_APPLY = {"+": lambda a, b: a + b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "and": lambda a, b: a and b, "or": lambda a, b: a or b}
+
+class _Missing(str):
+    """What a name or an item that isn't there stands for."""
+
+
+MISSING = _Missing("")
+
+
+def _whole(x: object) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool)
+
+
+def _add(a, b):
+    return a + b if _whole(a) and _whole(b) else _text(a) + _text(b)
+
+
+def _numbers(name: str, op: Callable) -> Callable:
+    def apply(a, b):
+        if not (_whole(a) and _whole(b)) or (name == "%" and b == 0):
+            raise TemplateError(f"{name} of {type(a).__name__} and {type(b).__name__}")
+        return op(a, b)
+
+    return apply
+
+
+def _ordered(op: Callable) -> Callable:
+    return lambda a, b: op(a, b) if _whole(a) and _whole(b) else op(_text(a), _text(b))
+
+
+def _item(x, key):
+    if isinstance(x, dict):
+        return x.get(key, MISSING) if isinstance(key, str) else MISSING
+    if isinstance(x, Stream) and _whole(key):
+        return x[key]
+    return x[key] if isinstance(x, list) and _whole(key) and -len(x) <= key < len(x) else MISSING
+
+
+def _slice(x, a, b):
+    return x[(a if _whole(a) else None) : (b if _whole(b) else None)] if isinstance(x, (list, str)) else []
+
+
+def _filter(name: str, x):
+    if name == "length":
+        return len(x) if isinstance(x, (list, dict)) else len(_text(x))
+    return FILTERS[name](_text(x))
+
+
+#: How values are computed, in folding as in closures; ``and`` and ``or`` are lazy there.
+_APPLY = {
+    "+": _add, "-": _numbers("-", lambda a, b: a - b), "%": _numbers("%", lambda a, b: a % b), "~": lambda a, b: _text(a) + _text(b), "==": lambda a, b: a == b, "!=": lambda a, b: a != b,
+    "<": _ordered(lambda a, b: a < b), ">": _ordered(lambda a, b: a > b), "<=": _ordered(lambda a, b: a <= b), ">=": _ordered(lambda a, b: a >= b),
+    "in": lambda a, b: a in b if isinstance(b, (list, dict)) else _text(a) in _text(b), "and": lambda a, b: a and b, "or": lambda a, b: a or b,
+    "not": lambda a: not a, "defined": lambda a: not isinstance(a, _Missing), "none": lambda a: a is None, "item": _item, "slice": _slice,
+}
 
 
 def fold(node):
     """The tree with constant expressions computed, known branches taken and texts joined."""
     kind = node[0]
     if kind in _APPLY:
-        a, b = fold(node[1]), fold(node[2])
-        return ("literal", _APPLY[kind](a[1], b[1])) if a[0] == b[0] == "literal" else (kind, a, b)
-    if kind == "not":
-        a = fold(node[1])
-        return ("literal", not a[1]) if a[0] == "literal" else ("not", a)
+        parts = [fold(n) for n in node[1:]]
+        if all(p[0] == "literal" for p in parts):
+            try:
+                return ("literal", _APPLY[kind](*(p[1] for p in parts)))
+            except TemplateError:  # an error only where it is reached
+                pass
+        return (kind, *parts)
     if kind == "filter":
         a = fold(node[2])
-        return ("literal", FILTERS[node[1]](str(a[1]))) if a[0] == "literal" else ("filter", node[1], a)
-    if kind == "item":
-        return ("item", fold(node[1]), fold(node[2]))
+        return ("literal", _filter(node[1], a[1])) if a[0] == "literal" else ("filter", node[1], a)
+    if kind == "set":
+        return ("set", node[1], fold(node[2]))
     if kind == "print":
         return ("print", fold(node[1]))
     if kind == "generation":
@@ -251,7 +352,7 @@ def fold(node):
         for n in map(fold, node[1]):
             for x in n[1] if n[0] == "block" else [n]:
                 if x[0] == "print" and x[1][0] == "literal":
-                    text = str(x[1][1])
+                    text = _text(x[1][1])
                     if out and out[-1][0] == "print" and out[-1][1][0] == "literal":
                         text = out.pop()[1][1] + text
                     x = ("print", ("literal", text))
@@ -269,44 +370,60 @@ def _value(node) -> Callable[[dict], object]:
         return lambda scope: constant
     if kind == "name":
         name = node[1]
-        return lambda scope: scope.get(name, "")
-    if kind == "item":
-        of, key = _value(node[1]), _value(node[2])
-
-        def item(scope):
-            x = of(scope)
-            return x.get(key(scope), "") if isinstance(x, dict) else ""
-
-        return item
+        return lambda scope: scope.get(name, MISSING)
     if kind == "filter":
-        apply, of = FILTERS[node[1]], _value(node[2])
-        return lambda scope: apply(_text(of(scope)))
-    a = _value(node[1])
-    if kind == "not":
-        return lambda scope: not a(scope)
-    b = _value(node[2])
+        name, of = node[1], _value(node[2])
+        return lambda scope: _filter(name, of(scope))
+    apply, parts = _APPLY[kind], [_value(n) for n in node[1:]]
+    if len(parts) == 1:
+        (a,) = parts
+        return lambda scope: apply(a(scope))
+    if len(parts) == 3:
+        return lambda scope: apply(*(p(scope) for p in parts))
+    a, b = parts
     if kind == "and":
         return lambda scope: a(scope) and b(scope)
     if kind == "or":
         return lambda scope: a(scope) or b(scope)
-    if kind == "+":
-        return lambda scope: _text(a(scope)) + _text(b(scope))
-    return (lambda scope: a(scope) == b(scope)) if kind == "==" else (lambda scope: a(scope) != b(scope))
+    return lambda scope: apply(a(scope), b(scope))
 
 
 def _text(x: object) -> str:
     return "" if x is None else str(x)
 
 
-#: Yielded after each round of a loop.
+#: Yielded after each round of the loop over messages as they come.
 _ROUND = (None, False)
 
 
+class Stream:
+    """Messages as they come: read once in order, the first ``held`` also by place."""
+
+    def __init__(self, messages: Iterable[dict], held: int):
+        self.more = iter(messages)
+        self.first = [x for _, x in zip(range(held), self.more)]
+
+    def __getitem__(self, k: int):
+        return self.first[k] if 0 <= k < len(self.first) else MISSING
+
+    def __iter__(self):
+        yield from self.first
+        yield from self.more
+
+
 def _action(node, learned: bool) -> Callable[[dict], Iterator[tuple[str | None, bool]]]:
     kind = node[0]
     if kind == "print":
         of = _value(node[1])
         return lambda scope: iter([(_text(of(scope)), learned)])
+    if kind == "set":
+        to, of = node[1], _value(node[2])
+
+        def put(scope):
+            scope[to] = of(scope)
+            return iter(())
+
+        return put
     if kind == "generation":
         return _action(node[1], True)
     if kind == "block":
@@ -323,25 +440,82 @@ def _action(node, learned: bool) -> Callable[[dict], Iterator[tuple[str | None,
     name, of, body = node[1], _value(node[2]), _action(node[3], learned)
 
     def loop(scope):
-        items = iter(of(scope) or ())
+        given = of(scope)
+        items = iter(given if isinstance(given, (list, dict, Stream)) else ())
         index, nothing = 0, object()
         x = next(items, nothing)
         while x is not nothing:  # one message ahead, for loop.last
             following = next(items, nothing)
             yield from body({**scope, name: x, "loop": {"index0": index, "index": index + 1, "first": index == 0, "last": following is nothing}})
-            yield _ROUND
+            if isinstance(given, Stream):
+                yield _ROUND
             x, index = following, index + 1
 
     return loop
 
 
-def compile_template(template: str) -> Callable[..., Iterator[tuple[str | None, bool]]]:
-    """A function that renders messages (role, text) as they come.
-
-    It yields (text, learned), and (None, False) after each round of a loop.
+def _places(node, inside: bool = False) -> Iterator[tuple[str, int]]:
+    """How a tree uses ``messages``: ("loop", 0), ("loops", 0) within another loop, ("at", place) or ("any", 0)."""
+    if node == ("name", "messages"):
+        yield "any", 0
+    elif node[0] == "for" and node[2] == ("name", "messages"):
+        yield "loops" if inside else "loop", 0
+        yield from _places(node[3], True)
+    elif node[0] == "item" and node[1] == ("name", "messages") and node[2][0] == "literal" and _whole(node[2][1]) and node[2][1] >= 0:
+        yield "at", node[2][1]
+    elif node[0] == "set" and node[1] == "messages":
+        yield "any", 0
+    elif node[0] != "literal":
+        for n in node[1] if node[0] == "block" else node[1:]:
+            if isinstance(n, tuple):
+                yield from _places(n, inside or node[0] == "for")
+
+
+class Template:
+    """A compiled template.
+
+    ``streams``: whether messages are taken as they come. ``turnwise``: whether
+    each message's output depends on that message alone, so that parts of a
+    conversation can be rendered apart.
     """
-    run = _action(fold(parse(template)), False)
-    return lambda messages, **more: run({"messages": messages, **more})
+
+    def __init__(self, template: str):
+        tree = fold(parse(template))
+        uses = list(_places(tree))
+        self.streams = all(u in ("loop", "at") for u, _ in uses) and sum(u == "loop" for u, _ in uses) <= 1
+        self.held = 1 + max((k for u, k in uses if u == "at"), default=-1)
+        nodes = tree[1] if tree[0] == "block" else [tree]
+        self.turnwise = len(nodes) == 1 and nodes[0][0] == "for" and uses == [("loop", 0)] and not _uses_loop(nodes[0][3])
+        self.run = _action(tree, False)
+
+    def __call__(self, messages: Iterable[dict], **more) -> Iterator[tuple[str | None, bool]]:
+        """(text, learned) as messages come, and (None, False) after each round of the loop over them; the rest of them is read too."""
+        if not self.streams:
+            messages = _held(messages)
+        given = Stream(messages, self.held) if self.streams else messages
+        yield from self.run({"messages": given, **more})
+        if self.streams:
+            for _ in given.more:
+                pass
+
+
+def _uses_loop(node) -> bool:
+    return isinstance(node, (tuple, list)) and (node == ("name", "loop") or any(_uses_loop(n) for n in node))
+
+
+def _held(messages: Iterable[dict]) -> list[dict]:
+    out, size = [], 0
+    for m in messages:
+        size += len(m["text"])
+        if size > HELD_CHARS:
+            raise TemplateError(f"this template looks at messages out of order, which a conversation of over {HELD_CHARS} characters can't allow")
+        out.append(m)
+    return out
+
+
+def compile_template(template: str) -> Template:
+    """A function that renders messages (role, text) as they come."""
+    return Template(template)
 
 
 def render(messages: Iterable[dict], template: str = DEFAULT_TEMPLATE) -> tuple[str, list[tuple[int, int]]]:
@@ -378,15 +552,24 @@ def format_conversations(rows: DataFrame, template: str = DEFAULT_TEMPLATE, piec
     (null first), then role and text, so ties and repeated rows all appear, in
     one order. Null role or text counts as empty; rows without conv_id form one
     conversation. ``spans`` has start and end of each learned span in turn. A
-    long conversation has several pieces, each of whole turns.
+    long conversation has several pieces, each of whole turns, numbered in
+    order with gaps; ``n_turns`` counts a piece's turns.
+
+    With a template that renders each message by itself (the default does), a
+    conversation's turns are dealt to ranges, so that one with very many of
+    them, or rows without conv_id, are several tasks' work. Otherwise a
+    conversation is one task's, read as a stream, or held if it must be.
     """
     common.ship(rows.sparkSession)
-    compile_template(template)  # an error shows here, not in a task
+    turnwise = compile_template(template).turnwise  # an error shows here, not in a task
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("turn").cast("long").alias("turn"))
-    ordered = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    dealt = rows.repartitionByRange("conv_id", F.col("turn").asc_nulls_first(), "role", F.substring("text", 1, PREFIX)) if turnwise else rows.repartition(F.col("conv_id"))
+    ordered = dealt.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
 
     def run(batches):
-        go = compile_template(template)
+        from pyspark import TaskContext
+
+        go, number = compile_template(template), TaskContext.get().partitionId() << 32
 
         def each():
             for b in batches:
@@ -395,28 +578,29 @@ def format_conversations(rows: DataFrame, template: str = DEFAULT_TEMPLATE, piec
         it = each()
         row = next(it, None)
         while row is not None:
-            conv = row[0]
+            conv, read, told, piece = row[0], 0, 0, number
 
             def messages():
-                nonlocal row
+                nonlocal row, read
                 while row is not None and row[0] == conv:
+                    read += 1
                     yield {"role": row[1], "text": row[2]}
                     row = next(it, None)
 
-            out, spans, at, turns, piece = [], [], 0, 0, 0
+            out, spans, at, rounds = [], [], 0, 0
             for text, learned in go(messages()):
                 if text is None:
-                    turns += 1
+                    rounds += 1
                     if at >= piece_chars:
-                        yield conv, piece, turns, "".join(out), spans
-                        out, spans, at, turns, piece = [], [], 0, 0, piece + 1
+                        yield conv, piece, rounds - told, "".join(out), spans
+                        out, spans, at, told, piece = [], [], 0, rounds, piece + 1
                 else:
                     if learned:
                         spans += [at, at + len(text)]
                     out.append(text)
                     at += len(text)
-            if turns or at or not piece:
-                yield conv, piece, turns, "".join(out), spans
+            if read > told or at or piece == number:
+                yield conv, piece, read - told, "".join(out), spans
 
     return common.materialise(ordered.mapInArrow(_grouped(run), FORMATTED), "chat")
 
