@@ -1,11 +1,13 @@
 """Personal data in texts, found by labelers that vote, with DataFrame functions only.
 
 Four patterns with their checks give the base spans: e-mail addresses, IP
-addresses, payment cards, phone numbers. Looser patterns give further
-candidates: addresses spelled out (``(at)``), phone numbers without ``+``,
-15-digit cards, IPv6. On every candidate four labelers vote yes, no or not at
-all: the pattern's own check, a gazetteer (issuers, dialling codes, domain
-ends), cue words before the span, and the characters beside it.
+addresses, payment cards, phone numbers. In what base spans leave of a text,
+looser patterns give further candidates: addresses spelled out (``(at)``), phone
+numbers without ``+``, 15-digit cards, IPv6, bank accounts (IBAN) and secrets
+(values assigned to a word such as token, keys of known shapes). On every
+candidate four labelers vote yes, no or not at all: the pattern's own check, a
+gazetteer (issuers, dialling codes, domain ends, shapes of keys), cue words
+before the span, and the characters beside it.
 
 Expectation-maximisation over the counted vote patterns estimates how reliable
 each labeler is; a naive Bayes span classifier is then trained on the expected
@@ -14,7 +16,8 @@ for personal data join the result; base spans always stay.
 
 Patterns are written so that matching never backtracks over a run again
 (possessive parts, starts only at a run's start or where the last match ended),
-so long texts take linear time. Positions are code points, end exclusive.
+and places are summed in chunks, so long texts, and texts with very many
+matches, take near-linear time. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -22,9 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import checksums
+from ..functions import spans as S
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only the method adds, after the others.
+ADDED = ("iban", "secret")
 #: The base patterns, in a form that gives the same matches in linear time.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -37,7 +44,11 @@ FURTHER = {
     "ip": r"(?:(?<![0-9A-Fa-f:])|\G)[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}",
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[ -]?+[0-9]){14}+(?![ -]?[0-9])",
     "phone": r"(?:(?<![0-9+().-])|\G)(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "secret": r"""(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?)["']?+\s{0,3}+(?:[:=]|=>)\s{0,3}+(?:bearer )?["']?+((?=[a-z+/_=.~-]*+[0-9])[a-z0-9+/_=.~-]{16,}+)""",
 }
+#: The group that is a pattern's value, if not the whole match.
+GROUP = {"secret": 1}
 #: Cheap conditions that hold wherever a pattern can match.
 GATE = {
     "email": "contains(text, '@')",
@@ -50,6 +61,8 @@ FURTHER_GATE = {
     "ip": r"text rlike r'(?::[0-9A-Fa-f]{1,4}+){7}'",
     "card": r"text rlike r'[0-9](?:[ -]?[0-9]){14}'",
     "phone": r"text rlike r'[0-9]{3}[ .-][0-9]{4}'",
+    "iban": r"text rlike r'[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}'",
+    "secret": r"text rlike r'(?i)(?:token|secret|passw|pwd|key|auth)[a-z]{0,12}[^a-z]{1,8}(?:bearer )?[a-z0-9]'",
 }
 #: Cue words before a span, for and against, in the corpus's languages.
 FOR = {
@@ -57,12 +70,14 @@ FOR = {
     "ip": r"(?i)\b(?:ip|host|server|serveur|servidor|address|adresse|from|login|client|ping|via)\b",
     "card": r"(?i)\b(?:card|visa|master|amex|credit|debit|pay|karte|carte|tarjeta|cvv|pan)",
     "phone": r"(?i)(?:\b(?:phone|tel|call|mobile|cell|fax|text|sms|appel|ruf|llama|m[oó]vil|handy|contact)|☎)",
+    "iban": r"(?i)\b(?:iban|account|bank|compte|konto|cuenta|rib)",
 }
 AGAINST = {
     "email": r"(?i)\b(?:sha|git|ssh|commit|pattern)",
     "ip": r"(?i)\b(?:version|release|section|chapter|v|rev|build)\W*$",
     "card": r"(?i)\b(?:isbn|ean|order|invoice|serial|sku|hash|token|id|nr|no)\W*$",
     "phone": r"(?i)\b(?:isbn|order|invoice|serial|sku|version|page|hash|token|part)\W*$",
+    "iban": r"(?i)\b(?:isbn|serial|sku|hash|token|part)\W*$",
 }
 #: Gazetteers as patterns over the span: domain ends, address ranges, issuers, dialling codes.
 KNOWN = {
@@ -70,6 +85,8 @@ KNOWN = {
     "ip": r"^(?:[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])\.|:",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9][0-8][0-9])",
+    "iban": r"^(?:A[DELTZ]|B[AEGHRY]|C[HRYZ]|D[EKO]|E[EGS]|F[IOR]|G[BEILRT]|H[RU]|I[ELQST]|JO|K[WZ]|L[BCITUVY]|M[CDEKRTU]|N[LO]|P[KLST]|QA|R[OS]|S[ACEIKMTV]|T[LNR]|UA|V[AG]|XK)",
+    "secret": r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_\w{36}|sk-[\w-]{20,}|xox[a-z]-[\w-]{10,}|eyJ[\w-]+\.[\w-]+\.[\w-]*)$",
 }
 LABELERS = 4
 ROUNDS = 25
@@ -79,16 +96,6 @@ WINDOW = 40
 _SPAN = "struct<kind:string,s:int,e:int,base:boolean,votes:array<int>,size:int>"
 
 
-def spans_sql(pattern: str) -> str:
-    """SQL for the matches of a pattern in ``text``: array of (s, e, v)."""
-    p = f"r'{pattern}'"
-    return f"""aggregate(
-      filter(zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, h) -> named_struct('g', length(g), 'h', h)), x -> x.h IS NOT NULL),
-      named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int,v:string>>)),
-      (a, x) -> named_struct('at', a.at + x.g + length(x.h), 'out', array_append(a.out, named_struct('s', a.at + x.g, 'e', a.at + x.g + length(x.h), 'v', x.h))),
-      a -> a.out)"""
-
-
 _DIGITS = "regexp_replace(x.v, '[^0-9]', '')"
 _VALID = {
     "email": "true",
@@ -96,38 +103,36 @@ _VALID = {
     "card": f"length({_DIGITS}) BETWEEN 16 AND 19 AND luhn_check({_DIGITS})",
     "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
 }
-_FURTHER_VALID = {"email": "true", "ip": "true", "card": f"luhn_check({_DIGITS})", "phone": "true"}
+_FURTHER_VALID = {"email": "true", "ip": "true", "card": f"luhn_check({_DIGITS})", "phone": "true", "iban": checksums.iban("x.v"), "secret": "true"}
 #: The pattern labeler's vote on candidates beyond the base.
-_FURTHER_VOTE = {"email": "1", "ip": "1", "card": r"if(x.v rlike '^3[47]', 1, 0)", "phone": r"if(x.v rlike r'^\(?[2-9][0-9]{2}\)?[ .-]?[2-9]', 1, 0)"}
+_FURTHER_VOTE = {"email": "1", "ip": "1", "card": r"if(x.v rlike '^3[47]', 1, 0)", "phone": r"if(x.v rlike r'^\(?[2-9][0-9]{2}\)?[ .-]?[2-9]', 1, 0)", "iban": "1", "secret": "if(x.v rlike '[A-Za-z]', 1, 0)"}
 
 
 def _candidates(kind: str, base: bool) -> str:
-    """SQL for one kind's candidates with their votes."""
+    """SQL for one kind's candidates with their votes, in ``text``."""
     pattern, gate, valid = (BASE[kind], GATE[kind], _VALID[kind]) if base else (FURTHER[kind], FURTHER_GATE[kind], _FURTHER_VALID[kind])
-    before = f"substring(text, greatest(1, x.s + 1 - {WINDOW}), least(x.s, {WINDOW}))"
-    beside = "concat(if(x.s > 0, substring(text, x.s, 1), ' '), substring(concat(text, ' '), x.e + 1, 1))"
-    votes = [
-        "1" if base else _FURTHER_VOTE[kind],
-        f"if(x.v rlike r'{KNOWN[kind]}', 1, 0)",
-        f"CASE WHEN {before} rlike r'{AGAINST[kind]}' THEN 0 WHEN {before} rlike r'{FOR[kind]}' THEN 1 ELSE -1 END",
-        rf"if({beside} rlike r'[\p{{L}}0-9_/=-]', 0, 1)",
-    ]
+    group = 0 if base else GROUP.get(kind, 0)
+    # a value that is a part of its match has its cue there, and no characters of the text before it at hand
+    cue = "1" if group else f"CASE WHEN x.b rlike r'{AGAINST[kind]}' THEN 0 WHEN x.b rlike r'{FOR[kind]}' THEN 1 ELSE -1 END"
+    beside = "x.a" if group else "concat(right(x.b, 1), x.a)"
+    votes = ["1" if base else _FURTHER_VOTE[kind], f"if(x.v rlike r'{KNOWN[kind]}', 1, 0)", cue, rf"if({beside} rlike r'[\p{{L}}0-9_/=-]', 0, 1)"]
     made = f"named_struct('kind', '{kind}', 's', x.s, 'e', x.e, 'base', {str(base).lower()}, 'votes', array({', '.join(votes)}), 'size', least(31, x.e - x.s))"
-    return f"CASE WHEN {gate} THEN transform(filter({spans_sql(pattern)}, x -> {valid}), x -> {made}) ELSE cast(array() AS array<{_SPAN}>) END"
+    return f"CASE WHEN {gate} THEN transform(filter({S.hits('text', pattern, group, WINDOW)}, x -> {valid}), x -> {made}) ELSE cast(array() AS array<{_SPAN}>) END"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``docs``' columns with ``found``: base and further candidates of each text.
 
-    A further candidate that overlaps a base span is left out.
+    Further ones are looked for in the text with ``=`` for every character of a
+    base span, so that none overlaps a base span.
     """
-    text = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    wide = text.select("*", *[F.expr(_candidates(k, b)).alias(f"__{k}_{int(b)}") for k in KINDS for b in (True, False)])
-    base = "concat(" + ", ".join(f"__{k}_1" for k in KINDS) + ")"
-    further = "concat(" + ", ".join(f"__{k}_0" for k in KINDS) + ")"
-    both = wide.withColumn("__base", F.expr(base)).withColumn("__further", F.expr(further))
-    found = F.expr("CASE WHEN size(__further) = 0 THEN __base ELSE concat(__base, filter(__further, x -> NOT exists(__base, y -> y.s < x.e AND x.s < y.e))) END")
-    return both.select(*docs.columns, found.alias("found"))
+    wide = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    wide = wide.select("*", *[F.expr(_candidates(k, True)).alias(f"__{k}_1") for k in KINDS]).withColumn("__whole", F.col("text"))
+    for k in KINDS:
+        wide = wide.withColumn("text", F.expr(f"CASE WHEN size(__{k}_1) = 0 THEN text ELSE {S.rewritten('text', f'__{k}_1', chr(39).join(('repeat(', '=', ', x.e - x.s)')))} END"))
+    further = (*KINDS, *ADDED)
+    wide = wide.select("*", *[F.expr(_candidates(k, False)).alias(f"__{k}_0") for k in further]).withColumn("text", F.col("__whole"))
+    return wide.withColumn("found", F.concat(*[F.col(f"__{k}_1") for k in KINDS], *[F.col(f"__{k}_0") for k in further])).select(*docs.columns, "found")
 
 
 def _posterior(x: str, state: str) -> str:
@@ -192,7 +197,7 @@ def classified(found: DataFrame, model: dict[str, float]) -> DataFrame:
         score = f"aggregate({features}, {model['bias']!r}D, (s, f) -> s + coalesce({known}[f], 0D))"
     else:
         score = "-1D"
-    kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    kinds = "array(" + ", ".join(f"'{k}'" for k in (*KINDS, *ADDED)) + ")"
     rank = f"CASE WHEN l.kind <> r.kind THEN cast(array_position({kinds}, l.kind) - array_position({kinds}, r.kind) AS int) ELSE l.s - r.s END"
     return found.withColumn("found", F.expr(f"CASE WHEN size(found) = 0 THEN found ELSE array_sort(filter(found, x -> x.base OR {score} > 0), (l, r) -> {rank}) END"))
 
@@ -202,7 +207,7 @@ def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     ``docs`` has a column text; null counts as empty. Candidates are found
     once, written, counted for the classifier, and judged. ``found`` holds
-    (kind, s, e, base, votes, size), by kind in the order of KINDS, then start.
+    (kind, s, e, base, votes, size), by kind in the order of KINDS and ADDED, then start.
     No text, or no match, gives an empty array; repeated rows are judged alike
     and counted each; an empty table gives no row.
     """
@@ -212,21 +217,20 @@ def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by kind of all spans, the base spans' digest, and all spans written out."""
+    """Counts of base spans by kind, their digest, and all spans written out and counted."""
     written = "array_join(transform(%s, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.expr(f"cast(size(filter(found, x -> x.kind = '{k}' AND x.base)) AS bigint)").alias(f"n_{k}") for k in KINDS],
         F.expr(f"sha2({written % 'filter(found, x -> x.base)'}, 256)").alias("base_sha256"),
         F.expr(written % "found").alias("spans"),
+        F.expr("cast(size(found) AS bigint)").alias("n_spans"),
     )
 
 
 def masked(text: str = "text", found: str = "found") -> Column:
     """The text with each span, or run of overlapping spans, replaced by its kind in brackets."""
     by_start = f"array_sort({found}, (l, r) -> CASE WHEN l.s <> r.s THEN l.s - r.s ELSE r.e - l.e END)"
-    return F.expr(f"""CASE WHEN size({found}) = 0 THEN {text} ELSE aggregate({by_start},
-      named_struct('at', 0, 'out', ''),
-      (a, x) -> CASE WHEN x.s >= a.at THEN named_struct('at', x.e, 'out', concat(a.out, substring({text}, a.at + 1, x.s - a.at), '[', upper(x.kind), ']'))
-                     ELSE named_struct('at', greatest(a.at, x.e), 'out', a.out) END,
-      a -> concat(a.out, substring({text}, a.at + 1))) END""")
+    one = "named_struct('s', r[0].s, 'e', array_max(transform(r, x -> x.e)), 'kind', r[0].kind)"
+    runs = S.let("o", by_start, S.runs("o", one))
+    return F.expr(f"CASE WHEN size({found}) = 0 THEN {text} ELSE {S.rewritten(text, runs, "concat('[', upper(x.kind), ']')")} END")
