@@ -1,16 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased and cut into runs of 1 to 4 bytes of UTF-8, each hashed
-into ``2**BITS`` buckets. Learning counts buckets per language over a bounded
+Texts are lower-cased and cut into runs of 1 to 4 characters (code points), each
+hashed into ``2**BITS`` buckets. Learning counts buckets per language over a bounded
 sample of labelled rows; the matrix of log probabilities (``2**BITS`` rows, one
 column a language: a fixed size) is broadcast, and each batch of texts is
 scored in numpy by gathering and summing its rows.
 
 The score is the chosen language's posterior probability for one average
-n-gram stretch of ``TEMPER`` bytes, so that long texts don't all score 1.
+n-gram stretch of ``TEMPER`` characters, so that long texts don't all score 1.
 Null texts and texts without a letter get ``und`` and score 0. Ties go to the
 language that sorts first; without any labelled row everything is ``und``.
-Repeated rows give repeated results; extra columns are left alone.
+Repeated rows give repeated results, and are all learned or all not; rows
+without an id are sampled by their texts; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -30,26 +31,28 @@ SAMPLE_ROWS = 1500
 TEMPER = 200
 UNKNOWN = "und"
 SCHEMA = "lang_pred string, score double"
-_MULTIPLY = np.uint32(0x9E3779B1)
+_MULTIPLY, _STEP = np.uint32(0x9E3779B1), np.uint32(0x01000193)
 
 
-def gram_hashes(raw: np.ndarray, order: int) -> np.ndarray:
-    """Buckets of all runs of ``order`` bytes of one buffer."""
-    n = len(raw) - order + 1
+def gram_hashes(chars: np.ndarray, order: int) -> np.ndarray:
+    """Buckets of all runs of ``order`` characters of one buffer of code points."""
+    n = len(chars) - order + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
     x = np.full(n, order, np.uint32)
     for k in range(order):
-        x = (x << np.uint32(8)) ^ (x >> np.uint32(24)) ^ raw[k : k + n]
+        x *= _STEP
+        x += chars[k : k + n]
+    x ^= x >> np.uint32(15)
     x *= _MULTIPLY
     return x >> np.uint32(32 - BITS)
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one buffer, a line end after each, and where each begins."""
-    raw = [t.encode("utf-8") + b"\n" for t in texts]
-    sizes = np.array([len(r) for r in raw], np.int64)
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes
+    """The code points of all texts in one buffer, a line end after each, and where each begins."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    whole = "".join([t + "\n" for t in texts])
+    return np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(sizes) - sizes
 
 
 def count(texts: list[str]) -> np.ndarray:
@@ -61,8 +64,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.
     """Languages, sorted, and the log probability of each bucket in each.
 
     ``docs`` has (doc_id, text, lang); rows without text or lang are left out.
-    Of each language the rows are learned whose hashed id falls under a share
-    of ``sample_rows`` to all its rows. Buckets are counted and summed on the
+    Of each language the rows are learned whose hashed id and text fall under a
+    share of ``sample_rows`` to all its rows. Buckets are counted and summed on the
     executors; the driver gets 2**BITS sums a language at most.
     """
     common.ship(docs.sparkSession)
@@ -71,7 +74,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.
     if not sizes:
         return [], np.zeros((1 << BITS, 0), np.float32)
     shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_rows / r["n"]) * 1e6)])
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < shares[F.col("lang")]).select("lang", F.lower("text").alias("text"))
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < shares[F.col("lang")]).select("lang", F.lower("text").alias("text"))
 
     def counts(batches):
         found: dict[str, np.ndarray] = {}
