@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common, token_files
 
-#: Chunks and pairs kept by a worker; beyond, chunks are computed as they come.
-CACHE_CHUNKS, CACHE_PAIRS = 450_000, 2_000_000
+#: Chunks, their bytes and pairs kept by a worker; beyond, chunks are computed as they come.
+CACHE_CHUNKS, CACHE_BYTES, CACHE_PAIRS = 450_000, 64 << 20, 2_000_000
 #: Stands for the mark of a word's end in the automaton's alphabet.
 _END = "\ue000"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -78,6 +78,7 @@ class PrefixBPE:
         self._edges: tuple[dict, dict] = ({}, {})
         self._pairs: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, tuple[int, bytes, bytes]] = {"": (0, b"", b"")}
+        self.cached = 0
 
     def _symbols(self, text: str) -> list[str]:
         return [*text[:-2], text[-2:]] if text.endswith(_END) else [*text]
@@ -146,6 +147,8 @@ class PrefixBPE:
                     last[end], size[end] = token, length
         out, at = [], n
         while at:
+            if last[at] is None:
+                raise ValueError(f"the vocabulary has no token for a symbol of {text[:40]!r}")
             out.append(last[at])
             at -= size[at]
         return out[::-1]
@@ -187,8 +190,9 @@ class PrefixBPE:
             x = known.get(c)
             if x is None:
                 x = self.chunk(c)
-                if len(known) < CACHE_CHUNKS:
+                if len(known) < CACHE_CHUNKS and self.cached < CACHE_BYTES:
                     known[c] = x
+                    self.cached += len(c) + len(x[1]) + len(x[2])
             if x[0]:
                 out.append(x)
         if not out:

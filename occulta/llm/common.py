@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import uuid
 import zipfile
 from pathlib import Path
@@ -26,8 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default only if none is set."""
+    """The folder that driver and executors share; a default only if none is set and all run on one machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (base or "/tmp/checkpoints").rstrip("/")
 
 

@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: Distinct chunks kept by a worker; later ones are encoded batch by batch.
-CACHE_CHUNKS = 500_000
+#: Distinct chunks kept by a worker, and their bytes; later ones are encoded batch by batch.
+CACHE_CHUNKS, CACHE_BYTES = 500_000, 64 << 20
 #: A word of letters that neither normalisation nor lower-casing can break up,
 #: and at most one mark after it: two pieces to the pre-tokeniser.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -58,6 +58,7 @@ class ChunkEncoder:
         #: Whether the vocabulary's own rules fold case, as a sample shows.
         self.folds = self._one("The Äß, x.") == self._one("the äß ,x .")
         self.cache: dict[str, bytes] = {"": b""}
+        self.cached = 0
 
     def _one(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -118,7 +119,11 @@ class ChunkEncoder:
         known = self.cache
         new = set().union(*split).difference(known)
         found = self._encode_new(list(new)) if new else {}
-        full = len(known) >= CACHE_CHUNKS
+        size = sum(map(len, found)) + sum(map(len, found.values()))
+        # a batch of very long chunks is as little kept as one that comes late
+        full = len(known) >= CACHE_CHUNKS or self.cached + size > CACHE_BYTES
+        if not full:
+            self.cached += size
         known.update(found)
         get = known.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
