@@ -2,15 +2,21 @@
 
 On a bounded sample, principal axes are found and rotations learned that bring
 the rotated coordinates near the corners of a cube; their signs are balanced
-binary codes. Cut into substrings, the codes index several tables; vectors that
-agree on a whole substring meet, and their cosine is computed from the original
-vectors, in double precision. A pair that meets in several tables counts in
-the first. With substrings of ``w`` bits and angles up to that of the threshold
-a pair meets in one table with probability ``(1 - angle / pi) ** w``; as many
-tables are made as miss a pair at the threshold in 1 of 1000 cases. Codes are
-about the mean, which widens angles where vectors share a direction: tables are
-made for the widest possible. Where that takes too many, codes are about zero,
-and where buckets get too large, all vectors are compared with all (see ``Codes``).
+binary codes. Cut into substrings of ``w`` bits, a code has a place in as many
+tables. Vectors that agree on a whole substring meet there: all pairs of fewer
+than ``tables`` different bits do, and of others so many that a pair at the
+threshold is missed once in 1 / ``MISS`` cases, for it meets in one table with
+probability ``(1 - angle / pi) ** w``. Where pairs meet, the Hamming distance of
+their whole codes is computed, in blocks; a pair counts in the first table it
+meets in, if at most ``radius`` bits differ, which a pair at the threshold
+exceeds once in 1 / ``FAR`` cases. Only ids and codes are dealt to tables;
+vectors are fetched for the rows that have a partner there, and links are
+decided by the cosine of the original vectors, in double precision.
+
+Codes are about the mean, which widens angles where vectors share a direction:
+tables and radius are made for the widest possible. Where that takes too many
+tables, codes are about zero, and where buckets get too large, all vectors are
+compared with all (see ``Codes``).
 
 Equal vectors are one class before all this. A bucket beyond ``BLOCK`` rows is
 compared block against block in several tasks, whole. Links within a task
@@ -33,10 +39,11 @@ COSINE = 0.9
 SAMPLE_ROWS = 10_000
 #: Rows aimed at in a bucket; most bits of a code from one rotation.
 BUCKET, BITS = 256, 64
-MISS = 0.001
+#: Shares of pairs at the threshold that meet in no table, and that are too far by their codes.
+MISS, FAR = 1e-4, 1e-6
 BLOCK, TILE = 4096, 512
-#: What a copy of a row in a shuffle costs, in pairs compared.
-COPY = 500
+#: What a copy of a row's code, and of its vector, in a shuffle costs, in pairs of codes compared.
+COPY, VECTOR_COPY = 200, 1000
 ITERATIONS = 30
 SCHEMA = "vec_id long, n_links long, component_id long, kept boolean"
 
@@ -57,6 +64,10 @@ class Codes:
       needs all axes, and that planted pairs of the sample meet as often.
     * plain: signs about zero after random rotations; the angle is the threshold's.
     * whole: one table of no bits, all vectors against all, where these would cost more.
+
+    ``radius``: bits by which linked vectors' codes differ at most; bits of one
+    rotation differ less often together than bits that know nothing of one
+    another, for which it is made.
     """
 
     def __init__(self, sample: np.ndarray, rows: int, least: float = COSINE):
@@ -65,8 +76,8 @@ class Codes:
         mean = sample.mean(axis=0)
         half = math.sqrt(max(0.0, 2 - 2 * least)) / 2
         far = 1 - float(np.linalg.norm(mean))
-        self.plan, self.mean, self.w, self.tables, self.planes = "whole", np.zeros(self.width), 0, 1, np.zeros((self.width, 0))
-        cost = self._cost(sample, rows)
+        self.plan, self.mean, self.w, self.tables, self.planes, self.radius = "whole", np.zeros(self.width), 0, 1, np.zeros((self.width, 0)), 0
+        cost = self._cost(sample, rows) + rows * VECTOR_COPY
         plans = [("plain", np.zeros(self.width), math.acos(least))]
         if self.width <= BITS and half < far:
             plans.insert(0, ("learned", mean, 2 * math.asin(half / far)))
@@ -77,7 +88,7 @@ class Codes:
             if rows * tables * COPY >= cost:
                 continue
             self.plan, self.mean, self.w, self.tables = plan, centre, bits, tables
-            self.planes = self._planes(sample, rng)
+            self.planes, self.radius = self._planes(sample, rng), within(bits * tables, angle / math.pi)
             if plan == "learned" and self.missed(sample, least, rng) > 2 * MISS:
                 continue
             # bits that are learned win unless others are a tenth cheaper
@@ -121,10 +132,34 @@ class Codes:
             return 0.0
         return float((self.of(some) != self.of(least * some + math.sqrt(1 - least * least) * to)).all(axis=1).mean())
 
+    def bits(self, rows: np.ndarray) -> np.ndarray:
+        return (rows - self.mean) @ self.planes >= 0
+
+    def packed(self, bits: np.ndarray) -> np.ndarray:
+        """Codes as rows of bytes."""
+        return np.packbits(bits, axis=1, bitorder="little")
+
+    def substrings(self, bits: np.ndarray) -> np.ndarray:
+        """One number of ``w`` bits for each table."""
+        return (bits.reshape(len(bits), self.tables, self.w) @ (1 << np.arange(self.w, dtype=np.int64))).astype(np.int32)
+
+    def unpacked(self, codes: np.ndarray) -> np.ndarray:
+        return np.unpackbits(codes, axis=1, count=self.w * self.tables, bitorder="little").astype(bool)
+
     def of(self, rows: np.ndarray) -> np.ndarray:
-        """One 32-bit number for each table of each row (of unit length)."""
-        signs = ((rows - self.mean) @ self.planes >= 0).reshape(len(rows), self.tables, self.w)
-        return (signs @ (1 << np.arange(self.w, dtype=np.int64))).astype(np.int32)
+        """One number for each table of each row (of unit length)."""
+        return self.substrings(self.bits(rows))
+
+
+def within(bits: int, p: float) -> int:
+    """The number of ``bits`` that differ, each with probability ``p``, in all but ``FAR`` cases."""
+    logs = [math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log1p(-p) for k in range(bits + 1)]
+    tail = 0.0
+    for k in range(bits, -1, -1):
+        tail += math.exp(logs[k])
+        if tail > FAR:
+            return k
+    return 0
 
 
 def rotation(data: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -144,34 +179,55 @@ def fit(rows: DataFrame, n: int, least: float = COSINE) -> Codes | None:
     if not got:
         return None
     width = max(got, key=lambda k: (len(got[k]), k))
-    return Codes(unit(np.array(got[width])), n, least)
+    return Codes(unit(got[width]), n, least)
 
 
-def vectors_of(rows: DataFrame) -> dict[int, list]:
-    by: dict[int, list] = {}
-    for v in rows.select("v").toArrow()["v"].to_pylist():
-        by.setdefault(len(v), []).append(v)
-    return by
+def vectors_of(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The vectors as matrices, by their lengths."""
+    column = rows.select("v").toArrow()["v"].combine_chunks()
+    sizes = np.array([len(v) for v in column], np.int64)
+    return {int(n): vectors.matrix(column.take(pa.array(np.flatnonzero(sizes == n)))) for n in np.unique(sizes)}
 
 
-def links_in_block(x: dict, y: dict, same: bool, table: int, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Counts for the rows of either side, and a forest's links (left row, right row).
+def words_of(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit words."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
 
-    Rows are numbered over both sides, left first; ``same``: both are one side.
-    """
-    n, m = len(x["unit"]), len(y["unit"])
-    counts_x, counts_y, forest = np.zeros(n), np.zeros(m), []
-    for a in range(0, n, TILE):
-        close = x["unit"][a : a + TILE] @ y["unit"].T >= least
-        r, c = np.nonzero(close)
+
+def close_codes(x: dict, y: dict, same: bool, table: int, radius: int):
+    """(rows, rows) of pairs within the radius that meet in no table before this, part by part; left ones first if ``same``."""
+    for a in range(0, len(x["words"]), TILE):
+        far = np.zeros((len(x["words"][a : a + TILE]), len(y["words"])), np.uint16)
+        for k in range(x["words"].shape[1]):
+            far += np.bitwise_count(x["words"][a : a + TILE, k, None] ^ y["words"][None, :, k])
+        r, c = np.nonzero(far <= radius)
         r += a
         if same:
             r, c = r[r < c], c[r < c]
-        first = np.empty(len(r), bool)
         for k in range(0, len(r), 1 << 20):
             s = slice(k, k + (1 << 20))
-            first[s] = (x["codes"][r[s]] == y["codes"][c[s]]).argmax(axis=1) == table
-        r, c = r[first], c[first]
+            first = (x["codes"][r[s]] == y["codes"][c[s]]).argmax(axis=1) == table
+            yield r[s][first], c[s][first]
+
+
+def close_vectors(x: dict, y: dict, same: bool, least: float):
+    """The same for pairs whose cosine is about ``least`` or more, of all pairs."""
+    for a in range(0, len(x["unit"]), TILE):
+        r, c = np.nonzero(x["unit"][a : a + TILE] @ y["unit"].T >= least - 1e-9)
+        r += a
+        yield (r[r < c], c[r < c]) if same else (r, c)
+
+
+def links_in_block(x: dict, y: dict, same: bool, pairs, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Counts for the rows of either side, and a forest's links (left row, right row), among ``pairs``.
+
+    Rows are numbered over both sides, left first; ``same``: both are one side.
+    """
+    n, m = len(x["unit"]), len(y["unit"])
+    counts_x, counts_y, forest = np.zeros(n), np.zeros(m), []
+    for r, c in pairs:
+        near = np.concatenate([np.einsum("ij,ij->i", x["unit"][r[k : k + 65_536]], y["unit"][c[k : k + 65_536]]) >= least for k in range(0, len(r), 65_536)]) if len(r) else np.zeros(0, bool)
+        r, c = r[near], c[near]
         if not len(r):
             continue
         counts_x += np.bincount(r, y["n"][c], minlength=n)
@@ -205,61 +261,116 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = COSINE) -> Data
     spark = embeddings.sparkSession
     common.ship(spark)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(vectors.usable("embedding") & F.exists("embedding", lambda x: x != 0), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))).alias("v"))
-    rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.concat(F.hex(F.xxhash64("v")), F.lit("."), F.hex(F.xxhash64(F.reverse("v"))), F.lit("."), F.size("v"))))
+    digest = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(x, F.size("v"))), 16, "0") for x in ("v", F.reverse("v"))]))
+    rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), digest))
     classes = common.materialise(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("v").alias("v")), "vectors")
-    codes = fit(classes, classes.count(), least)
+    total = classes.count()
+    codes = fit(classes, total, least)
     if codes is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    known = spark.sparkContext.broadcast(codes)
+    # a node's order is that of its least id, so that a component's name has it too; rows without an id come last
+    node = F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id", "key")
+    # numbers that came as 32-bit floats travel as such
+    narrow = dict(embeddings.dtypes)["embedding"] == "array<float>"
+    classes = classes.select(node.alias("node"), "key", "n", (F.col("v").cast("array<float>") if narrow else F.col("v")).alias("v"), F.size("v").alias("d"))
+    if codes.plan == "whole":
+        met = blocked(classes.select("key", "d", F.lit(0).alias("t"), F.lit(0).alias("code")))
+    else:
+        met = common.materialise(partners(classes, codes), "partners")
+    found = common.materialise(linked(met, classes, codes, least), "found")
+    counts = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    placed_in = graph.components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).select("node", "component")
+    nodes = classes.select("node", "key", "n").join(placed_in, "node", "left").join(counts, "node", "left")
+    of_key = nodes.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node")["vec_id"].alias("component_id"))
+    return rows.select("vec_id", "key").join(of_key, "key", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
+    ).withColumn("kept", F.expr("vec_id <=> component_id"))
+
+
+def blocked(placed: DataFrame) -> DataFrame:
+    """``placed(key, d, t, code, ...)``, each row once for each pair of blocks (a, b) of its bucket that it is in; ``i`` is its own block."""
+    heavy = placed.groupBy("d", "t", "code").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK)
+    parts = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
+    dealt = placed.join(heavy, ["d", "t", "code"], "left").withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    return dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("a", F.least("i", "j")).withColumn("b", F.greatest("i", "j")).drop("m", "parts", "j")
+
+
+def partners(classes: DataFrame, codes: Codes) -> DataFrame:
+    """(key, d, t, code, a, b, i, bits): rows that have another within the radius in a bucket's pair of blocks, and their codes.
+
+    Pairs meet in the first table they can; no pair leaves a task.
+    """
+    known = classes.sparkSession.sparkContext.broadcast(codes)
 
     def code(batches):
         c = known.value
         for b in batches:
             got = b.column(2)
-            out = np.zeros((b.num_rows, c.tables), np.int32)
             fits = np.flatnonzero(np.array([len(v) == c.width for v in got]))
+            # vectors of another length than the sample's meet by their length alone
+            bits = np.zeros((b.num_rows, c.w * c.tables), bool)
             if len(fits):
-                out[fits] = c.of(unit(vectors.matrix(got.take(pa.array(fits)))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.tolist(), pa.list_(pa.int32()))], ["key", "n", "v", "codes"])
+                bits[fits] = c.bits(unit(vectors.matrix(got.take(pa.array(fits)))))
+            numbers = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * c.tables + 1, c.tables, dtype=np.int32)), pa.array(c.substrings(bits).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in c.packed(bits)], pa.binary()), numbers], ["key", "d", "bits", "codes"])
 
-    coded = classes.select("key", "n", "v").mapInArrow(code, "key string, n long, v array<double>, codes array<int>")
-    # numbers that came as 32-bit floats travel as such
-    narrow = dict(embeddings.dtypes)["embedding"] == "array<float>"
-    spread = coded.select("key", "n", (F.col("v").cast("array<float>") if narrow else F.col("v")).alias("v"), "codes", F.size("v").alias("d"), F.posexplode("codes").alias("t", "code"))
-    heavy = coded.select(F.size("v").alias("d"), F.posexplode("codes").alias("t", "code")).groupBy("d", "t", "code").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK)
-    blocks = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
-    placed = spread.join(heavy, ["d", "t", "code"], "left").withColumn("parts", blocks).withColumn("i", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    paired = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("d", "t", "code", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "key", "n", "v", "codes")
+    coded = classes.select("key", "d", "v").mapInArrow(code, "key binary, d int, bits binary, codes array<int>")
+    placed = blocked(coded.select("key", "d", "bits", F.posexplode("codes").alias("t", "code")))
+
+    def close(group: pa.Table) -> pa.Table:
+        c = known.value
+        if group.num_rows < 2:
+            return group.slice(0, 0)
+        table, a, b = (group[x][0].as_py() for x in ("t", "a", "b"))
+        side, sides = group["i"].to_numpy(), _sides(group, c)
+        left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
+        x, y = ({k: v[at] for k, v in sides.items()} for at in (left, right))
+        some = np.zeros(group.num_rows, bool)
+        for r, s in close_codes(x, y, a == b, table, c.radius):
+            some[left[r]] = some[right[s]] = True
+        return group.filter(pa.array(some))
+
+    schema = "d int, t int, code int, key binary, bits binary, i int, a int, b int"
+    return placed.select("d", "t", "code", "key", "bits", "i", "a", "b").groupBy("d", "t", "code", "a", "b").applyInArrow(close, schema)
+
+
+def _sides(group: pa.Table, codes: Codes) -> dict[str, np.ndarray]:
+    packed = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint8).reshape(group.num_rows, -1)
+    return {"words": words_of(packed), "codes": codes.substrings(codes.unpacked(packed))}
+
+
+def linked(met: DataFrame, classes: DataFrame, codes: Codes, least: float) -> DataFrame:
+    """(node, other, links): a row's number of links within a pair of blocks (other null), and the links of a forest (0)."""
+    known = classes.sparkSession.sparkContext.broadcast(codes)
+    kind = dict(classes.dtypes)["node"]
 
     def compare(group: pa.Table) -> pa.Table:
-        none = pa.table({"key": pa.array([], pa.string()), "other": pa.array([], pa.string()), "links": pa.array([], pa.int64())})
+        c, given = known.value, group["node"].combine_chunks()
+        nodes = pa.StructArray.from_arrays(given.flatten(), names=[f.name for f in given.type])
+        none = pa.table({"node": nodes[:0], "other": nodes[:0], "links": pa.array([], pa.int64())})
         if group.num_rows < 2:
             return none
-        table, a, b = (group[c][0].as_py() for c in ("t", "a", "b"))
-        names, side = np.array(group["key"].to_pylist(), object), group["i"].to_numpy()
-        all_ = {"unit": unit(vectors.matrix(group["v"])), "n": group["n"].to_numpy(), "codes": np.array(group["codes"].to_pylist(), np.int32)}
+        table, a, b = (group[x][0].as_py() for x in ("t", "a", "b"))
+        side = group["i"].to_numpy()
+        sides = {"unit": unit(vectors.matrix(group["v"])), "n": group["n"].to_numpy()} | ({} if c.plan == "whole" else _sides(group, c))
         left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
-        x, y = ({k: v[at] for k, v in all_.items()} for at in (left, right))
-        counts_x, counts_y, forest = links_in_block(x, y, a == b, table, least)
+        x, y = ({k: v[at] for k, v in sides.items()} for at in (left, right))
+        pairs = close_vectors(x, y, a == b, least) if c.plan == "whole" else close_codes(x, y, a == b, table, c.radius)
+        counts_x, counts_y, forest = links_in_block(x, y, a == b, pairs, least)
         order = left if a == b else np.concatenate([left, right])
-        keys, others, links = [], [], []
-        for at, counts in ((left, counts_x), (right, counts_y)):
+        at, links, other = [], [], []
+        for own, counts in ((left, counts_x), (right, counts_y)):
             some = np.flatnonzero(counts)
-            keys += names[at[some]].tolist()
-            links += counts[some].astype(np.int64).tolist()
-        others = [None] * len(keys)
-        for node, label in forest:
-            keys += names[order[node]].tolist()
-            others += names[order[label]].tolist()
-            links += [0] * len(node)
-        return pa.table({"key": pa.array(keys, pa.string()), "other": pa.array(others, pa.string()), "links": pa.array(links, pa.int64())}) if keys else none
-
-    found = common.materialise(paired.groupBy("d", "t", "code", "a", "b").applyInArrow(compare, "key string, other string, links long"), "found")
-    counts = found.filter("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
-    placed_in = graph.components(found.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("key"), "component")
-    nodes = classes.select("key", "vec_id", "n").join(placed_in, "key", "left").join(counts, "key", "left").select("key", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "key").alias("component"))
-    least_id = nodes.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    of_key = nodes.join(least_id, "component").select("key", "n_links", "component_id")
-    return rows.select("vec_id", "key").join(of_key, "key", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
-    ).withColumn("kept", F.expr("vec_id <=> component_id"))
+            at.append(own[some])
+            links.append(counts[some].astype(np.int64))
+            other.append(np.full(len(some), -1))
+        for x_, label in forest:
+            at.append(order[x_])
+            links.append(np.zeros(len(x_), np.int64))
+            other.append(order[label])
+        at, links, other = np.concatenate(at), np.concatenate(links), np.concatenate(other)
+        return pa.table({"node": nodes.take(pa.array(at)), "other": nodes.take(pa.array(other, mask=other < 0)), "links": pa.array(links)})
+
+    given = met.join(classes.select("key", "node", "n", "v"), "key")
+    columns = ["d", "t", "code", "a", "b", "i", "node", "n", "v", *(["bits"] if "bits" in met.columns else [])]
+    return given.select(*columns).groupBy("d", "t", "code", "a", "b").applyInArrow(compare, f"node {kind}, other {kind}, links long")
