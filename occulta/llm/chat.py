@@ -207,6 +207,8 @@ def parse(template: str):
     def said(text: str, right: bool) -> None:
         text = text.lstrip() if strip else text
         text = text.rstrip() if right else text
+        if re.search(r"\{[{%#]", text):
+            raise TemplateError(f"unclosed tag in {text!r}")
         if text:
             parts.append(("text", text))
 
