@@ -7,7 +7,9 @@ all ids at once. The document table has each document's id, whether that id is
 null, and the number of ids before its end.
 
 Documents stand in ascending ``doc_id`` order over all files (null ids first;
-rows of one id by the check sum of their ids), whatever partitions they came in.
+rows of one id, or of none, by the check sum of their ids), whatever partitions
+they came in. There are as many files as the stored bytes need, so a file, its
+document table and a task's work don't grow with the corpus.
 Null text counts as empty, so such a document holds only the end id; an empty
 table gives no file and no row; extra columns are left alone.
 """
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, tokenise
@@ -29,8 +31,12 @@ MAGIC = b"OCTK"
 VERSION = 1
 #: Ids in a block; a multiple of 8, so that every block ends on a byte.
 BLOCK = 1 << 14
-#: Files written by default, at most; the session's shuffle partitions if fewer.
-MOST_FILES = 10_000
+#: Stored bytes of documents in a file, about; fewer, down to the second number, while there are fewer files than cores.
+FILE_BYTES, LEAST_FILE_BYTES = 64 << 20, 4 << 20
+#: Ids by which ranges are drawn: so many a file, and so many at least.
+SAMPLED, LEAST_SAMPLED = 10, 50_000
+#: Files whose ids are added up in one task.
+GROUP = 4096
 _HEADER = struct.Struct("<4sHHIQQQ")  # magic, version, width, block, ids, documents, place of the tables
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -185,20 +191,46 @@ def _lengths(texts) -> list[int]:
     return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
 
 
+def file_count(docs: DataFrame) -> int:
+    """Files for ``docs(doc_id, text)``, by the stored size of what it reads, or by its texts where no size is known."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # not known: such a plan counts as endless
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // FILE_BYTES), min(cores, -(-size // LEAST_FILE_BYTES)))
+
+
+def ranges(docs: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(files for rows without an id, bounds between the other files), of ``n`` files, or one more.
+
+    Bounds are ids of a sample, as whole numbers; an id with more rows than a
+    file holds is several bounds.
+    """
+    rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    empty = min(n, max(1, round(n * nulls / rows))) if nulls else 0
+    rest = max(1, n - empty)
+    if rest == 1 or rows == nulls:
+        return empty, np.zeros(0, np.int64)
+    share = min(1.0, max(SAMPLED * rest, LEAST_SAMPLED) / rows)
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
+    known = np.sort((ids if share == 1 else ids.sample(share, 1)).toArrow()["doc_id"].to_numpy())
+    return empty, known[(np.arange(1, rest) * len(known)) // rest] if len(known) else np.zeros(0, np.int64)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, shards: int | None = None) -> DataFrame:
     """Encode every text of ``docs(doc_id, text)`` into token files below ``out``.
 
     Returns the manifest (shard, file, n_docs, n_tokens), written beside the
     files: it names only files of tasks that ended well. Texts are encoded
     where they are read; only compressed ids are dealt out, to ranges of
-    doc_id. An id with more rows than a range holds is spread over several.
+    doc_id. An id with more rows than a range holds, and rows without an id,
+    are spread over several files by check sum; equal rows stay together.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    n = shards or min(MOST_FILES, common.partitions(spark))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = np.array(sorted(bounds) or [], np.float64).astype(np.int64)
+    empty, bounds = ranges(docs, shards or file_count(docs))
+    n, known = empty + len(bounds) + 1, spark.sparkContext.broadcast(bounds)
     width = width_for(tokenise.vocabulary_size(tokenizer))
 
     def encode(batches):
@@ -208,9 +240,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, sh
         for ids, found, _ in encode_batches(tokenizer, end_id)(batches):
             crc = np.array([zlib.crc32(x) for x in found], np.int64)
             keys = np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
-            shard = low + crc % (high - low + 1)
-            shard[np.asarray(ids.is_null())] = 0
+            low, high = (np.searchsorted(known.value, keys, side) for side in ("left", "right"))
+            shard = empty + low + (crc * (high - low + 1) >> 32)
+            none = np.asarray(ids.is_null())
+            shard[none] = crc[none] * empty >> 32
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids.cast(pa.int64()), pa.array(crc), pa.array([small.compress(x) for x in found], pa.binary())], ["shard", "doc_id", "crc", "ids"])
 
     dealt = docs.mapInArrow(encode, "shard int, doc_id long, crc long, ids binary").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc")
@@ -249,20 +282,24 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, sh
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Documents of the files, with the ids before each over all files and a check sum.
 
-    The manifest has one row for each file, as many as ``shards`` says; they
-    alone are put in order on the driver.
+    The ids before a file are summed within groups of files, and over groups;
+    only the groups' sums come to the driver.
     """
     spark = manifest.sparkSession
     common.ship(spark)
-    files, before = [], 0
-    for shard, file, n_tokens in sorted(manifest.select("shard", "file", "n_tokens").collect()):
-        files.append((shard, file, before))
+    group = F.floor(F.col("shard") / GROUP)
+    sums, before = {}, 0
+    for g, n_tokens in sorted(manifest.groupBy(group.alias("g")).agg(F.sum("n_tokens").alias("n")).collect()):
+        sums[g] = before
         before += n_tokens
-    listed = spark.createDataFrame(files, "shard int, file string, before long").repartition(max(1, len(files)))
+    known = spark.sparkContext.broadcast(sums)
+    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(group).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = manifest.select("shard", "file", inside.cast("long").alias("before")).repartition(max(1, manifest.count()))
 
     def load(batches):
         for b in batches:
-            for file, first in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for shard, file, first in zip(*(b.column(k).to_pylist() for k in range(3))):
+                first += known.value[shard // GROUP]
                 r, rows = Reader(file), []
                 for doc_id, start, ids in r.documents():
                     rows.append((doc_id, first + start, len(ids), zlib.crc32(ids.tobytes())))

@@ -158,3 +158,41 @@ def test_registered_queries(spark, sf, library):
     for r in queries.op9_bpe(spark, sf).collect():
         ids = encoded(library, rows[r.doc_id])
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_files_by_size_and_whole_ids(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
+    monkeypatch.setattr(token_files, "GROUP", 3)
+    big = 2**63 - 400
+    rows = [(big + k, f"text {k} " * 5, 0) for k in range(300)] + [(None, f"null {k}", 0) for k in range(150)] + [(7, f"hot {k}", 0) for k in range(150)] + [(-(2**63), None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    manifest = token_files.write_token_files(docs, PATH, 2, str(tmp_path / "files"))
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) > 6 and max(sizes) < 200 and sum(sizes) == len(rows)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(manifest).collect())
+    want = [(d, np.array([*encoded(library, t), 2], "<u4")) for d, t, _ in rows]
+    start = 0
+    order = sorted(((d is not None, d or 0, zlib.crc32(x.astype(tokenise.encoder(PATH).dtype).tobytes()), x) for d, x in want), key=lambda x: x[:3])
+    for (has, d, _, x), r in zip(order, got):
+        assert r == (start, d if has else None, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+
+
+def test_caches_are_bounded_in_bytes(library, monkeypatch):
+    monkeypatch.setattr(tokenise, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    e, p = tokenise.ChunkEncoder(PATH), bpe.PrefixBPE(PATH)
+    texts = ["x" * 4000 + str(k) + " the cat" for k in range(20)]
+    for t in texts:
+        assert np.frombuffer(e.encode([t])[0], e.dtype).tolist() == encoded(library, t)
+        assert p.digests(t)[0] == len(encoded(library, t))
+    assert sum(map(len, e.cache)) < 20_000 and sum(map(len, p.cache)) < 20_000
+
+
+def test_a_symbol_without_a_token_is_an_error():
+    p = bpe.PrefixBPE(PATH)
+    p.automaton = type(p.automaton)()
+    p.automaton.add_word("a", (1, 0))
+    p.automaton.make_automaton()
+    with pytest.raises(ValueError, match="no token"):
+        p.encode_piece("zz")
