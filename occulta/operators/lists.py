@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import NONE, SPAN, quote
+from ..functions.spans import NONE, SPAN, hits, let, made, quote, resolved
 from .spec import CATALOGUE
 
 NAMES_LEAST, SOFT_LEAST, SOFT_PRIORITY = 0.85, 0.80, 5
@@ -124,33 +126,106 @@ def conflicts(new: DataFrame, unmasked: DataFrame) -> DataFrame:
     return new.join(unmasked.select(F.lower(F.trim("value")).alias("__v"), "unmasked_at").distinct(), F.lower(F.trim(new.value)) == F.col("__v")).drop("__v")
 
 
-#: Letters with their plain forms, one for one, so that places stay.
-_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters with their plain forms, one for one.
+_ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöøōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
+_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnooooooooorrrssssttuuuuuuuuuuwyyyzzz"
+#: A word, with the marks that decomposed accents are.
+WORD = r"(?U)[\p{L}\p{N}\p{M}_]+"
+
+
+def folded(word: str) -> str:
+    """SQL: a word in lower case without accents, composed or not."""
+    return f"translate(regexp_replace(lower({word}), r'\\p{{M}}+', ''), '{_ACCENTED}', '{_PLAIN}')"
+
+
+def words_of(text: str) -> str:
+    """SQL: a text's words, array of (s, e, v, w, g): place, word, folded word, and what stands before it, white space as one space.
+
+    Places are of the text as it is, however folding changes a word's length.
+    """
+    gap = "if(gs[i] IN ('', ' '), gs[i], regexp_replace(gs[i], r'(?U)\\s+', ' '))"
+    return let("gs", f"split({text}, {quote(WORD)}, -1)", f"transform({hits(text, WORD)}, (x, i) -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'w', {folded('x.v')}, 'g', {gap}))")
 
 
-def folded(text: str) -> str:
-    """SQL: lower case without accents, as long as the text."""
-    return f"translate(lower({text}), '{_ACCENTED}', '{_PLAIN}')"
+def keyed(docs: DataFrame, *by: str) -> DataFrame:
+    """``docs`` with ``__key``: a digest of the columns ``by`` and the text; only rows alike in all of them share it."""
+    return docs.withColumn("__key", F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in by], F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")))
 
 
-def dictionary_spans(docs: DataFrame, gazetteer: DataFrame, priority: int = 75) -> DataFrame:
-    """``docs(doc_id, text)`` with ``known``: whole-word places of listed values, in any case and accent.
+def listed_spans(docs: DataFrame, listed: DataFrame, by: list[str], on: list[str], span: str, out: str) -> DataFrame:
+    """``docs`` with ``out``: places of listed values, word by word.
 
-    Texts are cut into words with their places; the words meet the first words
-    of the values by an equality join, and only there the rest is compared. An
-    empty list finds nothing.
+    ``listed`` has (*on, value, exact, ...); texts are cut into words, which
+    meet the first words of values by an equality join on ``on`` and the folded
+    word. Only (key, place, word) is dealt out, and only places and values come
+    back to a text, which is shuffled once. There all words of a value are
+    compared, and what stands between them, white space of any length being
+    alike. With ``exact`` case and accents count. ``span`` is SQL of a span
+    from ``c`` (the listed row), ``s`` and ``e``.
+    """
+    values = listed.withColumn("__ws", F.expr(words_of("trim(value)"))).filter("size(__ws) > 0").withColumn("__w", F.expr("__ws[0].w"))
+    rest = [c for c in listed.columns if c not in on]
+    values = values.select(*on, "__w", F.struct(*rest, F.expr("transform(__ws, x -> named_struct('v', x.v, 'w', x.w, 'g', x.g))").alias("ws")).alias("c"))
+    marked = keyed(docs, *by).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    words = marked.select("__key", *on, F.posexplode(F.expr(words_of("__text"))).alias("i", "x")).select("__key", *on, "i", F.col("x.w").alias("__w"))
+    met = words.join(values, [*on, "__w"]).groupBy("__key").agg(F.collect_set(F.struct("i", "c")).alias("__met"))
+    alike = "x.i + size(x.c.ws) <= size(tw) AND forall(sequence(0, size(x.c.ws) - 1), k -> if(x.c.exact, tw[x.i + k].v = x.c.ws[k].v, tw[x.i + k].w = x.c.ws[k].w) AND (k = 0 OR tw[x.i + k].g = x.c.ws[k].g))"
+    one = let("c", "x.c", let("s", "tw[x.i].s", let("e", "tw[x.i + size(x.c.ws) - 1].e", span)))
+    found = let("tw", words_of("__text"), f"array_sort(array_distinct(transform(filter(__met, x -> {alike}), x -> {one})))")
+    return marked.join(met, "__key", "left").withColumn(out, F.expr(f"CASE WHEN __met IS NULL THEN {NONE} ELSE cast({found} AS array<{SPAN}>) END")).drop("__met", "__key", "__text")
+
+
+def dictionary_spans(docs: DataFrame, gazetteer: DataFrame, priority: int = 75, out: str = "known") -> DataFrame:
+    """``docs(doc_id, text, ...)`` with ``out``: whole-word places of the values of ``gazetteer(value, entity_type, ...)``, in any case and accent.
+
+    An empty list finds nothing, nor does a value without a letter or digit;
+    null text counts as empty; rows with the same or no id stay apart.
     """
-    from ..functions.spans import hits
-
-    word = r"(?U)[\p{L}\p{N}]+"
-    listed = gazetteer.filter(F.trim("value") != "").select(F.expr(folded("trim(value)")).alias("__f"), F.col("entity_type").alias("__type")).distinct()
-    listed = listed.withColumn("__w", F.expr(f"regexp_extract(__f, {quote(word)}, 0)")).filter("__w <> ''").withColumn("__lead", F.expr("instr(__f, __w) - 1"))
-    text = docs.select("doc_id", "text", F.expr(folded("coalesce(text, '')")).alias("__t"))
-    words = text.select("doc_id", "text", "__t", F.explode(F.expr(hits("__t", word))).alias("h")).select("doc_id", "text", "__t", F.col("h.s").alias("p"), F.col("h.v").alias("__w"))
-    near = words.join(listed, "__w").withColumn("s", F.expr("p - __lead")).filter("s >= 0 AND substring(__t, s + 1, length(__f)) = __f")
-    whole = near.withColumn("e", F.expr("s + length(__f)")).filter(r"NOT substring(__t, e + 1, 1) rlike r'(?U)\w' AND (s = 0 OR NOT substring(__t, s, 1) rlike r'(?U)\w')")
-    found = whole.groupBy("doc_id").agg(F.collect_set(F.expr(f"named_struct('s', s, 'e', e, 'type', __type, 'value', substring(text, s + 1, e - s), 'score', 1.0D, 'priority', {priority})")).alias("known"))
-    return docs.join(found, "doc_id", "left").withColumn("known", F.coalesce(F.expr(f"cast(array_sort(known) AS array<{SPAN}>)"), F.expr(NONE)))
+    listed = gazetteer.filter(F.trim("value") != "").select("value", "entity_type", F.lit(False).alias("exact")).distinct()
+    value = "substring(__text, s + 1, e - s)"
+    span = f"named_struct('s', s, 'e', e, 'type', c.entity_type, 'value', {value}, 'score', 1.0D, 'priority', {priority})"
+    return listed_spans(docs, listed, [c for c in ("doc_id", "mission", "filename") if c in docs.columns], [], span, out)
+
+
+#: Own list: words of forms and headings that are no one's name.
+FORM_WORDS = tuple(
+    "adresse avenant annexe client cliente compte conjoint conjointe contrat convention date document dossier euros fiche madame mademoiselle mandat monsieur montant naissance nom notre numéro objet page prénom produit profil propriété référence signature société souscripteur titulaire total versement votre vous".split()
+)
+LEAST_TOKEN = 4
+
+
+def distinctive(value: str) -> str:
+    """SQL: a name's words over all its lines, form words left out, four letters at least."""
+    words = ", ".join(quote(w) for w in FORM_WORDS)
+    return f"filter(split({value}, r'(?U)[^\\p{{L}}\\-]+'), w -> length(w) >= {LEAST_TOKEN} AND NOT lower(w) IN ({words}))"
+
+
+def name_sweep(text: str, spans: str) -> str:
+    """SQL: ``spans`` and every further place of the words of names that a model found, in any case, resolved."""
+    soft = f"m.type = 'NOM' AND m.priority <= {SOFT_PRIORITY}"
+    seeds = f"array_distinct(transform(flatten(transform(filter(ns, m -> {soft}), m -> {distinctive('m.value')})), w -> lower(w)))"
+    word = r"(?U)[\p{L}\-]+"
+    swept = f"transform(filter({hits(text, word)}, x -> array_contains(sd, lower(x.v))), x -> {made('NOM', '0.9D', 58)})"
+    return let("ns", spans, f"CASE WHEN exists(ns, m -> {soft}) THEN {resolved(f'concat(ns, {let("sd", seeds, swept)})')} ELSE ns END")
+
+
+def kept_by(docs: DataFrame, spans: str, lists: "Lists") -> DataFrame:
+    """``docs`` with those of its spans that the lists keep; only keys and values are dealt out."""
+    marked = keyed(docs, *[c for c in ("doc_id", "mission", "filename") if c in docs.columns])
+    flat = marked.select("__key", F.posexplode(spans).alias("i", "m")).select("__key", "i", "m.type", "m.value").distinct()
+    kept = filtered(flat, lists.known, lists.allow, lists.common, lists.safe).groupBy("__key").agg(F.collect_set("i").alias("__kept"))
+    chosen = f"CASE WHEN size({spans}) = 0 THEN {spans} ELSE filter({spans}, (m, i) -> array_contains(coalesce(__kept, cast(array() AS array<int>)), i)) END"
+    return marked.join(kept, "__key", "left").withColumn(spans, F.expr(chosen)).drop("__key", "__kept")
+
+
+@dataclass(frozen=True)
+class Lists:
+    """What keeps matches in clear: an allow list (SQL over ``m``), common words and safe words (word); known values (value) stay masked."""
+
+    known: DataFrame
+    common: DataFrame
+    safe: DataFrame
+    allow: str = "false"
 
 
 # -- what users may enter

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import gate
 from ..functions import spans as S
 from ..plans import verdict as V
 from ..sources.tables import materialise
 from . import forms, vault
+from . import lists as L
 from .recognizers import core
 from .spec import Recognizer
 
@@ -27,7 +30,10 @@ class Masker:
 
     ``extra``: functions from the DataFrame to a column of spans, by name;
     ``keep``: SQL over a span ``m`` that says which to keep (policy and lists);
-    ``forms``: whether form rules run. Null text counts as empty.
+    ``forms``: whether form rules run; ``dictionary``: known values (value,
+    entity_type), found whatever their case and accents; ``lists``: tables that
+    keep matches in clear. Where there are ``extra`` sources, names of a model's
+    are looked for in the whole text. Null text counts as empty.
     """
 
     recognizers: list[Recognizer] = field(default_factory=core)
@@ -38,6 +44,8 @@ class Masker:
     context_boost: bool = True
     threshold: float = V.THRESHOLD
     surrogates: bool = False
+    dictionary: DataFrame | None = None
+    lists: L.Lists | None = None
 
     def register_detector(self, name: str, fn: Callable[[DataFrame], object]) -> None:
         """Add a source of spans: a function from a DataFrame to a span column, such as a pandas UDF's."""
@@ -47,6 +55,9 @@ class Masker:
         """``docs`` with disjoint spans in order, kept and boosted as configured."""
         docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
         names = []
+        if self.dictionary is not None:
+            names.append("__known")
+            docs = L.dictionary_spans(docs, self.dictionary, out="__known")
         for k, r in enumerate([*self.recognizers, *self.extra_recognizers]):
             names.append(f"__r{k}")
             docs = docs.withColumn(names[-1], F.expr(r.sql("text")))
@@ -62,30 +73,36 @@ class Masker:
             names.append(f"__x_{name}")
             docs = docs.withColumn(names[-1], F.coalesce(fn(docs), F.expr(S.NONE)))
         docs = docs.withColumn("__all", F.concat(*names)).withColumn(out, F.expr(S.resolved("__all")))
+        if self.extra:
+            docs = docs.withColumn(out, F.expr(L.name_sweep("text", out)))
         if self.context_boost:
             docs = docs.withColumn(out, F.expr(f"CASE WHEN size({out}) = 0 THEN {out} ELSE {S.boosted('text', out, CUES)} END"))
         if self.keep:
             docs = docs.withColumn(out, F.expr(f"filter({out}, m -> {self.keep})"))
-        return docs.drop("__all", "__words", "__footers", *names)
+        docs = docs.drop("__all", "__words", "__footers", *names)
+        return docs if self.lists is None else L.kept_by(docs, out, self.lists)
 
     def mask(self, docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Masked documents and the vault that restores them.
 
         Columns: doc_id, mission, original, masked, entities (spans with token
         and phase), residual, state, safe. Only exploded spans are shuffled, to
-        meet their tokens and to come back to their documents.
+        meet their tokens and to come back to their documents. What is still
+        found in the output is masked too, for ``RESIDUAL_ROUNDS`` rounds at
+        most; a round has only the documents with something left, and adds only
+        its own new values to the vault.
         """
         if "mission" not in docs.columns:
             docs = docs.withColumn("mission", F.lit("default"))
         found = self.detect(docs)
         work = materialise(found.select("doc_id", "mission", F.col("text").alias("original"), F.col("text").alias("masked"), "spans", *(["filename"] if "filename" in docs.columns else [])), "detected")
-        entities = None
+        settled, vaults, entities = [], [] if known is None else [known], None
         for phase in range(RESIDUAL_ROUNDS + 1):
             work = work.withColumn("__key", _row_key("masked"))
             flat = work.select("__key", "doc_id", "mission", F.explode("spans").alias("m")).select("__key", "doc_id", "mission", F.col("m.*"))
-            new = materialise(vault.allocate(flat, known), "vault")
-            known = new if known is None else materialise(known.unionByName(new), "vault")
-            named = flat.join(known.select("mission", "type", "value", F.expr("token") if not self.surrogates else vault.surrogate().alias("token")), ["mission", "type", "value"])
+            vaults.append(materialise(vault.allocate(flat, _union(vaults)), "vault"))
+            values = _union(vaults).select("mission", "type", "value", F.expr("token") if not self.surrogates else vault.surrogate().alias("token"))
+            named = flat.join(values, ["mission", "type", "value"])
             put = named.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("s", "e", "type", "value", "score", "priority", "token"))).alias("tokens"))
             empty = F.expr("cast(array() AS array<struct<s:int,e:int,type:string,value:string,score:double,priority:int,token:string>>)")
             work = work.join(put, "__key", "left").drop("__key").withColumn("tokens", F.coalesce("tokens", empty))
@@ -98,15 +115,23 @@ class Masker:
             tokens = S.hits("masked", S.TOKEN)
             rest = F.expr(f"CASE WHEN size(spans) = 0 THEN spans ELSE {S.outside('spans', tokens)} END") if not self.surrogates else F.expr("filter(spans, m -> NOT exists(entities, t -> contains(t.token, m.value) OR contains(m.value, t.token)))")
             work = materialise(again.withColumn("spans", rest).drop("text"), "masked")
-            if phase == RESIDUAL_ROUNDS or work.filter(F.size("spans") > 0).isEmpty():
+            left = work.filter(F.size("spans") > 0)
+            if phase == RESIDUAL_ROUNDS or left.isEmpty():
+                settled.append(work)
                 break
-        out = work.withColumnRenamed("spans", "residual").withColumn("state", F.expr(V.state("original", "entities", "residual", self.threshold))).withColumn("safe", F.expr(V.safe("state")))
-        return out, known
+            settled.append(work.filter(F.size("spans") == 0))
+            work = left
+        out = _union(settled).withColumnRenamed("spans", "residual").withColumn("state", F.expr(V.state("original", "entities", "residual", self.threshold))).withColumn("safe", F.expr(V.safe("state")))
+        return out, _union(vaults)
 
     def restore(self, docs: DataFrame, known: DataFrame) -> DataFrame:
         return restore(docs, known)
 
 
+def _union(tables: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, tables) if tables else None
+
+
 def _row_key(text: str):
     """A row by its id, mission and text: rows alike in these share their tokens' places, others never do."""
     return F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), F.coalesce("mission", F.lit("\x02")), F.col(text)).cast("binary"))
@@ -152,9 +177,64 @@ def serve_net(text: str, values: str) -> str:
 
 
 def json_strings(text: str) -> str:
-    """SQL: the string values of a JSON text, keys left out: array of (s, e, v), quotes outside."""
-    string = r'"((?:[^"\\]|\\.)*)"(?=\s*[,}\]]|\s*$)'
-    return f"transform({S.hits(text, string)}, x -> named_struct('s', x.s + 1, 'e', x.e - 1, 'v', substring(x.v, 2, length(x.v) - 2)))"
+    """SQL: the string values of a JSON text, keys left out: array of (s, e, v), quotes outside.
+
+    Strings are read one after the other from the start, so that nothing inside
+    one is taken for another; a string before a colon is a key.
+    """
+    string = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?+'
+    return f"transform(filter({S.hits(text, string)}, x -> NOT endswith(x.v, ':')), x -> named_struct('s', x.s + 1, 'e', x.e - 1, 'v', substring(x.v, 2, length(x.v) - 2)))"
+
+
+def mask_json(docs: DataFrame, masker: Masker, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs(doc_id, json[, mission])`` with every string value masked, its keys and shape kept: (documents, vault).
+
+    Documents have json (as it was), masked, n_changed (values), safe (no value
+    leaks). A text that is no JSON, or in which nothing is found, passes as it
+    is (n_changed 0); null stays null. Each value is one text to the masker.
+    """
+    mission = F.col("mission") if "mission" in docs.columns else F.lit("default")
+    given = docs.select("doc_id", mission.alias("mission"), "json").withColumn("__key", F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), "mission", "json").cast("binary")))
+    valid = "json IS NOT NULL AND try_parse_json(json) IS NOT NULL"
+    leaves = given.filter(valid).select("__key", "mission", F.posexplode(F.expr(json_strings("json"))).alias("i", "x")).distinct()
+    text = F.from_json(F.concat(F.lit('["'), "x.v", F.lit('"]')), "array<string>")[0]
+    out, vault_ = masker.mask(leaves.select(F.struct("__key", "i").alias("doc_id"), "mission", text.alias("text")), known)
+    put = F.when(F.col("masked") != F.col("original"), F.regexp_replace(F.to_json(F.array("masked")), r'^\["|"\]$', ""))
+    back = out.groupBy(F.col("doc_id.__key").alias("__key")).agg(F.array_sort(F.collect_set(F.when(put.isNotNull(), F.struct(F.col("doc_id.i").alias("i"), put.alias("put"))))).alias("__put"), F.bool_and("safe").alias("__safe"))
+    places = S.let("js", json_strings("json"), "transform(__put, p -> named_struct('s', js[p.i].s, 'e', js[p.i].e, 'put', p.put))")
+    masked = f"CASE WHEN __put IS NULL OR size(__put) = 0 THEN json ELSE {S.rewritten('json', places, 'x.put')} END"
+    met = given.join(back, "__key", "left")
+    return met.select("doc_id", "mission", "json", F.expr(masked).alias("masked"), F.coalesce(F.size("__put"), F.lit(0)).alias("n_changed"), F.coalesce("__safe", F.lit(True)).alias("safe")), vault_
+
+
+def contain_results(results: DataFrame, masker: Masker, tools: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tool results (doc_id, tool, json): those of tools whose name matches ``tools`` masked, the others as they are.
+
+    ``rewritten`` says whether a result is to be put in place of the given one:
+    only if something changed.
+    """
+    named = F.coalesce(F.col("tool").rlike(tools), F.lit(False))
+    out, vault_ = mask_json(results.filter(named).select("doc_id", "json"), masker, known)
+    done = out.select("doc_id", "json", "masked", "n_changed")
+    rest = results.filter(~named).select("doc_id", "json", F.col("json").alias("masked"), F.lit(0).alias("n_changed"))
+    return done.unionByName(rest).withColumn("rewritten", F.col("n_changed") > 0), vault_
+
+
+def rewrite_outputs(rows: DataFrame, masker: Masker, opted_in: bool, in_scope: str = "true", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Tool outputs (doc_id, shape, text): masked where all conditions hold, one after the other, the cheap ones first.
+
+    Someone opted in; the row is in scope (SQL); the result is pure text and
+    not too long; the cheap gate sees personal data. ``rewritten`` only if the
+    text changed.
+    """
+    wanted = F.expr(f"coalesce({in_scope}, false) AND coalesce({gate.rewritable('shape', 'text')}, false) AND size({gate.labels('text')}) > 0")
+    unchanged = [F.col("text").alias("masked"), F.lit(False).alias("rewritten")]
+    if not opted_in:
+        return rows.select("doc_id", "text", *unchanged), known
+    marked = rows.withColumn("__wanted", F.coalesce(wanted, F.lit(False)))
+    out, vault_ = masker.mask(marked.filter("__wanted").select("doc_id", "text"), known)
+    done = out.select("doc_id", F.col("original").alias("text"), "masked", (F.col("masked") != F.col("original")).alias("rewritten"))
+    return done.unionByName(marked.filter("NOT __wanted").select("doc_id", "text", *unchanged)), vault_
 
 
 def highlight(text: str, spans: str) -> str:

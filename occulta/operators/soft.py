@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.quality import without_dot_runs
 from ..functions.spans import NONE, SPAN, contains, iou
+from .lists import keyed
 
 SIZE, OVERLAP, LEAST, PRIORITY, MERGE = 1000, 300, 0.30, 5, 0.6
 PROBE = 0.7
@@ -60,23 +61,30 @@ def model_udf(load: Callable[[], Callable[[list[str]], list[list[dict]]]]):
     return run
 
 
-def model_spans(docs: DataFrame, model: Callable[[Column], Column], labels: dict[str, str] | None = None, least: float = LEAST, compress: bool = True) -> DataFrame:
+def model_spans(docs: DataFrame, model: Callable[[Column], Column], labels: dict[str, str] | None = None, least: float = LEAST, compress: bool = True, probe: float = PROBE) -> DataFrame:
     """``docs(doc_id, text)`` with ``soft``: the model's spans over all windows.
 
+    Names are widened to the longest that strictly contains them of those found
+    at ``probe`` times the threshold or better; their scores stay. Places come
+    back to rows with the same id and text.
+
     Of equal type and text the best score counts, the first of equals. Unknown
     labels, scores under ``least`` and e-mails without ``@`` are dropped. If
     fill characters were taken out, a place is the text's first in its window.
     """
     known = F.create_map(*[F.lit(x) for kv in (LABELS | (labels or {})).items() for x in kv])
-    chunks = docs.select("doc_id", F.explode(F.expr(windows("text"))).alias("w")).select("doc_id", "w.base", "w.chunk")
+    docs = keyed(docs, "doc_id")
+    chunks = docs.select("__key", F.explode(F.expr(windows("text"))).alias("w")).select("__key", "w.base", "w.chunk")
     seen = chunks.withColumn("found", model(F.expr(without_dot_runs("chunk")) if compress else F.col("chunk")))
-    flat = seen.select("doc_id", "base", "chunk", F.explode("found").alias("f")).select("doc_id", "base", "chunk", "f.*").withColumn("type", known[F.col("label")])
+    flat = seen.select("__key", "base", "chunk", F.explode("found").alias("f")).select("__key", "base", "chunk", "f.*").withColumn("type", known[F.col("label")])
     at = F.when(F.expr("substring(chunk, start + 1, length(text)) = text"), F.col("start")).otherwise(F.expr("instr(chunk, text) - 1")) if compress else F.col("start")
-    good = flat.withColumn("s", at).filter(f"type IS NOT NULL AND s >= 0 AND trim(text) <> '' AND score >= {least} AND (type <> 'EMAIL' OR contains(text, '@'))")
-    best = good.groupBy("doc_id", "type", "text").agg(F.min(F.struct(-F.col("score"), F.col("base") + F.col("s"))).alias("x"))
-    spans = best.select("doc_id", F.struct(F.col("x.col2").cast("int").alias("s"), (F.col("x.col2") + F.length("text")).cast("int").alias("e"), "type", F.col("text").alias("value"), (-F.col("x.col1")).alias("score"), F.lit(PRIORITY).alias("priority")).alias("m"))
-    grouped = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("soft"))
-    return docs.join(grouped, "doc_id", "left").withColumn("soft", F.coalesce(F.expr(f"cast(soft AS array<{SPAN}>)"), F.expr(NONE)))
+    good = flat.withColumn("s", at).filter(f"type IS NOT NULL AND s >= 0 AND trim(text) <> '' AND score >= {least * probe} AND (type <> 'EMAIL' OR contains(text, '@'))")
+    best = good.groupBy("__key", "type", "text").agg(F.min(F.struct(-F.col("score"), F.col("base") + F.col("s"))).alias("x"))
+    spans = best.select("__key", F.struct(F.col("x.col2").cast("int").alias("s"), (F.col("x.col2") + F.length("text")).cast("int").alias("e"), "type", F.col("text").alias("value"), (-F.col("x.col1")).alias("score"), F.lit(PRIORITY).alias("priority")).alias("m"))
+    grouped = spans.groupBy("__key").agg(F.array_sort(F.collect_list("m")).alias("__probe"))
+    met = docs.join(grouped, "__key", "left").withColumn("__probe", F.coalesce(F.expr(f"cast(__probe AS array<{SPAN}>)"), F.expr(NONE)))
+    kept = f"filter(__probe, m -> m.score >= {least})"
+    return met.withColumn("soft", F.expr(f"CASE WHEN size(__probe) = 0 THEN __probe ELSE {widened('text', kept, '__probe')} END")).drop("__probe", "__key")
 
 
 def widened(text: str, kept: str, probe: str) -> str:

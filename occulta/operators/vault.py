@@ -8,7 +8,9 @@ so no type's values have to fit in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import TOKEN, token
@@ -131,19 +133,65 @@ def expired(days: int, now: Column | None = None) -> Column:
     return F.col("created_at") < (now if now is not None else F.current_timestamp()) - F.expr(f"INTERVAL {int(days)} DAYS")
 
 
-def sealed(vault: DataFrame, key: str) -> DataFrame:
-    """The vault with values encrypted and authenticated (AES-GCM); ``key``: 16, 24 or 32 bytes."""
-    return vault.withColumn("value", F.base64(F.aes_encrypt(F.encode("value", "utf-8"), F.lit(key), F.lit("GCM"))))
+def purged(vault: DataFrame, days: int, now: Column | None = None) -> DataFrame:
+    """The vault without rows older than ``days``."""
+    return vault.filter(~expired(days, now))
+
+
+#: What stands before a sealed value; rounds of key derivation.
+SEAL, ROUNDS = "sealed1:", 600_000
+
+
+def derived(passphrase: str, salt: bytes, rounds: int = ROUNDS) -> bytes:
+    """A key of 32 bytes from a passphrase (PBKDF2, SHA-256); the salt is kept beside the vault."""
+    return hashlib.pbkdf2_hmac("sha256", passphrase.encode(), salt, rounds)
+
 
+def _with_key(rows: DataFrame, key: bytes | str) -> DataFrame:
+    """``rows`` with ``__k``, the key: joined from a table of one row, so that no plan shows it."""
+    one = rows.sparkSession.createDataFrame([(0, key.encode() if isinstance(key, str) else bytes(key))], "__one int, __k binary")
+    return rows.withColumn("__one", F.lit(0)).join(F.broadcast(one), "__one").drop("__one")
 
-def opened(vault: DataFrame, key: str) -> DataFrame:
-    """The opposite of :func:`sealed`; a wrong key or changed bytes raise an error."""
-    return vault.withColumn("value", F.decode(F.aes_decrypt(F.unbase64("value"), F.lit(key), F.lit("GCM")), "utf-8"))
+
+def sealed(vault: DataFrame, key: bytes | str) -> DataFrame:
+    """The vault with values encrypted and authenticated (AES-GCM); ``key``: 16, 24 or 32 bytes. Sealed values stay, so this may be repeated."""
+    put = F.concat(F.lit(SEAL), F.base64(F.aes_encrypt(F.encode("value", "utf-8"), F.col("__k"), F.lit("GCM"))))
+    return _with_key(vault, key).withColumn("value", F.when(plaintext(vault), put).otherwise(F.col("value"))).select(*vault.columns)
+
+
+def opened(vault: DataFrame, key: bytes | str) -> DataFrame:
+    """The opposite of :func:`sealed`; a wrong key or changed bytes raise an error, and values that aren't sealed stay."""
+    read = F.decode(F.aes_decrypt(F.unbase64(F.substring("value", len(SEAL) + 1, 1 << 30)), F.col("__k"), F.lit("GCM")), "utf-8")
+    return _with_key(vault, key).withColumn("value", F.when(plaintext(vault), F.col("value")).otherwise(read)).select(*vault.columns)
 
 
 def plaintext(vault: DataFrame) -> Column:
-    """Whether a stored value is not encrypted: no base64 of nonce, text and tag."""
-    return ~(F.col("value").rlike("^[A-Za-z0-9+/\r\n]+=*$") & (F.length("value") >= 40))
+    """Whether a stored value is not sealed."""
+    return ~F.col("value").rlike(f"^{SEAL}[A-Za-z0-9+/\r\n]{{38,}}=*$")
+
+
+def plaintext_count(vault: DataFrame) -> int:
+    """How many values of a stored vault can be read by anyone."""
+    return vault.filter(plaintext(vault)).count()
+
+
+def migrate(spark: SparkSession, path: str, key: bytes | str) -> int:
+    """Seal the plain values of a stored vault; returns how many there were. Nothing is written if there is none.
+
+    The new table is written beside the old one, which goes only when the new one is whole.
+    """
+    old = spark.read.parquet(path)
+    n = plaintext_count(old)
+    if n:
+        new, gone = f"{path}.sealed", f"{path}.plain"
+        sealed(old, key).write.mode("overwrite").parquet(new)
+        jvm = spark.sparkContext._jvm
+        at = [jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, gone)]
+        fs = at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.rename(at[0], at[2])
+        fs.rename(at[1], at[0])
+        fs.delete(at[2], True)
+    return n
 
 
 #: Parts of stand-in names and places; numbers make them distinct.
@@ -174,7 +222,30 @@ def value_hash(value: str = "value") -> str:
     return f"sha2(lower(trim({value})), 256)"
 
 
-def row_id(value: str, key: str) -> str:
-    """SQL: an opaque id of a listed value, by a keyed digest (HMAC's nested form)."""
-    inner = f"sha2(concat('{key}|i|', lower(trim({value}))), 256)"
-    return f"substring(sha2(concat('{key}|o|', {inner}), 256), 1, 24)"
+def row_id(value: str, key: bytes | str) -> str:
+    """SQL: an opaque id of a listed value: HMAC-SHA256 of it, in lower case and trimmed, by the key, 24 hex digits.
+
+    The key's two pads are written as bytes; whoever sees the plan can compute ids, so the key is one of the process, not a stored one.
+    """
+    raw = key.encode() if isinstance(key, str) else bytes(key)
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in raw).hex() for pad in (0x36, 0x5C))
+    return f"substring(sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', cast(lower(trim({value})) AS binary)), 256))), 256), 1, 24)"
+
+
+def by_row_id(rows: DataFrame, ids: DataFrame, key: bytes | str) -> DataFrame:
+    """Those of ``rows(value, ...)`` that ``ids(row_id)`` name."""
+    return rows.withColumn("row_id", F.expr(row_id("value", key))).join(ids.select("row_id").distinct(), "row_id", "left_semi")
+
+
+def missions(vault: DataFrame) -> DataFrame:
+    """(mission, n_values, created_at) of each mission, by its first value's time."""
+    return vault.groupBy("mission").agg(F.count("*").alias("n_values"), F.min("created_at").alias("created_at"))
+
+
+def revealed(vault: DataFrame, mission: str, token_: str) -> tuple[DataFrame, DataFrame]:
+    """(the value of one token, the audit row that says it was shown, without the value)."""
+    row = vault.filter((F.col("mission") == mission) & (F.col("token") == token_)).select("value", "type")
+    empty = F.create_map().cast("map<string,string>")
+    log = row.select(F.current_timestamp().cast("string").alias("timestamp"), F.lit(mission).alias("mission"), F.lit("vault_reveal").alias("event"), empty.alias("counts"), F.lit(1).alias("total"))
+    return row, log

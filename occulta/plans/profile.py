@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import NONE, SPAN, quote, resolved
+from ..functions.spans import NONE, quote, resolved
+from ..operators.lists import distinctive, listed_spans
 from ..operators.masker import Masker
 from ..operators.recognizers import FORENAMES, TITLE
 from ..operators.vault import tokens_in
 
-#: Own list: words of forms and headings that are no one's name.
-FORM_WORDS = tuple(
-    "adresse avenant annexe client cliente compte conjoint conjointe contrat convention date document dossier euros fiche madame mademoiselle mandat monsieur montant naissance nom notre numéro objet page prénom produit profil propriété référence signature société souscripteur titulaire total versement votre vous".split()
-)
 STRUCTURED = ("EMAIL", "IBAN", "SIRET", "SIREN", "SECU", "TEL", "ADRESSE", "DATE_NAISSANCE", "NUM_CLIENT", "NUM_FISCAL", "NUM_TELEDECLARANT", "PIECE_IDENTITE", "LIEU_NAISSANCE")
-LEAST_NAME, LEAST_TOKEN = 0.85, 4
-
-
-def distinctive(value: str) -> str:
-    """SQL: a name's words over all its lines, form words left out, four letters at least."""
-    words = ", ".join(quote(w) for w in FORM_WORDS)
-    return f"filter(split({value}, r'(?U)[^\\p{{L}}\\-]+'), w -> length(w) >= {LEAST_TOKEN} AND NOT lower(w) IN ({words}))"
+LEAST_NAME = 0.85
 
 
 def person_signal(m: str) -> str:
@@ -49,20 +40,12 @@ def learn(found: DataFrame, allowed: str = "false") -> DataFrame:
 def sweep(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """``docs(dossier, doc_id, text, ...)`` with ``swept``: places of the dossier's profile.
 
-    A text's words meet the profile's first words within the dossier, by
-    equality; then the whole value is compared, across any white space. Name
-    words count in any case.
+    Values are found as they are, across any white space, name words in any
+    case; see ``lists.listed_spans``.
     """
-    from ..functions.spans import hits
-
-    word = r"(?U)[\p{L}\p{N}]+"
-    heads = profile.withColumn("__w", F.expr(f"lower(regexp_extract(value, {quote(word)}, 0))")).filter("__w <> ''").withColumn("__lead", F.expr("instr(lower(value), __w) - 1"))
-    words = docs.select("dossier", "doc_id", "text", F.explode(F.expr(hits("text", word))).alias("h")).select("dossier", "doc_id", "text", F.col("h.s").alias("p"), F.lower("h.v").alias("__w"))
-    met = words.join(heads, ["dossier", "__w"]).filter("p >= __lead").withColumn("s", F.expr("p - __lead"))
-    pattern = r"concat('^', if(kind = 'word', '(?iuU)', ''), array_join(transform(split(value, ' '), w -> concat('\\Q', w, '\\E')), '\\s+'), '(?![\\p{L}\\p{N}])')"
-    got = met.withColumn("v", F.expr(f"regexp_extract(substring(text, s + 1), {pattern}, 0)")).filter(r"v <> '' AND (s = 0 OR NOT substring(text, s, 1) rlike r'[\p{L}\p{N}]')")
-    spans = got.groupBy("dossier", "doc_id").agg(F.array_sort(F.collect_set(F.expr("named_struct('s', s, 'e', s + length(v), 'type', type, 'value', v, 'score', 0.9D, 'priority', 58)"))).alias("swept"))
-    return docs.join(spans, ["dossier", "doc_id"], "left").withColumn("swept", F.coalesce(F.expr(f"cast(swept AS array<{SPAN}>)"), F.expr(NONE)))
+    listed = profile.select("dossier", "value", "type", (F.col("kind") != "word").alias("exact")).distinct()
+    made = "named_struct('s', s, 'e', e, 'type', c.type, 'value', substring(__text, s + 1, e - s), 'score', 0.9D, 'priority', 58)"
+    return listed_spans(docs, listed, ["dossier", "doc_id"], ["dossier"], made, "swept")
 
 
 def two_pass(docs: DataFrame, masker: Masker, allowed: str = "false") -> DataFrame:
@@ -75,14 +58,16 @@ def two_pass(docs: DataFrame, masker: Masker, allowed: str = "false") -> DataFra
 
 
 def mask_dossiers(docs: DataFrame, masker: Masker) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents masked, vault, one row a dossier): a vault and a profile for each dossier."""
+    """(documents masked, vault, one row a dossier): a vault and a profile for each dossier.
+
+    One ``doc_id`` in two dossiers is two documents.
+    """
     from dataclasses import replace
 
     from ..sources.tables import materialise
 
-    spans = materialise(two_pass(docs, masker).select("doc_id", "spans"), "dossier")
-    given = docs.withColumn("mission", F.col("dossier")).join(spans.withColumnRenamed("spans", "__given"), "doc_id", "left")
-    again = replace(masker, recognizers=[], extra_recognizers=[], forms=False, extra={"given": lambda d: F.col("__given") if "__given" in d.columns else F.expr(NONE)})
+    given = materialise(two_pass(docs, masker).withColumn("mission", F.col("dossier")).withColumnRenamed("spans", "__given"), "dossier")
+    again = replace(masker, recognizers=[], extra_recognizers=[], forms=False, dictionary=None, lists=None, keep=None, extra={"given": lambda d: F.col("__given") if "__given" in d.columns else F.expr(NONE)})
     out, vault = again.mask(given)
     files = out.select("doc_id", F.col("mission").alias("dossier"), "masked", "entities", "state", "safe")
     totals = files.groupBy("dossier").agg(F.count_if(F.col("safe")).alias("n_ok"), F.sum(F.size("entities")).alias("total_entities"), F.min("safe").alias("all_safe"))

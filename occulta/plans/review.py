@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXPIRY_DAYS = 30
 #: Types that may be taken off the list; identifiers and company names never are.
 JUDGED_TYPES = ("NOM", "POSTE", "ADRESSE")
 BATCH = 8
-KEEP_REFS = "array_sort(collect_set(doc_ref))"
+#: Files listed with an item where it is shown.
+SHOWN_REFS = 20
 
 
 def candidates(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -26,14 +27,41 @@ def candidates(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 
 def queue(found: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """The queue of ``found(normalized, value, entity_type, doc_ref, first_seen)``: one row a value, most frequent first.
+    """The queue of ``found(normalized, value, entity_type, doc_ref, first_seen)``: one row a value.
 
-    Known values aren't queued. Files are counted and, as they are what a
-    reviewer opens, listed in order.
+    Known values aren't queued. Files are counted; which they are stays in a
+    table of its own (:func:`references`), as a value may be in very many.
+    ``from_depollute`` says whether taking words off the list named it.
     """
     known = gazetteer.select(F.upper(F.trim("value")).alias("normalized")).distinct()
     new = found.join(known, "normalized", "left_anti")
-    return new.groupBy("normalized").agg(F.min("value").alias("value"), F.min("entity_type").alias("entity_type"), F.count("*").alias("occurrence_count"), F.expr(KEEP_REFS).alias("doc_refs"), F.min("first_seen").alias("first_seen")).withColumn("status", F.lit("pending"))
+    first = new.groupBy("normalized").agg(F.min("value").alias("value"), F.min("entity_type").alias("entity_type"), F.count("*").alias("occurrence_count"), F.min("first_seen").alias("first_seen"), F.coalesce(F.bool_or(F.col("doc_ref") == "depollute"), F.lit(False)).alias("from_depollute"))
+    counted = references(new).groupBy("normalized").agg(F.count("*").alias("n_docs"))
+    return first.join(counted, "normalized", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0))).withColumn("status", F.lit("pending"))
+
+
+def references(found: DataFrame) -> DataFrame:
+    """(normalized, doc_ref): the files of each value, each once."""
+    return found.filter("doc_ref IS NOT NULL").select("normalized", "doc_ref").distinct()
+
+
+def shown(items: DataFrame, refs: DataFrame, most: int = SHOWN_REFS) -> DataFrame:
+    """``items`` with ``doc_refs``, the first ``most`` of their files, for display."""
+    first = F.row_number().over(Window.partitionBy("normalized").orderBy("doc_ref"))
+    few = refs.join(items.select("normalized"), "normalized", "left_semi").withColumn("__k", first).filter(F.col("__k") <= most)
+    listed = few.groupBy("normalized").agg(F.array_sort(F.collect_list("doc_ref")).alias("doc_refs"))
+    return items.join(listed, "normalized", "left").withColumn("doc_refs", F.coalesce("doc_refs", F.array().cast("array<string>")))
+
+
+def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate rows of sidecar files (JSON lines), ready for :func:`queue`; none if there is no file."""
+    schema = "value string, normalized string, entity_type string, source_doc string, score double, threshold double, char_start int, char_end int, mission string, is_residual boolean, ts string"
+    try:
+        rows = spark.read.schema(schema).json(path)
+        rows.limit(1).collect()
+    except Exception:  # noqa: BLE001 - no sidecar yet
+        rows = spark.createDataFrame([], schema)
+    return rows.filter(F.trim("value") != "").select(F.coalesce("normalized", F.upper(F.trim("value"))).alias("normalized"), "value", "entity_type", F.col("source_doc").alias("doc_ref"), F.to_timestamp("ts").alias("first_seen")).dropDuplicates()
 
 
 def pending(items: DataFrame) -> DataFrame:
@@ -55,7 +83,7 @@ def resolve(items: DataFrame, decisions: DataFrame, now: Column) -> tuple[DataFr
     met = items.join(decisions, "normalized", "left")
     decided = (F.col("status") == "pending") & F.col("decision").isin("confirm", "dismiss")
     state = F.when(decided & (F.col("decision") == "confirm"), "confirmed").when(decided, "dismissed").otherwise(F.col("status"))
-    out = met.withColumn("dismiss_reason", F.when(decided & (F.col("decision") == "dismiss"), F.col("reason")).otherwise(F.col("dismiss_reason"))).withColumn("resolved_at", F.when(decided, now).otherwise(F.col("resolved_at"))).withColumn("from_depollute", F.array_contains("doc_refs", "depollute"))
+    out = met.withColumn("dismiss_reason", F.when(decided & (F.col("decision") == "dismiss"), F.col("reason")).otherwise(F.col("dismiss_reason"))).withColumn("resolved_at", F.when(decided, now).otherwise(F.col("resolved_at")))
     known = met.filter(decided & (F.col("decision") == "confirm")).select("value", "entity_type", now.alias("added_at"))
     safe = met.filter(decided & (F.col("decision") == "dismiss")).select(F.lower(F.trim("value")).alias("word"))
     return out.withColumn("status", state).drop("decision", "reason"), known, safe
@@ -97,3 +125,16 @@ def batches(values: DataFrame, size: int = BATCH) -> DataFrame:
     """(batch, values): groups of ``size`` for one call of a model each; rows stay in their partitions."""
     number = F.monotonically_increasing_id()
     return values.withColumn("batch", F.floor(number / size)).groupBy("batch").agg(F.collect_list("value").alias("values"))
+
+
+def safe_added(safe: DataFrame, word: str, typed: str) -> DataFrame:
+    """The list of safe words with ``word``, in lower case, if it was typed again as confirmation; else a ``ValueError``."""
+    if not word.strip() or word.strip().lower() != typed.strip().lower():
+        raise ValueError("the confirmation must repeat the word")
+    new = safe.sparkSession.createDataFrame([(word.strip().lower(),)], "word string")
+    return safe.select("word").unionByName(new).distinct()
+
+
+def safe_removed(safe: DataFrame, word: str) -> DataFrame:
+    """The list of safe words without ``word``, in any case."""
+    return safe.filter(F.lower(F.trim("word")) != word.strip().lower())
