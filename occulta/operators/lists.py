@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import NONE, SPAN, hits, let, made, quote, resolved
+from ..sources.tables import materialise
 from .spec import CATALOGUE
 
 NAMES_LEAST, SOFT_LEAST, SOFT_PRIORITY = 0.85, 0.80, 5
@@ -167,7 +168,8 @@ def listed_spans(docs: DataFrame, listed: DataFrame, by: list[str], on: list[str
     rest = [c for c in listed.columns if c not in on]
     values = values.select(*on, "__w", F.struct(*rest, F.expr("transform(__ws, x -> named_struct('v', x.v, 'w', x.w, 'g', x.g))").alias("ws")).alias("c"))
     marked = keyed(docs, *by).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    words = marked.select("__key", *on, F.posexplode(F.expr(words_of("__text"))).alias("i", "x")).select("__key", *on, "i", F.col("x.w").alias("__w"))
+    # the outer form, as the inner one would evaluate the words once more in a filter
+    words = marked.select("__key", *on, F.posexplode_outer(F.expr(words_of("__text"))).alias("i", "x")).select("__key", *on, "i", F.col("x.w").alias("__w"))
     met = words.join(values, [*on, "__w"]).groupBy("__key").agg(F.collect_set(F.struct("i", "c")).alias("__met"))
     alike = "x.i + size(x.c.ws) <= size(tw) AND forall(sequence(0, size(x.c.ws) - 1), k -> if(x.c.exact, tw[x.i + k].v = x.c.ws[k].v, tw[x.i + k].w = x.c.ws[k].w) AND (k = 0 OR tw[x.i + k].g = x.c.ws[k].g))"
     one = let("c", "x.c", let("s", "tw[x.i].s", let("e", "tw[x.i + size(x.c.ws) - 1].e", span)))
@@ -210,8 +212,11 @@ def name_sweep(text: str, spans: str) -> str:
 
 
 def kept_by(docs: DataFrame, spans: str, lists: "Lists") -> DataFrame:
-    """``docs`` with those of its spans that the lists keep; only keys and values are dealt out."""
-    marked = keyed(docs, *[c for c in ("doc_id", "mission", "filename") if c in docs.columns])
+    """``docs`` with those of its spans that the lists keep; only keys and values are dealt out.
+
+    What was detected is written first, as it is read twice.
+    """
+    marked = materialise(keyed(docs, *[c for c in ("doc_id", "mission", "filename") if c in docs.columns]), "to-filter")
     flat = marked.select("__key", F.posexplode(spans).alias("i", "m")).select("__key", "i", "m.type", "m.value").distinct()
     kept = filtered(flat, lists.known, lists.allow, lists.common, lists.safe).groupBy("__key").agg(F.collect_set("i").alias("__kept"))
     chosen = f"CASE WHEN size({spans}) = 0 THEN {spans} ELSE filter({spans}, (m, i) -> array_contains(coalesce(__kept, cast(array() AS array<int>)), i)) END"

@@ -196,7 +196,7 @@ def mask_json(docs: DataFrame, masker: Masker, known: DataFrame | None = None) -
     mission = F.col("mission") if "mission" in docs.columns else F.lit("default")
     given = docs.select("doc_id", mission.alias("mission"), "json").withColumn("__key", F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), "mission", "json").cast("binary")))
     valid = "json IS NOT NULL AND try_parse_json(json) IS NOT NULL"
-    leaves = given.filter(valid).select("__key", "mission", F.posexplode(F.expr(json_strings("json"))).alias("i", "x")).distinct()
+    leaves = given.filter(valid).select("__key", "mission", F.posexplode_outer(F.expr(json_strings("json"))).alias("i", "x")).filter("x IS NOT NULL").distinct()
     text = F.from_json(F.concat(F.lit('["'), "x.v", F.lit('"]')), "array<string>")[0]
     out, vault_ = masker.mask(leaves.select(F.struct("__key", "i").alias("doc_id"), "mission", text.alias("text")), known)
     put = F.when(F.col("masked") != F.col("original"), F.regexp_replace(F.to_json(F.array("masked")), r'^\["|"\]$', ""))

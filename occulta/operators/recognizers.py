@@ -34,7 +34,7 @@ ROLES = (
 ).split()
 ROLE = f"(?:{'|'.join(sorted(ROLES, key=len, reverse=True))})"
 #: Up to three lower-case words that say more of an office, and where it is held.
-QUALIFIER = r"(?:[^\S\n]+(?:(?:des?|du|en|aux?)[^\S\n]+|[dl]['’])?(?!(?:chez|dans|pour)\b)\p{Ll}[\p{L}\-]+){0,3}"
+QUALIFIER = r"(?:[^\S\n]+(?:(?:des?|du|en|aux?)[^\S\n]+|[dl]['’])?(?!(?:chez|dans|pour)\b)(?-i:\p{Ll})[\p{L}\-]+){0,3}"
 COMPANY = r"(?:[^\S\n]+(?:chez|dans|pour|de)[^\S\n]+(?-i:\p{Lu})[\p{L}\p{N}&.\-]*(?:[^\S\n]+(?-i:\p{Lu})[\p{L}\p{N}&.\-]*){0,4})?"
 #: The months.
 MONTHS = "janvier|février|fevrier|mars|avril|mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre"
@@ -71,7 +71,7 @@ def core(forenames: tuple[str, ...] = FORENAMES, homographs: tuple[str, ...] = H
         Recognizer("NUM_FISCAL", r"(?U)\b\d\d\s\d\d\s\d{7}\s\d\d\b", 87, check=checksums.fiscal_reference, drop=True, needs=_DIGIT),
         Recognizer("NUM_TELEDECLARANT", r"(?U)\b\d{3}(?:\s\d\d){2}\s\d{10}\s\d\s[A-Z]\b", 87, needs=_DIGIT),
         # a label of a client or file, the name of a system, and a word with three digits or more
-        Recognizer("NUM_CLIENT", rf"(?iuU)(?:client\s+{number}|(?:{number}|r[ée]f(?:[ée]rence|\.)?)\s*(?:d[eu]\s+)?(?:client|dossier))(?:\s+[A-Z][A-Z0-9]{{1,4}})?\s*:?\s*((?=[\w\-]*\d[\w\-]*\d[\w\-]*\d)[A-Z0-9][\w\-]+)", 86, group=1, needs=_DIGIT),
+        Recognizer("NUM_CLIENT", rf"(?iuU)(?:client\s+{number}|(?:{number}|r[ée]f(?:[ée]rence|\.)?)\s*(?:d[eu]\s+)?(?:client|dossier))(?:\s+[A-Z][A-Z0-9]{{1,4}}\b)?\s*:?\s*((?=[\w\-]*\d[\w\-]*\d[\w\-]*\d)[A-Z0-9][\w\-]+)", 86, group=1, needs=_DIGIT),
         Recognizer("DATE_NAISSANCE", rf"(?iuU)\b(?:n[ée](?:e|\(e\))?\s+le|(?:date\s+de\s+)?naissance)\s*:?\s*(\d{{1,2}}(?:er)?\s+(?:{MONTHS})\s+\d{{4}}|\d{{1,2}}([/.\-])\d{{1,2}}\2(?:\d{{4}}|\d{{2}}))", 72, group=1, needs=_DIGIT),
         Recognizer("TEL", r"(?U)(?:(?:\+|00)33[ .\-]?|0)[1-9](?:[ .\-]?\d\d){4}\b", 70, needs=_DIGIT),
         Recognizer("MONTANT", r"(?iuU)\b\d+(?:[ .\u00a0\u202f]\d{3})*(?:[.,]\d{1,2})?\s?(?:€|eur(?:os?)?\b)", 60, needs=_DIGIT),
