@@ -1,17 +1,24 @@
 """Sinks, gates, statistics and hooks not covered elsewhere."""
 
+import hashlib
+import hmac
 import html
+import json
 import re
+import zipfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from occulta import catalogue
 from occulta.functions import gate, spans
-from occulta.operators import lists, soft, vault
-from occulta.operators.masker import Masker
-from occulta.plans import analytics, profile, verdict
+from occulta.operators import lists, presets, soft, vault
+from occulta.operators.masker import Masker, contain_results, mask_json, restore, rewrite_outputs
+from occulta.operators.spec import Recognizer
+from occulta.plans import analytics, profile, review, verdict
 from occulta.sources import files
+from occulta.sources.tables import materialise
 from occulta.streaming import index
 
 
@@ -51,8 +58,11 @@ def test_windowed_answers(spark):
 def test_sinks_and_statistics(spark, tmp_path):
     docs = spark.createDataFrame([(1, "m", "a@b.fr\nligne"), (2, "m", "rien")], "doc_id long, mission string, text string")
     out, known = Masker().mask(docs)
-    files.write_dossier(out.select(F.col("mission").alias("dossier"), F.concat(F.lit("n"), "doc_id").alias("name"), "masked"), known, str(tmp_path))
-    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/anonymise").collect()) == ["ligne", "rien", "⟦EMAIL_0001⟧"]
+    done = files.write_dossier(out.select(F.col("mission").alias("dossier"), F.concat(F.lit("n/"), "doc_id").alias("name"), "masked"), known, str(tmp_path)).collect()
+    assert [(r.dossier, r.part, r.n_documents) for r in done] == [("m", 0, 2)]
+    with zipfile.ZipFile(done[0].file) as z:
+        assert z.namelist() == ["anonymise/01 - n_1.txt", "anonymise/02 - n_2.txt", "manifest.json"]
+        assert z.read("anonymise/01 - n_1.txt").decode() == "⟦EMAIL_0001⟧\nligne" and json.loads(z.read("manifest.json"))["documents"] == z.namelist()[:2]
     assert spark.read.option("sep", "\t").option("header", "true").csv(f"{tmp_path}/correspondance").first().value == "a@b.fr"
     log = {r.total: r for r in analytics.audit_rows(out).collect()}
     assert log[1].counts == {"EMAIL": 1} and log[0].counts == {} and log[0].safe_to_send
@@ -134,3 +144,124 @@ def test_sweep_across_long_white_space(spark):
     known = spark.createDataFrame([("d", "NOM", "Jean Dupont", "value")], "dossier string, type string, value string, kind string")
     got = profile.sweep(docs, known).first().swept
     assert [(m.s, m.e) for m in got] == [(3, len(text) - 5)]
+
+
+def test_values_found_whatever_case_accents_and_length(spark):
+    docs = spark.createDataFrame([(1, "İİ x Dupont ici"), (1, "vu E\u0301lodie  Le\u0301ger et ELODIE\n\n\nLEGER, x_leger"), (None, "dupont"), (None, "DUPONT!"), (2, "dupontel, jean, paul"), (3, None), (4, "")], "doc_id long, text string")
+    known = spark.createDataFrame([("Dupont", "NOM"), ("Élodie Léger", "NOM"), ("jean, paul", "NOM"), ("  ", "NOM"), ("--", "NOM"), (None, "NOM")], "value string, entity_type string")
+    got = {r.text: [m.value for m in r.known] for r in lists.dictionary_spans(docs, known).collect()}
+    assert got == {"İİ x Dupont ici": ["Dupont"], docs.collect()[1].text: ["E\u0301lodie  Le\u0301ger", "ELODIE\n\n\nLEGER"], "dupont": ["dupont"], "DUPONT!": ["DUPONT"], "dupontel, jean, paul": ["jean, paul"], None: [], "": []}
+    assert lists.dictionary_spans(docs, known.filter("false")).filter("size(known) > 0").count() == 0
+    masked, _ = Masker(dictionary=known).mask(docs)
+    assert "Dupont" not in str([r.masked for r in masked.collect()]) and masked.count() == 7
+
+
+def test_model_names_are_swept_and_widened(spark):
+    def load():
+        def model(texts):
+            return [[{"label": "person name", "text": w, "start": t.find(w), "end": t.find(w) + len(w), "score": s} for w, s in (("Kowalska", 0.9), ("Anna Kowalska", 0.25)) if w in t] for t in texts]
+
+        return model
+
+    docs = spark.createDataFrame([(1, "vu Anna Kowalska hier, et KOWALSKA demain"), (1, "kowalska seule")], "doc_id long, text string")
+    soft_ = materialise(soft.model_spans(docs, soft.model_udf(load)), "soft")
+    assert {r.text: [m.value for m in r.soft] for r in soft_.collect()} == {"vu Anna Kowalska hier, et KOWALSKA demain": ["Anna Kowalska"], "kowalska seule": []}
+    found = Masker(extra={"soft": lambda d: F.col("soft")}).detect(soft_)
+    assert {tuple(m.value for m in r.spans) for r in found.collect()} == {("Anna Kowalska", "KOWALSKA"), ()}
+
+
+def test_presets(spark):
+    docs = spark.createDataFrame([(1, "Mme Anne PETIT et M. Paul BON de l'AMF, 45 000 €, marie@acme.com")], "doc_id long, text string")
+    allow = lists.allowed(["amf"], ["acme.com"], [])
+    kinds = lambda m: [(x.type, x.value) for x in m.detect(docs).first().spans]
+    assert kinds(presets.web({"MONTANT": False, "NOM": False}, allow)) == [("NOM", "Mme Anne PETIT"), ("NOM", "M. Paul BON")]
+    words = spark.createDataFrame([("m. paul bon",)], "word string")
+    assert kinds(presets.standard(spark, allow=allow, common=words)) == [("NOM", "Mme Anne PETIT")]
+    gazetteer = spark.createDataFrame([("M. Paul Bon", "NOM")], "value string, entity_type string")
+    assert kinds(presets.standard(spark, gazetteer, policy={"MONTANT": True}, allow=allow, common=words)) == [("NOM", "Mme Anne PETIT"), ("NOM", "M. Paul BON"), ("MONTANT", "45 000 €")]
+
+
+def test_json_and_tool_results(spark):
+    texts = [
+        '{"a@b.fr": ", \\"x\\": ", "k": ["a@b.fr", 1, {"z": "é\\n06 12 34 56 78\\u00e9"}], "e": ""}', "no json a@b.fr", None, '"a@b.fr"', "[]", '{"k": "rien"}', '{"k": "rien"}',
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, json string")
+    out, known = mask_json(docs, Masker())
+    got = {r.doc_id: r for r in out.collect()}
+    assert json.loads(got[0].masked) == {"a@b.fr": ', "x": ', "k": ["⟦EMAIL_0001⟧", 1, {"z": "é\n⟦TEL_0001⟧ é"}], "e": ""} and got[0].n_changed == 2
+    assert [got[k].masked for k in (1, 2, 4, 5, 6)] == [texts[k] for k in (1, 2, 4, 5, 6)] and got[3].masked == '"⟦EMAIL_0001⟧"' and len(got) == 7
+    results = docs.withColumn("tool", F.when(F.col("doc_id") == 3, F.lit("mail_read")).otherwise(F.lit("other")))
+    contained = {r.doc_id: (r.masked, r.rewritten) for r in contain_results(results, Masker(), "^mail_")[0].collect()}
+    assert contained[3] == ('"⟦EMAIL_0001⟧"', True) and contained[0] == (texts[0], False)
+    rows = spark.createDataFrame([(1, "text", "a@b.fr"), (2, "text", "rien"), (3, "image", "a@b.fr"), (4, None, None)], "doc_id long, shape string, text string")
+    done = {r.doc_id: (r.masked, r.rewritten) for r in rewrite_outputs(rows, Masker(), True)[0].collect()}
+    assert done == {1: ("⟦EMAIL_0001⟧", True), 2: ("rien", False), 3: ("a@b.fr", False), 4: (None, False)}
+    assert {r.rewritten for r in rewrite_outputs(rows, Masker(), False)[0].collect()} == {False}
+
+
+def test_vault_at_rest_and_opaque_ids(spark, tmp_path):
+    v = spark.createDataFrame([("m", "NOM", "Marie"), ("m", "NOM", "sealed1:odd"), ("n", "TEL", "")], "mission string, type string, value string").withColumn("created_at", F.current_timestamp())
+    key = vault.derived("pass", b"salt", 1000)
+    assert len(key) == 32 and key == vault.derived("pass", b"salt", 1000) != vault.derived("pass", b"tlas", 1000)
+    path = f"{tmp_path}/vault"
+    v.write.parquet(path)
+    assert vault.migrate(spark, path, key) == 3 and vault.migrate(spark, path, key) == 0
+    stored = spark.read.parquet(path)
+    assert vault.plaintext_count(stored) == 0 and {r.value for r in vault.opened(stored, key).collect()} == {"Marie", "sealed1:odd", ""}
+    assert key.hex() not in vault.sealed(v, key)._jdf.queryExecution().toString().lower()
+    with pytest.raises(Exception):
+        vault.opened(stored, vault.derived("other", b"salt", 1000)).collect()
+    odd = "it's a \"key\""
+    ids = {r.value: r.i for r in v.select("value", F.expr(vault.row_id("value", odd)).alias("i")).collect()}
+    assert ids["Marie"] == hmac.new(odd.encode(), b"marie", hashlib.sha256).hexdigest()[:24]
+    chosen = spark.createDataFrame([(ids["Marie"],)], "row_id string")
+    assert [r.value for r in vault.by_row_id(v, chosen, odd).collect()] == ["Marie"]
+    assert {r.mission: r.n_values for r in vault.missions(v).collect()} == {"m": 2, "n": 1}
+    assert vault.purged(v, 1).count() == 3 and vault.purged(v, 1, F.current_timestamp() + F.expr("INTERVAL 2 DAYS")).count() == 0
+    value, log = vault.revealed(v.withColumn("token", F.col("value")), "m", "Marie")
+    assert value.first().value == "Marie" and log.first().event == "vault_reveal" and "Marie" not in str(log.first())
+
+
+def test_safe_words_sidecars_and_references(spark, tmp_path):
+    safe = spark.createDataFrame([("vert",)], "word string")
+    assert {r.word for r in review.safe_added(safe, " Petit ", "petit").collect()} == {"vert", "petit"} and review.safe_removed(safe, "VERT").count() == 0
+    with pytest.raises(ValueError):
+        review.safe_added(safe, "Petit", "petits")
+    assert review.read_sidecars(spark, f"{tmp_path}/none").count() == 0
+    with open(f"{tmp_path}/side.jsonl", "w") as f:
+        for value, doc in (("Paul", "a"), ("paul", "b"), ("paul", "b"), ("", "c"), ("Max", "depollute")):
+            f.write(json.dumps({"value": value, "entity_type": "NOM", "source_doc": doc, "ts": "2026-01-01T00:00:00"}) + "\n")
+    found = review.read_sidecars(spark, f"{tmp_path}/side.jsonl")
+    items = review.queue(found, spark.createDataFrame([], "value string"))
+    got = {r.normalized: r for r in review.shown(items, review.references(found), 1).collect()}
+    assert (got["PAUL"].occurrence_count, got["PAUL"].n_docs, got["PAUL"].doc_refs) == (2, 2, ["a"]) and got["MAX"].from_depollute and not got["PAUL"].from_depollute
+
+
+def test_probe_scan_mail_order_and_pdf_strings(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.txt",), (f"{tmp_path}/a.txt",), (f"{tmp_path}/gone.txt",), (None,)], "path string")
+    assert [r.status for r in files.probe(paths).collect()] == ["ok", "ok", "deferred", "deferred"]
+    names = {"/r/a.py": True, "/r/README": True, "/r/fixtures/a.py": False, "/r/a.png": False, "/r/.git/x.txt": False}
+    rows = spark.createDataFrame([(n,) for n in names], "path string").select("path", F.expr(files.scannable()).alias("s")).collect()
+    assert {r.path: r.s for r in rows} == names
+    for uid in ("9", "10", "x"):
+        (tmp_path / f"{uid}.eml").write_bytes(b"From: a@b.fr\r\nSubject: s\r\n\r\nbody")
+    assert sorted(r.uid for r in files.read_mail(spark, str(tmp_path), 2).collect()) == ["10", "x"]
+    assert files.pdf_string(b"<48 656C6C6F>") == "Hello" and files.pdf_string(b"<FEFF00E9>") == "é" and files.pdf_string(rb"(a\)\101)") == "a)A"
+    pdf = b"%PDF-1.4\n1 0 obj << /Type /Page >> endobj\nstream\nBT <426f6e6a6f7572> Tj ET\nendstream"
+    assert files.pdf_text(pdf) == ("Bonjour", 1)
+    glued = b"%PDF-1.4\nstream\nBT (" + b"gerantETESTONIdeLaSocieteDuNordOuest " * 40 + b") Tj ET\nendstream"
+    given = spark.createDataFrame([("/x.pdf", bytearray(glued))], "path string, content binary")
+    assert files.extract(given, lambda raw: "un texte clair et net").first().text == "un texte clair et net"
+
+
+def test_residual_rounds_carry_only_what_is_left(spark):
+    docs = spark.createDataFrame([(k, f"a{k}@b.fr") for k in range(20)] + [(99, "rien")], "doc_id long, text string")
+    # a recogniser that finds something only in what masking leaves
+    late = Recognizer("LATE", r"(?<=⟧) ?fin[0-9]+", 1)
+    docs = docs.unionByName(spark.createDataFrame([(100, "c@d.fr fin12")], "doc_id long, text string"))
+    out, known = Masker(extra_recognizers=[late]).mask(docs)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert len(rows) == 22 and rows[100].masked == "⟦EMAIL_0021⟧⟦LATE_0001⟧" and [e.phase for e in rows[100].entities] == ["body", "residual"]
+    assert known.groupBy("mission", "type", "number").count().filter("count > 1").count() == 0
+    assert {r.doc_id: r.restored for r in restore(out, known).collect()} == {r.doc_id: r.text for r in docs.collect()}
