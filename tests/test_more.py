@@ -183,7 +183,7 @@ def test_presets(spark):
 
 def test_json_and_tool_results(spark):
     texts = [
-        '{"a@b.fr": ", \\"x\\": ", "k": ["a@b.fr", 1, {"z": "é\\n06 12 34 56 78\\u00e9"}], "e": ""}', "no json a@b.fr", None, '"a@b.fr"', "[]", '{"k": "rien"}', '{"k": "rien"}',
+        '{"a@b.fr": ", \\"x\\": ", "k": ["a@b.fr", 1, {"z": "é\\n06 12 34 56 78 \\u00e9"}], "e": ""}', "no json a@b.fr", None, '"a@b.fr"', "[]", '{"k": "rien"}', '{"k": "rien"}',
     ]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, json string")
     out, known = mask_json(docs, Masker())
