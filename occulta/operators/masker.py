@@ -58,16 +58,17 @@ class Masker:
         if self.dictionary is not None:
             names.append("__known")
             docs = L.dictionary_spans(docs, self.dictionary, out="__known")
+        docs = docs.withColumn("__low", F.lower("text"))
         for k, r in enumerate([*self.recognizers, *self.extra_recognizers]):
             names.append(f"__r{k}")
-            docs = docs.withColumn(names[-1], F.expr(r.sql("text")))
+            docs = docs.withColumn(names[-1], F.expr(r.sql("text", "__low")))
         if self.forms:
             names.append("__forms")
-            docs = docs.withColumn("__forms", F.concat(*[F.expr(forms.rule_spans(n)) for n in forms.ORDER]))
+            docs = docs.withColumn("__forms", F.concat(*[F.expr(forms.rule_spans(n, "text", "__low")) for n in forms.ORDER]))
             docs = docs.withColumn("__forms", F.concat("__forms", F.expr(forms.company_repetitions("text", "__forms"))))
             words = forms.filename_words("filename") if "filename" in docs.columns else "cast(array() AS array<string>)"
             docs = docs.withColumn("__words", F.coalesce(F.expr(words), F.array().cast("array<string>"))).withColumn("__footers", F.expr(forms.footer_names("text", "__words")))
-            docs = docs.withColumn("__forms", F.concat("__forms", F.expr(forms.rule_spans("signataire")), "__footers"))
+            docs = docs.withColumn("__forms", F.concat("__forms", F.expr(forms.rule_spans("signataire", "text", "__low")), "__footers"))
             docs = docs.withColumn("__forms", F.concat("__forms", F.expr(forms.person_repetitions("text", "__forms", "__words", "__footers"))))
         for name, fn in self.extra.items():
             names.append(f"__x_{name}")
@@ -79,7 +80,7 @@ class Masker:
             docs = docs.withColumn(out, F.expr(f"CASE WHEN size({out}) = 0 THEN {out} ELSE {S.boosted('text', out, CUES)} END"))
         if self.keep:
             docs = docs.withColumn(out, F.expr(f"filter({out}, m -> {self.keep})"))
-        docs = docs.drop("__all", "__words", "__footers", *names)
+        docs = docs.drop("__all", "__low", "__words", "__footers", *names)
         return docs if self.lists is None else L.kept_by(docs, out, self.lists)
 
     def mask(self, docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -40,7 +40,8 @@ class Recognizer:
     SQL over the value that gives score 1; without it the score is
     ``otherwise``, or nothing is found if ``drop``. ``before``: a pattern that
     must occur earlier on the line, within ``reach`` characters. ``needs``: SQL
-    over ``{text}`` that holds wherever the pattern can match, and costs less.
+    over ``{text}``, or ``{low}``, the text in lower case, that holds wherever
+    the pattern can match, and costs less.
     """
 
     type: str
@@ -54,8 +55,8 @@ class Recognizer:
     reach: int = 60
     needs: str | None = None
 
-    def sql(self, text: str = "text") -> str:
-        """Spans of this recogniser in ``text``; none, at the cost of one search, without a match."""
+    def sql(self, text: str = "text", low: str | None = None) -> str:
+        """Spans of this recogniser in ``text``; none, at the cost of one search, without a match. ``low``: a column of the text in lower case, if there is one."""
         x = hits(text, self.pattern, self.group)
         wanted = ["trim(x.v) <> ''"]
         score = "1.0D"
@@ -67,10 +68,15 @@ class Recognizer:
         if self.before is not None:
             line = rf"regexp_extract(substring({text}, greatest(1, x.s + 1 - {self.reach}), least(x.s, {self.reach})), r'[^\n]*$', 0)"
             wanted.append(f"{line} rlike {quote(self.before)}")
-        no = f"WHEN NOT {self.needs.format(text=text)} THEN {NONE} " if self.needs else ""
+        no = f"WHEN NOT {self.needs.format(text=text, low=low or f'lower({text})')} THEN {NONE} " if self.needs else ""
         return f"CASE {no}WHEN {text} rlike {quote(self.pattern)} THEN transform(filter({x}, x -> {' AND '.join(wanted)}), x -> {made(self.type, score, self.priority)}) ELSE {NONE} END"
 
 
+def some_of(text: str, *parts: str) -> str:
+    """SQL template: whether one of ``parts`` is in ``{text}`` or ``{low}``."""
+    return "(" + " OR ".join(f"contains({text}, {quote(p)})" for p in parts) + ")"
+
+
 class FieldError(ValueError):
     """A user's field that can't be taken."""
 
