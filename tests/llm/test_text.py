@@ -308,3 +308,17 @@ def test_conversation_edges(spark):
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest_formatted(formatted).collect()}
     assert got == brute_chat(rows)
     assert chat.digest_formatted(chat.format_conversations(df.filter("false"))).count() == 0
+
+
+def test_pii_of_the_whole_table(spark, sf):
+    texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
+    got = queries.op2_pii(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    secret = re.compile(r"""(?i)\btoken\s*=\s*["']?([0-9a-f]{16,})""")
+    for r in got:
+        base, spans = base_spans(texts[r.doc_id] or ""), r.spans.split(",") if r.spans else []
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and r.n_spans == len(spans) and set(base) <= set(spans)
+        # every assigned token of the corpus is found, and added spans touch no base span
+        assert {f"secret:{m.start(1)}:{m.end(1)}" for m in secret.finditer(texts[r.doc_id] or "")} <= set(spans)
+        places = [tuple(map(int, x.split(":")[1:])) for x in base]
+        assert not any(a < d and c < b for x in set(spans) - set(base) for a, b in [tuple(map(int, x.split(":")[1:]))] for c, d in places)
