@@ -66,7 +66,7 @@ class Recognizer:
             else:
                 score = f"if({self.check('x.v')}, 1.0D, {self.otherwise}D)"
         if self.before is not None:
-            line = rf"regexp_extract(substring({text}, greatest(1, x.s + 1 - {self.reach}), least(x.s, {self.reach})), r'[^\n]*$', 0)"
+            line = rf"substring_index(substring({text}, greatest(1, x.s + 1 - {self.reach}), least(x.s, {self.reach})), '\n', -1)"
             wanted.append(f"{line} rlike {quote(self.before)}")
         no = f"WHEN NOT {self.needs.format(text=text, low=low or f'lower({text})')} THEN {NONE} " if self.needs else ""
         return f"CASE {no}WHEN {text} rlike {quote(self.pattern)} THEN transform(filter({x}, x -> {' AND '.join(wanted)}), x -> {made(self.type, score, self.priority)}) ELSE {NONE} END"

@@ -179,3 +179,62 @@ def test_spans_outside_others(spark):
         assert [tuple(x) for x in r.o] == free
         alone = [x for i, x in enumerate(free) if not any((y[0] <= x[0] and x[1] <= y[1]) and (y != x or j < i) for j, y in enumerate(free) if j != i)]
         assert [tuple(x) for x in r.u] == alone
+
+
+def plain_luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + k % 2)
+        total += v - 9 if v > 9 else v
+    return bool(digits) and total % 10 == 0
+
+
+def plain_check(kind, value):
+    """The checks of the recognisers, from their definitions."""
+    if kind == "IBAN":
+        v = re.sub(r"[\s.\-]", "", value).upper()
+        return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", v)) and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    if kind == "ISIN":
+        return plain_luhn("".join(str(int(c, 36)) for c in value))
+    if kind in ("SIRET", "SIREN"):
+        v = re.sub(r"\s", "", value)
+        return v.isdigit() and len(v) in (9, 14) and plain_luhn(v)
+    v = re.sub(r"\s", "", value)
+    return 97 - int(v[:11]) % 97 == int(v[11:])
+
+
+def plain_spans(text):
+    """What all recognisers find in a text, and what is left of overlaps, with Python's patterns."""
+    import regex
+
+    found = []
+    for r in core():
+        flags = (regex.I if "(?iuU)" in r.pattern else 0) | regex.V0
+        for m in regex.finditer(r.pattern.replace("(?iuU)", "").replace("(?U)", ""), text, flags):
+            s, e = m.span(r.group)
+            if not m[r.group].strip():
+                continue
+            score = 1.0
+            if r.check is not None and not plain_check(r.type, m[r.group]):
+                if r.drop:
+                    continue
+                score = r.otherwise
+            if r.before is not None and not regex.search(r.before.replace("(?U)", ""), text[max(0, s - r.reach) : s].rsplit("\n", 1)[-1]):
+                continue
+            found.append((s, e, score, r.priority, r.type, m[r.group]))
+    return [(s, e, t, v, score, p) for s, e, score, p, t, v in brute_resolve(found)]
+
+
+def test_all_recognisers_by_brute_force(spark, sf):
+    rng = random.Random(11)
+    parts = [
+        "M. Robert Dupont", "Madame Élodie O'Neil", "Nathalie Petit-Jean", "Robert Half", "Mme le juge et Rose Martin", IBAN, "FR76 3000 6000 0112 3456 7890 189", "FR0000120271", "552 100 554", "552 100 554 00011", "123 456 789-00011",
+        "1 84 12 75 116 001 42", "numéro fiscal : 30 23 456 789 012", "25 92 0364665 70", "25 92 0364665 71", "922 65 91 2768797789 3 A", "N° client O2S : AB12345", "client n° XY000123", "né le 14/03/1968", "née le 1er avril 1971", "06 12 34 56 78", "+33 6.12.34.56.78",
+        "45 000 €", "1 234,50 euros", "12 bis, rue de la Paix 75002 Paris", "3 av. Foch", "directeur marketing chez TotalEnergies", "gérante", "PDG de Acme", "https://ex.fr/a?b=c", "www.ex.fr", "ex.fr/in/x", "marie@ex.fr", "\n", " ", " ", ", ", ". ", "é", "🎉", "le marché", "THE IBAN", "2026",
+    ]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for row in Masker(context_boost=False).detect(df).collect():
+        got = [(m.s, m.e, m.type, m.value, m.score, m.priority) for m in row.spans]
+        assert got == plain_spans(row.text), row.text[:300]
