@@ -110,12 +110,16 @@ def by_mode(mode: str, text: str, a: str, b: str) -> str:
     return f"CASE {mode} WHEN 'gliner' THEN {a} WHEN 'openai' THEN {b} ELSE {merged(text, a, b)} END"
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("category", T.StringType()), T.StructField("score", T.DoubleType())])))
-def viterbi(logits: pd.Series, labels: pd.Series) -> pd.Series:
-    """The best valid path of BIOES labels over tokens: spans of tokens, ends exclusive.
+TOKEN_SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("category", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def decoded(logits, labels, bias: dict[str, float] | None = None) -> list[list[tuple]]:
+    """The best valid path of BIOES labels over the tokens of each text: spans of tokens, ends exclusive.
 
     A path may not enter I or E but from B or I of the same category, nor leave
-    B or I but to I or E of it. A span's score is the mean of its probabilities.
+    B or I but to I or E of it. ``bias`` may move the choice: numbers added to
+    the labels of a part (outside, begin, inside, end, single). A span's score
+    is the mean of its probabilities, which no bias changes.
     """
     import numpy as np
 
@@ -126,8 +130,9 @@ def viterbi(logits: pd.Series, labels: pd.Series) -> pd.Series:
             out.append([])
             continue
         x = np.array([list(r) for r in grid], float)
-        log_p = x - np.logaddexp.reduce(x, axis=1, keepdims=True)
         part, kind = [n.partition("-")[0] for n in names], [n.partition("-")[2] for n in names]
+        sure = x - np.logaddexp.reduce(x, axis=1, keepdims=True)
+        log_p = sure + np.array([(bias or {}).get(PARTS.get(p, ""), 0.0) for p in part])
         begun, inner = np.array([p in "BI" for p in part]), np.array([p in "IE" for p in part])
         same = np.array([[a == b for b in kind] for a in kind])
         allowed = np.where(begun[:, None], inner[None, :] & same, ~inner[None, :])
@@ -146,9 +151,26 @@ def viterbi(logits: pd.Series, labels: pd.Series) -> pd.Series:
             if part[k] in "SB":
                 start = t
             if part[k] in "SE":
-                spans.append((start, t + 1, kind[k], float(np.exp([log_p[u, path[u]] for u in range(start, t + 1)]).mean())))
+                spans.append((start, t + 1, kind[k], float(np.exp([sure[u, path[u]] for u in range(start, t + 1)]).mean())))
         out.append(spans)
-    return pd.Series(out)
+    return out
+
+
+#: What the letters of BIOES labels are called.
+PARTS = {"B": "begin", "I": "inside", "O": "outside", "E": "end", "S": "single"}
+
+
+def viterbi_udf(bias: dict[str, float] | None = None):
+    """A pandas UDF of :func:`decoded` over columns of logits and labels."""
+
+    @F.pandas_udf(TOKEN_SPANS)
+    def run(logits: pd.Series, labels: pd.Series) -> pd.Series:
+        return pd.Series(decoded(logits, labels, bias))
+
+    return run
+
+
+viterbi = viterbi_udf()
 
 
 def llm_entities(answer: str) -> str:

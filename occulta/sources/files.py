@@ -279,10 +279,15 @@ def write_dossier(masked: DataFrame, vault: DataFrame, path: str) -> DataFrame:
     return masked.sparkSession.read.parquet(f"{path}/manifest")
 
 
-def restored_files(restored: DataFrame, path: str) -> DataFrame:
-    """Restored texts (name, restored, n_restored, n_unresolved) written to ``path``, and a report without them: counts and bytes."""
-    restored.select("name", "restored").write.mode("overwrite").parquet(path)
-    return restored.select("name", "n_restored", "n_unresolved", F.octet_length("restored").alias("n_bytes"))
+def restored_files(restored: DataFrame, path: str, allowed: str = "true") -> DataFrame:
+    """Restored texts (name, restored, n_restored, n_unresolved) written to ``path``, and a report without them: counts, bytes, refused.
+
+    Only rows for which ``allowed`` (SQL, such as ``index.protected``) holds are
+    written; an unknown answer refuses.
+    """
+    checked = restored.withColumn("refused", ~F.coalesce(F.expr(allowed), F.lit(False)))
+    checked.filter("NOT refused").select("name", "restored").write.mode("overwrite").parquet(path)
+    return checked.select("name", "n_restored", "n_unresolved", F.when(F.col("refused"), 0).otherwise(F.octet_length("restored")).alias("n_bytes"), "refused")
 
 
 #: Times a file is tried, and the seconds between.

@@ -7,7 +7,8 @@ fail_count). A sweep is a batch job, or each micro-batch of a stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +154,35 @@ def read(files: DataFrame, shadows: DataFrame, known: list[str]) -> tuple[DataFr
     return answers, misses
 
 
+def requestable(path: str = "path", digest: str = "content_hash") -> str:
+    """SQL: whether a request to index names a file below the root, by a relative path, and its content by a digest."""
+    return f"(NOT startswith({path}, '/') AND NOT contains({path}, ':') AND NOT exists(split({path}, r'[/\\\\]'), p -> p = '..') AND {digest} rlike '^[0-9a-f]{{64}}$')"
+
+
+class Busy(RuntimeError):
+    """Another sweep of the same store is running."""
+
+
+@contextmanager
+def single_run(spark: SparkSession, folder: str, stale_hours: float = 12.0) -> Iterator[None]:
+    """One batch sweep at a time: a lock file in the store's folder, made in one step, gone at the end.
+
+    A lock older than ``stale_hours`` belongs to a job that died, and is taken over.
+    """
+    import time
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/.sweep.lock")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > stale_hours * 3600:
+        fs.delete(at, False)
+    if not fs.createNewFile(at):
+        raise Busy(folder)
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
 def stream(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame, int], None], available_now: bool = True):
     """A query over a folder's new files; ``each(files, epoch)`` gets (path, mtime, size, content, content_hash).
 

@@ -265,3 +265,23 @@ def test_residual_rounds_carry_only_what_is_left(spark):
     assert len(rows) == 22 and rows[100].masked == "⟦EMAIL_0021⟧⟦LATE_0001⟧" and [e.phase for e in rows[100].entities] == ["body", "residual"]
     assert known.groupBy("mission", "type", "number").count().filter("count > 1").count() == 0
     assert {r.doc_id: r.restored for r in restore(out, known).collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_viterbi_bias_requests_locks_and_guarded_files(spark, tmp_path):
+    names = ["O", "B-NOM", "I-NOM", "E-NOM", "S-NOM"]
+    grid = [[1.0, 0.0, 0.0, 0.0, 0.9], [1.0, 0.0, 0.0, 0.0, 0.0]]
+    assert soft.decoded([grid], [names]) == [[]]
+    (span,) = soft.decoded([grid], [names], {"single": 2.0, "outside": -1.0})[0:1]
+    assert [x[:3] for x in span][:1] == [(0, 1, "NOM")] and 0 < span[0][3] < 0.5
+    df = spark.createDataFrame([(grid, names)], "logits array<array<double>>, labels array<string>")
+    assert df.select(soft.viterbi_udf({"single": 2.0})("logits", "labels").alias("x")).first().x[0].category == "NOM"
+    asked = spark.createDataFrame([("a/b.pdf", "0" * 64, True), ("/a", "0" * 64, False), ("a/../b", "0" * 64, False), ("a", "xyz", False), ("c:\\a", "0" * 64, False)], "path string, content_hash string, want boolean")
+    assert all(r.got == r.want for r in asked.withColumn("got", F.expr(index.requestable())).collect())
+    with index.single_run(spark, str(tmp_path)):
+        with pytest.raises(index.Busy), index.single_run(spark, str(tmp_path)):
+            pass
+    with index.single_run(spark, str(tmp_path)), index.single_run(spark, str(tmp_path), stale_hours=-1):
+        pass
+    rows = spark.createDataFrame([("/p/a", "é", 1, 0), ("/q/b", "x", 0, 0), (None, "y", 0, 0)], "name string, restored string, n_restored int, n_unresolved int")
+    report = {r.name: (r.n_bytes, r.refused) for r in files.restored_files(rows, f"{tmp_path}/out", "startswith(name, '/p/')").collect()}
+    assert report == {"/p/a": (2, False), "/q/b": (0, True), None: (0, True)} and spark.read.parquet(f"{tmp_path}/out").count() == 1
