@@ -62,7 +62,7 @@ FURTHER_GATE = {
     "card": r"text rlike r'[0-9](?:[ -]?[0-9]){14}'",
     "phone": r"text rlike r'[0-9]{3}[ .-][0-9]{4}'",
     "iban": r"text rlike r'[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}'",
-    "secret": r"text rlike r'(?i)(?:token|secret|passw|pwd|key|auth)[a-z]{0,12}[^a-z]{1,8}(?:bearer )?[a-z0-9]'",
+    "secret": r"text rlike r'(?i)(?:token|secret|passw|pwd|key|auth)[a-z]{0,12}[^a-z]{1,16}(?:bearer )?[a-z0-9]'",
 }
 #: Cue words before a span, for and against, in the corpus's languages.
 FOR = {
