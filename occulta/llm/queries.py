@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licences, near_dedup, oracles, packing, pii, token_files, tokenise, topk, vector_dedup
+from . import bpe, chat, hard_negatives, langid, licences, merkle, near_dedup, oracles, packing, pii, suffix_dedup, token_files, tokenise, topk, vector_dedup
 from .common import new_dir, table
 
 
@@ -71,5 +71,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_licences, op5_top_k, op6_chat, op7_vector_dedup, op8_language_id, op9_bpe, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {"op5_top_k": oracles.TOP_K, "op6_chat": oracles.CHAT, "op7_vector_dedup": oracles.VECTOR_DEDUP, "op10_minhash": oracles.MINHASH}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten negatives for each of the five positives of every hundredth vector; every seventh has its label moved."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of every document, a third of them tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    altered = F.when(tampered, merkle.leaf(text=merkle.lowered()))
+    return merkle.verify(table(spark, sf_dir, "documents"), altered=altered)
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 200-byte strings that begin anywhere else too."""
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_packing, op4_licences, op5_top_k, op6_chat, op7_vector_dedup, op8_language_id, op9_bpe, op10_minhash, op11_hard_negatives, op12_merkle, op13_suffix_dedup)}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": oracles.TOP_K, "op6_chat": oracles.CHAT, "op7_vector_dedup": oracles.VECTOR_DEDUP, "op10_minhash": oracles.MINHASH, "op11_hard_negatives": oracles.HARD_NEGATIVES, "op12_merkle": oracles.merkle()}
