@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import checksums, gate, quality
 from .functions import spans as S
-from . import rule_queries
+from . import layer_queries, rule_queries
 from .operators import forms, lists, presets, soft, vault
 from .operators.masker import Masker, highlight, mask_json, replace_outside_tokens, restore, serve_net
 from .operators.recognizers import core
@@ -653,5 +653,5 @@ def dictionary_matches(spark, sf):
     return found.select("doc_id", F.explode("known").alias("m")).select("doc_id", "m.s", "m.e", "m.type")
 
 
-QUERIES |= rule_queries.QUERIES
-ORACLE_SQL |= rule_queries.ORACLE_SQL
+QUERIES |= rule_queries.QUERIES | layer_queries.QUERIES
+ORACLE_SQL |= rule_queries.ORACLE_SQL | layer_queries.ORACLE_SQL

@@ -127,25 +127,23 @@ def conflicts(new: DataFrame, unmasked: DataFrame) -> DataFrame:
     return new.join(unmasked.select(F.lower(F.trim("value")).alias("__v"), "unmasked_at").distinct(), F.lower(F.trim(new.value)) == F.col("__v")).drop("__v")
 
 
-#: Letters with their plain forms, one for one.
-_ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöøōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnooooooooorrrssssttuuuuuuuuuuwyyyzzz"
 #: A word, with the marks that decomposed accents are.
 WORD = r"(?U)[\p{L}\p{N}\p{M}_]+"
-
-
-def folded(word: str) -> str:
-    """SQL: a word in lower case without accents, composed or not."""
-    return f"translate(regexp_replace(lower({word}), r'\\p{{M}}+', ''), '{_ACCENTED}', '{_PLAIN}')"
+#: Equality of letters whatever their case, accents and composition, in any script.
+ALIKE = "UNICODE_CI_AI"
+#: Words of a value that it is looked up by; longer ones are compared from there on.
+PHRASE = 8
 
 
 def words_of(text: str) -> str:
-    """SQL: a text's words, array of (s, e, v, w, g): place, word, folded word, and what stands before it, white space as one space.
-
-    Places are of the text as it is, however folding changes a word's length.
-    """
+    """SQL: a text's words, array of (s, e, v, g): place, word, and what stands before it, white space as one space."""
     gap = "if(gs[i] IN ('', ' '), gs[i], regexp_replace(gs[i], r'(?U)\\s+', ' '))"
-    return let("gs", f"split({text}, {quote(WORD)}, -1)", f"transform({hits(text, WORD)}, (x, i) -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'w', {folded('x.v')}, 'g', {gap}))")
+    return let("gs", f"split({text}, {quote(WORD)}, -1)", f"transform({hits(text, WORD)}, (x, i) -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'g', {gap}))")
+
+
+def phrase(words: str, i: str, n: str) -> str:
+    """SQL: ``n`` of ``words`` from the ``i``-th on, with what stands between them."""
+    return f"concat({words}[{i}].v, array_join(transform(slice({words}, {i} + 2, {n} - 1), y -> concat(y.g, y.v)), ''))"
 
 
 def keyed(docs: DataFrame, *by: str) -> DataFrame:
@@ -154,25 +152,37 @@ def keyed(docs: DataFrame, *by: str) -> DataFrame:
 
 
 def listed_spans(docs: DataFrame, listed: DataFrame, by: list[str], on: list[str], span: str, out: str) -> DataFrame:
-    """``docs`` with ``out``: places of listed values, word by word.
-
-    ``listed`` has (*on, value, exact, ...); texts are cut into words, which
-    meet the first words of values by an equality join on ``on`` and the folded
-    word. Only (key, place, word) is dealt out, and only places and values come
-    back to a text, which is shuffled once. There all words of a value are
-    compared, and what stands between them, white space of any length being
-    alike. With ``exact`` case and accents count. ``span`` is SQL of a span
+    """``docs`` with ``out``: places of listed values, by an index of phrases.
+
+    ``listed`` has (*on, value, exact, ...). A text's runs of as many words as
+    listed values have, of which there are ``PHRASE`` numbers at most, meet the
+    values by an equality join on ``on`` and the whole run, in any case, accent
+    and composition, white space of any length being alike. Values of more
+    words join by their first ``PHRASE`` and are compared in the text. With
+    ``exact`` case and accents count. Only (key, place, run) is dealt out, only
+    hits come back to a text, and it is shuffled once. ``span`` is SQL of a span
     from ``c`` (the listed row), ``s`` and ``e``.
     """
-    values = listed.withColumn("__ws", F.expr(words_of("trim(value)"))).filter("size(__ws) > 0").withColumn("__w", F.expr("__ws[0].w"))
+    split_ = listed.withColumn("__ws", F.expr(words_of("trim(value)"))).withColumn("__n", F.size("__ws")).filter("__n > 0")
+    split_ = split_.withColumn("__whole", F.expr(phrase("__ws", "0", "__n"))).withColumn("__run", F.expr(f"collate({phrase('__ws', '0', f'least(__n, {PHRASE})')}, '{ALIKE}')"))
     rest = [c for c in listed.columns if c not in on]
-    values = values.select(*on, "__w", F.struct(*rest, F.expr("transform(__ws, x -> named_struct('v', x.v, 'w', x.w, 'g', x.g))").alias("ws")).alias("c"))
+    # values that are alike in all that counts are one
+    kinds = [F.when(F.col("exact"), F.col(c)) if c == "value" else F.col(c) for c in rest]
+    same = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(kinds)])
+    values = split_.groupBy(*on, "__run", same.alias("__same"), F.when(~F.col("exact"), F.col("__n")).alias("__m"), F.when(F.col("exact") | (F.col("__n") > PHRASE), F.col("__whole")).alias("__w")).agg(F.min(F.struct(*rest, F.col("__whole").alias("whole"), F.col("__n").alias("n"))).alias("c"))
+    values = materialise(values.select(*on, "__run", "c"), "phrases")
+    lengths = sorted({min(r[0], PHRASE) for r in values.select(F.least("c.n", F.lit(PHRASE))).distinct().collect()})
+    if not lengths:
+        return docs.withColumn(out, F.expr(NONE))
     marked = keyed(docs, *by).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    # the outer form, as the inner one would evaluate the words once more in a filter
-    words = marked.select("__key", *on, F.posexplode_outer(F.expr(words_of("__text"))).alias("i", "x")).select("__key", *on, "i", F.col("x.w").alias("__w"))
-    met = words.join(values, [*on, "__w"]).groupBy("__key").agg(F.collect_set(F.struct("i", "c")).alias("__met"))
-    alike = "x.i + size(x.c.ws) <= size(tw) AND forall(sequence(0, size(x.c.ws) - 1), k -> if(x.c.exact, tw[x.i + k].v = x.c.ws[k].v, tw[x.i + k].w = x.c.ws[k].w) AND (k = 0 OR tw[x.i + k].g = x.c.ws[k].g))"
-    one = let("c", "x.c", let("s", "tw[x.i].s", let("e", "tw[x.i + size(x.c.ws) - 1].e", span)))
+    # one run of a length from each word on; the outer form, as the inner one would evaluate the words once more in a filter
+    runs = let("ws", words_of("__text"), "flatten(transform(array(" + ", ".join(map(str, lengths)) + f"), n -> if(size(ws) < n, cast(array() AS array<struct<i:int,v:string>>), transform(sequence(0, size(ws) - n), i -> named_struct('i', i, 'v', {phrase('ws', 'i', 'n')})))))")
+    placed = marked.select("__key", *on, F.explode_outer(F.expr(runs)).alias("x")).select("__key", *on, F.col("x.i").alias("i"), F.col("x.v").alias("v"), F.expr(f"collate(x.v, '{ALIKE}')").alias("__run"))
+    hit = F.expr(f"NOT c.exact OR c.n > {PHRASE} OR v = c.whole")
+    met = placed.join(values, [*on, "__run"]).filter(hit).groupBy("__key").agg(F.collect_set(F.struct("i", "c")).alias("__met"))
+    same_words = let("v", phrase("tw", "x.i", "x.c.n"), f"if(x.c.exact, v = x.c.whole, collate(v, '{ALIKE}') = collate(x.c.whole, '{ALIKE}'))")
+    alike = f"x.c.n <= {PHRASE} OR (x.i + x.c.n <= size(tw) AND {same_words})"
+    one = let("c", "x.c", let("s", "tw[x.i].s", let("e", "tw[x.i + x.c.n - 1].e", span)))
     found = let("tw", words_of("__text"), f"array_sort(array_distinct(transform(filter(__met, x -> {alike}), x -> {one})))")
     return marked.join(met, "__key", "left").withColumn(out, F.expr(f"CASE WHEN __met IS NULL THEN {NONE} ELSE cast({found} AS array<{SPAN}>) END")).drop("__met", "__key", "__text")
 
@@ -189,6 +199,45 @@ def dictionary_spans(docs: DataFrame, gazetteer: DataFrame, priority: int = 75,
     return listed_spans(docs, listed, [c for c in ("doc_id", "mission", "filename") if c in docs.columns], [], span, out)
 
 
+SERVED, LEAST_SERVED = "⟦NOM_∎⟧", 3
+
+
+def served(docs: DataFrame, known: DataFrame, text: str = "text", out: str = "served") -> DataFrame:
+    """``docs`` with ``out``: ``text`` with every value of ``known(value)``, of three letters or more, replaced by a blank token, longest first.
+
+    Values of one word are found within longer words too: the texts' distinct
+    words, of which there are far fewer than texts, meet the values by an
+    equality join on their parts of the values' lengths. Values of several words
+    are looked up by the phrase index. A text gets those that may be in it as a
+    column, so no value is in the plan; null texts stay null, an empty list
+    changes nothing.
+    """
+    values = known.select("value").filter(F.length("value") >= LEAST_SERVED).distinct().withColumn("__ws", F.expr(words_of("value")))
+    values = materialise(values.select("value", F.size("__ws").alias("n"), F.expr("__ws[0].v").alias("word")).withColumn("single", F.col("n").eqNullSafe(1) & (F.col("word") == F.col("value"))), "served")
+    given = keyed(docs.withColumn("text", F.col(text))).withColumnRenamed("__key", "__of")
+    found = []
+    several = values.filter("NOT single AND n > 0").select("value", F.lit(True).alias("exact"))
+    span = "named_struct('s', s, 'e', e, 'type', '', 'value', c.value, 'score', 1.0D, 'priority', 0)"
+    texts = given.select("__of", "text").dropDuplicates(["__of"])
+    hit = listed_spans(texts, several, [], [], span, "__m").select("__of", F.explode_outer("__m").alias("m")).filter("m IS NOT NULL")
+    found.append(hit.select("__of", F.col("m.value").alias("value")))
+    lengths = sorted(r[0] for r in values.filter("single").select(F.length("value")).distinct().collect())
+    if lengths:
+        said = materialise(texts.select("__of", F.explode_outer(F.expr(f"array_distinct(regexp_extract_all(coalesce(text, ''), {quote(WORD)}, 0))")).alias("word")).filter("word IS NOT NULL"), "vocabulary")
+        sizes = "array(" + ", ".join(map(str, lengths)) + ")"
+        parts = f"array_distinct(flatten(transform(filter({sizes}, n -> n <= length(word)), n -> transform(sequence(1, length(word) - n + 1), i -> substring(word, i, n)))))"
+        within = said.select("word").distinct().select("word", F.explode(F.expr(parts)).alias("value")).join(values.filter("single").select("value"), "value")
+        found.append(said.join(within, "word").select("__of", "value"))
+    per = found[0]
+    for more in found[1:]:
+        per = per.unionByName(more)
+    per = per.groupBy("__of").agg(F.collect_set("value").alias("__values"))
+    ordered = "array_sort(__values, (l, r) -> if(length(l) <> length(r), length(r) - length(l), if(l < r, -1, 1)))"
+    put = f"CASE WHEN __values IS NULL THEN text ELSE aggregate({ordered}, text, (t, v) -> replace(t, v, '{SERVED}')) END"
+    met = given.join(per, "__of", "left").withColumn("__served", F.expr(put))
+    return met.select(*docs.columns, F.col("__served").alias(out))
+
+
 #: Own list: words of forms and headings that are no one's name.
 FORM_WORDS = tuple(
     "adresse avenant annexe client cliente compte conjoint conjointe contrat convention date document dossier euros fiche madame mademoiselle mandat monsieur montant naissance nom notre numéro objet page prénom produit profil propriété référence signature société souscripteur titulaire total versement votre vous".split()

@@ -32,7 +32,8 @@ class Masker:
     ``keep``: SQL over a span ``m`` that says which to keep (policy and lists);
     ``forms``: whether form rules run; ``dictionary``: known values (value,
     entity_type), found whatever their case and accents; ``lists``: tables that
-    keep matches in clear. Where there are ``extra`` sources, names of a model's
+    keep matches in clear; ``variants``: names that share a distinctive word get
+    one number (see ``vault.allocate``). Where there are ``extra`` sources, names of a model's
     are looked for in the whole text. Null text counts as empty.
     """
 
@@ -44,6 +45,7 @@ class Masker:
     context_boost: bool = True
     threshold: float = V.THRESHOLD
     surrogates: bool = False
+    variants: bool = True
     dictionary: DataFrame | None = None
     lists: L.Lists | None = None
 
@@ -73,7 +75,7 @@ class Masker:
         for name, fn in self.extra.items():
             names.append(f"__x_{name}")
             docs = docs.withColumn(names[-1], F.coalesce(fn(docs), F.expr(S.NONE)))
-        docs = docs.withColumn("__all", F.concat(*names)).withColumn(out, F.expr(S.resolved("__all")))
+        docs = docs.withColumn("__all", F.concat(F.expr(S.NONE), *names)).withColumn(out, F.expr(S.resolved("__all")))
         if self.extra:
             docs = docs.withColumn(out, F.expr(L.name_sweep("text", out)))
         if self.context_boost:
@@ -101,7 +103,7 @@ class Masker:
         for phase in range(RESIDUAL_ROUNDS + 1):
             work = work.withColumn("__key", _row_key("masked"))
             flat = work.select("__key", "doc_id", "mission", F.explode("spans").alias("m")).select("__key", "doc_id", "mission", F.col("m.*"))
-            vaults.append(materialise(vault.allocate(flat, _union(vaults)), "vault"))
+            vaults.append(materialise(vault.allocate(flat, _union(vaults), variants=self.variants), "vault"))
             values = _union(vaults).select("mission", "type", "value", F.expr("token") if not self.surrogates else vault.surrogate().alias("token"))
             named = flat.join(values, ["mission", "type", "value"])
             put = named.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("s", "e", "type", "value", "score", "priority", "token"))).alias("tokens"))
@@ -158,6 +160,16 @@ def restore(docs: DataFrame, known: DataFrame, column: str = "masked") -> DataFr
     )
 
 
+def restore_surrogates(docs: DataFrame, known: DataFrame, column: str = "masked", key: str = vault.KEY) -> DataFrame:
+    """``docs`` with ``restored``: stand-ins of the vault ``known`` replaced by its values, as whole words, exactly as they were put."""
+    if "mission" not in docs.columns:
+        docs = docs.withColumn("mission", F.lit("default"))
+    listed = known.select("mission", vault.surrogate(key).alias("value"), F.col("value").alias("back"), F.lit(True).alias("exact"))
+    span = "named_struct('s', s, 'e', e, 'type', '', 'value', c.back, 'score', 1.0D, 'priority', 0)"
+    found = L.listed_spans(docs.withColumn("text", F.col(column)), listed, ["doc_id", "mission"], ["mission"], span, "__put")
+    return found.withColumn("__put", F.expr(S.resolved("__put"))).withColumn("restored", F.expr(S.rewritten(column, "__put", "x.value"))).drop("__put", "text")
+
+
 def unresolved(text: str) -> str:
     """SQL: whether a draft still holds a token, and so isn't sent."""
     return f"({text} rlike r'{S.TOKEN}')"

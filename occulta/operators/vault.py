@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spans import TOKEN, token
+from ..functions.spans import TOKEN, let, quote, token
 from ..sources.tables import materialise
 
 COLUMNS = "mission string, type string, value string, number long, variant string, token string, created_at timestamp"
@@ -37,20 +37,79 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "numb
     return ranged.withColumn("__part", part).join(runs, [*by, "__part"]).withColumn(name, (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("long")).drop("__at", "__part", "__first", "__before")
 
 
-def allocate(found: DataFrame, vault: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+def allocate(found: DataFrame, vault: DataFrame | None = None, now: Column | None = None, variants: bool = False) -> DataFrame:
     """Vault rows for the values of ``found(mission, type, value, doc_id, s)`` that ``vault`` lacks.
 
     A value keeps one token however often it comes; the same value under
-    another type has another. Numbers go on from the highest given.
+    another type has another. Numbers go on from the highest given. With
+    ``variants`` names that share a distinctive word, among themselves or with
+    the vault's, are one person: they get the person's number, the oldest of
+    several, and letters of their own. Tokens given before never change.
     """
     firsts = found.groupBy("mission", "type", "value").agg(F.min(F.struct("doc_id", "s")).alias("first"))
     if vault is not None:
         firsts = firsts.join(vault.select("mission", "type", "value"), ["mission", "type", "value"], "left_anti")
     new = numbered(firsts.select("mission", "type", "value", F.col("first.doc_id").alias("__doc"), F.col("first.s").alias("__s")), ["mission", "type"], ["__doc", "__s", "value"])
-    if vault is not None:
-        high = vault.groupBy("mission", "type").agg(F.max("number").alias("__high"))
-        new = new.join(high, ["mission", "type"], "left").withColumn("number", F.col("number") + F.coalesce("__high", F.lit(0)))
-    return new.select("mission", "type", "value", "number", F.lit("").alias("variant"), F.expr(token("type", "number")).alias("token"), (now if now is not None else F.current_timestamp()).alias("created_at"))
+    high = None if vault is None else vault.groupBy("mission", "type").agg(F.max("number").alias("__high"))
+
+    def after(rows: DataFrame) -> DataFrame:
+        return rows if high is None else rows.join(high, ["mission", "type"], "left").withColumn("number", F.col("number") + F.coalesce("__high", F.lit(0))).drop("__high")
+
+    new = after(new).select("mission", "type", "value", "number", F.lit("").alias("variant"))
+    if variants:
+        new = materialise(new, "new")
+        names = new.filter("type = 'NOM'").select("mission", "value", "number")
+        if not names.isEmpty():
+            old = None if vault is None else vault.filter("type = 'NOM'").select("mission", "value", "number")
+            labels = person_labels(names, old)
+            # a person who is new is numbered by the first of the names
+            fresh = labels.filter("label = own").select("mission", F.lit("NOM").alias("type"), "label")
+            fresh = after(numbered(fresh, ["mission", "type"], ["label"])).select("mission", "label", F.col("number").alias("__new"))
+            placed = labels.join(fresh, ["mission", "label"], "left").withColumn("number", F.coalesce("__new", "label"))
+            before = F.lit(0).cast("long")
+            if old is not None:
+                placed = placed.join(old.groupBy("mission", "number").agg(F.count("*").alias("__given")), ["mission", "number"], "left")
+                before = F.coalesce("__given", before)
+            placed = numbered(placed.withColumn("__seen", before), ["mission", "number"], ["own", "value"], "k").withColumn("k", F.col("k") + F.col("__seen") - 1)
+            given = placed.select("mission", F.lit("NOM").alias("type"), "value", "number", F.expr(f"if(k = 0, '', {letters('k')})").alias("variant"))
+            new = new.filter("type <> 'NOM'").unionByName(given)
+    return new.select("mission", "type", "value", "number", "variant", F.expr(token("type", "number", "variant")).alias("token"), (now if now is not None else F.current_timestamp()).alias("created_at"))
+
+
+def person_labels(names: DataFrame, old: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+    """(mission, value, own, label) of ``names(mission, value, number)``: the least number among names connected by distinctive words.
+
+    ``old`` names have lower numbers, which never change; a name that shares a
+    word with them takes the least of theirs, whatever new names connect it to,
+    and hands it on to those that share a word with none. Labels spread from
+    names to words and back, then to the label of the label's own row, so that
+    chains shorten by more than a link a round, until none changes; beyond
+    ``rounds`` an error is raised. A word that very many names share is one row
+    of labels, not pairs.
+    """
+    words = materialise(names.select("mission", "value", F.explode(F.expr(distinctive_words())).alias("word")), "words")
+    labels, known, fixed = names.select("mission", "value", F.col("number").alias("own"), F.col("number").alias("label")), None, None
+    if old is not None:
+        of_old = old.select("mission", F.explode(F.expr(distinctive_words())).alias("word"), F.col("number").alias("label")).groupBy("mission", "word").agg(F.min("label").alias("label"))
+        known = materialise(words.join(of_old, ["mission", "word"]).groupBy("mission", "value").agg(F.min("label").alias("label")), "known")
+        fixed = words.join(known, ["mission", "value"]).select("mission", "word", "label")
+        known = labels.drop("label").join(known, ["mission", "value"])
+        labels = materialise(labels.join(known.select("mission", "value"), ["mission", "value"], "left_anti"), "labels")
+    state = None
+    for _ in range(rounds):
+        of_word = words.join(labels, ["mission", "value"]).select("mission", "word", "label")
+        of_word = (of_word if fixed is None else of_word.unionByName(fixed)).groupBy("mission", "word").agg(F.min("label").alias("w"))
+        of_value = words.join(of_word, ["mission", "word"]).groupBy("mission", "value").agg(F.min("w").alias("w"))
+        spread = materialise(labels.join(of_value, ["mission", "value"], "left").select("mission", "value", "own", F.least("label", F.coalesce("w", "label")).alias("label")), "spread")
+        of_own = spread.groupBy("mission", F.col("own").alias("label")).agg(F.min("label").alias("l"))
+        labels = materialise(spread.join(of_own, ["mission", "label"], "left").select("mission", "value", "own", F.least("label", F.coalesce("l", "label")).alias("label")), "labels")
+        new = labels.agg(F.sum("label")).first()[0]
+        if new == state:
+            return labels if known is None else labels.unionByName(known.select(*labels.columns))
+        state = new
+        if new is None:  # all names are the old ones' own
+            return known
+    raise RuntimeError(f"no end after {rounds} rounds")
 
 
 def distinctive_words(value: str = "value", least: int = 4) -> str:
@@ -65,30 +124,14 @@ def letters(k: str) -> str:
 
 
 def variant_groups(rows: DataFrame, rounds: int = 60) -> DataFrame:
-    """Names of one mission that share a distinctive word, directly or by others, get one number.
+    """A whole vault numbered anew: names of one mission that share a distinctive word, directly or by others, get one number.
 
-    ``rows`` is a vault; NOM rows come back with the least number of their
-    group and, where a group has several members, letters by their own numbers
-    (a to z, aa, ab ...). Labels spread from values to words and back, then to
-    the label of the label's own row, so that chains shorten by more than a
-    link a round, until none changes; beyond ``rounds`` an error is raised.
+    NOM rows come back with the least number of their group and, where a group
+    has several members, letters by their own numbers (a to z, aa, ab ...). See
+    ``allocate`` for a vault whose tokens are out already.
     """
     names = materialise(rows.filter("type = 'NOM'").select("mission", "value", "number", "variant"), "names")
-    words = materialise(names.select("mission", "value", F.explode(F.expr(distinctive_words())).alias("word")), "words")
-    labels = names.select("mission", "value", "number", F.col("number").alias("label"))
-    state = None
-    for _ in range(rounds):
-        of_word = words.join(labels, ["mission", "value"]).groupBy("mission", "word").agg(F.min("label").alias("w"))
-        of_value = words.join(of_word, ["mission", "word"]).groupBy("mission", "value").agg(F.min("w").alias("w"))
-        spread = materialise(labels.join(of_value, ["mission", "value"], "left").select("mission", "value", "number", F.least("label", F.coalesce("w", "label")).alias("label")), "spread")
-        of_number = spread.groupBy("mission", F.col("number").alias("label")).agg(F.min("label").alias("l"))
-        labels = materialise(spread.join(of_number, ["mission", "label"], "left").select("mission", "value", "number", F.least("label", F.coalesce("l", "label")).alias("label")), "labels")
-        new = labels.agg(F.sum("label")).first()[0]
-        if new == state:
-            break
-        state = new
-    else:
-        raise RuntimeError(f"no end after {rounds} rounds")
+    labels = person_labels(names.select("mission", "value", "number"), rounds=rounds)
     grouped = names.join(labels.select("mission", "value", "label"), ["mission", "value"]).withColumn("__long", F.length("variant"))
     sizes = grouped.groupBy("mission", "label").agg(F.count("*").alias("n"))
     placed = numbered(grouped, ["mission", "label"], ["number", "__long", "variant", "value"], "k").join(sizes, ["mission", "label"])
@@ -194,22 +237,54 @@ def migrate(spark: SparkSession, path: str, key: bytes | str) -> int:
     return n
 
 
-#: Parts of stand-in names and places; numbers make them distinct.
+#: Forenames of stand-ins; the key that shuffles them where none is given.
 _FIRST = "Alix Camille Charlie Claude Dominique Eden Lou Maxime Noa Sacha".split()
-_LAST = "Arbelin Bovary Carsenac Dormoy Estival Fontbelle Garance Hautval Issarny Jonquère".split()
-
-
-def surrogate() -> Column:
-    """A stand-in of the same kind as the value, stable by number and distinct within a type."""
-    n = F.col("number")
-    first, last = (F.element_at(F.array(*map(F.lit, words)), (F.pmod(x, F.lit(10)) + 1).cast("int")) for words, x in ((_FIRST, n), (_LAST, F.floor(n / 10))))
-    return (
-        F.when(F.col("type") == "NOM", F.concat(first, F.lit(" "), last, F.when(n >= 100, F.concat(F.lit(" "), F.floor(n / 100).cast("string"))).otherwise("")))
-        .when(F.col("type") == "EMAIL", F.concat(F.lit("contact"), n.cast("string"), F.lit("@exemple.invalid")))
-        .when(F.col("type") == "IBAN", F.concat(F.lit("FR00 0000 0000 "), F.lpad(n.cast("string"), 12, "0")))
-        .when(F.col("type") == "TEL", F.concat(F.lit("01 99 "), F.lpad(n.cast("string"), 6, "0")))
-        .otherwise(F.concat(F.col("type"), F.lit("-"), n.cast("string")))
-    )
+KEY, FEISTEL_ROUNDS = "stand-ins", 4
+
+
+def shuffled(number: str, digits: int, key: str, tweak: str = "''") -> str:
+    """SQL: a number's ``digits`` digits, more if it has more, as others by a keyed permutation: different numbers never give the same.
+
+    A Feistel network over decimal halves: to one half the digest of the other
+    is added, in turn, each step of which can be undone.
+    """
+    wide = f"greatest({digits}, length(cast({number} AS string)))"
+    low, high = "cast(pow(10, wd div 2) AS bigint)", "cast(pow(10, wd - wd div 2) AS bigint)"
+    state = f"named_struct('l', {number} div {low}, 'r', {number} % {low})"
+    turn = f"""if(i % 2 = 0, named_struct('l', pmod(a.l + pmod(xxhash64({quote(key)}, {tweak}, wd, i, a.r), {high}), {high}), 'r', a.r),
+      named_struct('l', a.l, 'r', pmod(a.r + pmod(xxhash64({quote(key)}, {tweak}, wd, i, a.l), {low}), {low})))"""
+    return let("wd", wide, f"aggregate(sequence(1, {2 * FEISTEL_ROUNDS}), {state}, (a, i) -> {turn}, a -> concat(lpad(cast(a.l AS string), wd - wd div 2, '0'), lpad(cast(a.r AS string), wd div 2, '0')))")
+
+
+def luhn_digit(digits: str) -> str:
+    """SQL: the digit that completes ``digits`` so that the check of cards holds."""
+    total = f"aggregate(sequence(1, length({digits})), 0, (a, i) -> a + transform(array(cast(substring({digits}, -i, 1) AS int) * if(i % 2 = 1, 2, 1)), d -> if(d > 9, d - 9, d))[0])"
+    return f"cast(pmod(-{total}, 10) AS string)"
+
+
+def surrogate(key: str = KEY) -> Column:
+    """A stand-in of the same kind as the value, stable by number, distinct within a type at any number, its check digits right.
+
+    Accounts are of a bank that there is none of, phone numbers of a range kept
+    for fiction while six digits do, addresses of a domain that never resolves.
+    A variant's letters follow the stand-in.
+    """
+
+    def digits(n: int) -> str:
+        return shuffled("number", n, key, "type")
+
+    # two digits are a syllable, so that names tell numbers apart
+    even = f"if(length(d) % 2 = 0, d, concat('0', d))"
+    syllables = "array_join(transform(regexp_extract_all(e, '..', 0), x -> concat(substring('bcdfgjklmnprstvxzhqw', cast(x AS int) div 5 + 1, 1), substring('aeiou', cast(x AS int) % 5 + 1, 1))), '')"
+    name = let("d", digits(8), let("e", even, f"concat(element_at(array({', '.join(map(quote, _FIRST))}), cast(pmod(xxhash64({quote(key)}, number), {len(_FIRST)}) AS int) + 1), ' ', initcap({syllables}))"))
+    bank = "concat('99999', '00000', d, lpad(cast(97 - cast((cast(89 AS decimal(38,0)) * 99999 + 3 * cast(d AS decimal(38,0))) % 97 AS int) AS string), 2, '0'))"
+    iban = let("d", digits(11), let("b", bank, "concat('FR', lpad(cast(98 - cast(cast(concat(b, '152700') AS decimal(38,0)) % 97 AS int) AS string), 2, '0'), b)"))
+    secu = let("d", digits(10), let("n", "concat('1', substring(d, 1, 2), '20', substring(d, 3))", "concat(n, lpad(cast(97 - cast(cast(n AS decimal(38,0)) % 97 AS int) AS string), 2, '0'))"))
+    tel = let("d", digits(6), "concat('01 99 ', array_join(regexp_extract_all(d, '..?', 0), ' '))")
+    made = f"""CASE type WHEN 'NOM' THEN {name} WHEN 'EMAIL' THEN concat('contact', number, '@exemple.invalid') WHEN 'IBAN' THEN {iban} WHEN 'SECU' THEN {secu} WHEN 'TEL' THEN {tel}
+      WHEN 'SIREN' THEN {let('d', digits(8), f"concat(d, {luhn_digit('d')})")} WHEN 'SIRET' THEN {let('d', digits(13), f"concat(d, {luhn_digit('d')})")}
+      WHEN 'ISIN' THEN {let('d', digits(9), f"concat('FR', d, {luhn_digit("concat('1527', d)")})")} ELSE concat(type, '-', number) END"""
+    return F.expr(f"concat({made}, if(variant = '', '', concat('-', variant)))")
 
 
 def masked_value(value: str = "value") -> str:

@@ -7,14 +7,17 @@ fail_count). A sweep is a batch job, or each micro-batch of a stream.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.masker import serve_net
+from ..operators.lists import served
 from ..operators.vault import tokens_in, value_hash
+from ..sources.store import Store
 
 #: Retries before a file is left alone; age limits in days; files that hold no client text.
 QUARANTINE = 5
@@ -138,18 +141,38 @@ def sweep(files: DataFrame, shadows: DataFrame, values: DataFrame, pending: Data
     }
 
 
+#: The index's tables in a store (see ``sources.store``).
+SCHEMAS = {
+    "shadows": "content_hash string, src_path string, clean_text string, size long, mtime double, indexed_at timestamp, stale int",
+    "values": "content_hash string, value_hash string",
+    "pending": "src_path string, marked_at timestamp, fail_count int",
+}
+
+
+def swept(store: Store, files: DataFrame, mask: Callable[[DataFrame], DataFrame], extensions: list[str] | None = None) -> dict[str, int]:
+    """One run over a store: all its tables change together, or none does; returns the counts by outcome."""
+    from ..sources.tables import materialise
+
+    base = store.version()
+    old = store.read(base)
+    made = sweep(files, old["shadows"], old["values"], old["pending"], mask, extensions)
+    counts = materialise(made["counts"], "counts")
+    store.commit({k: made[k] for k in SCHEMAS}, base)
+    return {r.outcome: r.n for r in counts.collect()}
+
+
 def used_hashes(masked: DataFrame, vault: DataFrame) -> DataFrame:
     """(content_hash, value_hash): digests of the vault values that a masked text's tokens stand for."""
     tokens = masked.select("content_hash", "mission", F.explode(F.expr(tokens_in("clean_text"))).alias("token"))
     return tokens.join(vault.select("mission", "token", "value"), ["mission", "token"]).select("content_hash", F.expr(value_hash()).alias("value_hash")).distinct()
 
 
-def read(files: DataFrame, shadows: DataFrame, known: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(answers, misses): a hit is the stored text once more cleared of known values; a miss has no text and is queued."""
-    from ..operators.lists import literals
-
+def read(files: DataFrame, shadows: DataFrame, known: DataFrame | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(answers, misses): a hit is the stored text once more cleared of ``known(value)``; a miss has no text and is queued."""
+    if not isinstance(known, DataFrame):
+        known = files.sparkSession.createDataFrame([(v,) for v in known], "value string")
     met = files.join(shadows.select("content_hash", "clean_text"), "content_hash", "left")
-    answers = met.withColumn("text", F.expr(serve_net("clean_text", literals(known)))).withColumn("status", F.when(F.col("clean_text").isNull(), "miss").otherwise("hit")).drop("clean_text")
+    answers = served(met, known, "clean_text", "served").withColumnRenamed("served", "text").withColumn("status", F.when(F.col("clean_text").isNull(), "miss").otherwise("hit")).drop("clean_text")
     misses = answers.filter("status = 'miss'").select(F.col("path").alias("src_path"), F.current_timestamp().alias("marked_at"), F.lit(False).alias("failed"))
     return answers, misses
 
@@ -169,12 +192,21 @@ def single_run(spark: SparkSession, folder: str, stale_hours: float = 12.0) -> I
 
     A lock older than ``stale_hours`` belongs to a job that died, and is taken over.
     """
-    import time
-
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/.sweep.lock")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = path(f"{folder.rstrip('/')}/.sweep.lock")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at) and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > stale_hours * 3600:
-        fs.delete(at, False)
+
+    def old(file) -> bool:
+        return time.time() - fs.getFileStatus(file).getModificationTime() / 1000 > stale_hours * 3600
+
+    if fs.exists(at) and old(at):
+        # moved away under a name of our own first: of several that see it stale one moves it, and what it moved is looked at again
+        own = path(f"{folder.rstrip('/')}/.sweep.lock.{uuid.uuid4().hex}")
+        if fs.rename(at, own):
+            if not old(own):
+                fs.rename(own, at)
+                raise Busy(folder)
+            fs.delete(own, False)
     if not fs.createNewFile(at):
         raise Busy(folder)
     try:
