@@ -104,7 +104,7 @@ class Masker:
             work = work.withColumn("__key", _row_key("masked"))
             flat = work.select("__key", "doc_id", "mission", F.explode("spans").alias("m")).select("__key", "doc_id", "mission", F.col("m.*"))
             vaults.append(materialise(vault.allocate(flat, _union(vaults), variants=self.variants), "vault"))
-            values = _union(vaults).select("mission", "type", "value", F.expr("token") if not self.surrogates else vault.surrogate().alias("token"))
+            values = _union(vaults).select("mission", "type", "value", F.expr("token") if not self.surrogates else vault.surrogate(variant="variant").alias("token"))
             named = flat.join(values, ["mission", "type", "value"])
             put = named.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("s", "e", "type", "value", "score", "priority", "token"))).alias("tokens"))
             empty = F.expr("cast(array() AS array<struct<s:int,e:int,type:string,value:string,score:double,priority:int,token:string>>)")
@@ -164,7 +164,7 @@ def restore_surrogates(docs: DataFrame, known: DataFrame, column: str = "masked"
     """``docs`` with ``restored``: stand-ins of the vault ``known`` replaced by its values, as whole words, exactly as they were put."""
     if "mission" not in docs.columns:
         docs = docs.withColumn("mission", F.lit("default"))
-    listed = known.select("mission", vault.surrogate(key).alias("value"), F.col("value").alias("back"), F.lit(True).alias("exact"))
+    listed = known.select("mission", vault.surrogate(key, "variant").alias("value"), F.col("value").alias("back"), F.lit(True).alias("exact"))
     span = "named_struct('s', s, 'e', e, 'type', '', 'value', c.back, 'score', 1.0D, 'priority', 0)"
     found = L.listed_spans(docs.withColumn("text", F.col(column)), listed, ["doc_id", "mission"], ["mission"], span, "__put")
     return found.withColumn("__put", F.expr(S.resolved("__put"))).withColumn("restored", F.expr(S.rewritten(column, "__put", "x.value"))).drop("__put", "text")

@@ -262,12 +262,12 @@ def luhn_digit(digits: str) -> str:
     return f"cast(pmod(-{total}, 10) AS string)"
 
 
-def surrogate(key: str = KEY) -> Column:
+def surrogate(key: str = KEY, variant: str = "''") -> Column:
     """A stand-in of the same kind as the value, stable by number, distinct within a type at any number, its check digits right.
 
     Accounts are of a bank that there is none of, phone numbers of a range kept
     for fiction while six digits do, addresses of a domain that never resolves.
-    A variant's letters follow the stand-in.
+    ``variant``: SQL of a variant's letters, which follow the stand-in.
     """
 
     def digits(n: int) -> str:
@@ -284,7 +284,7 @@ def surrogate(key: str = KEY) -> Column:
     made = f"""CASE type WHEN 'NOM' THEN {name} WHEN 'EMAIL' THEN concat('contact', number, '@exemple.invalid') WHEN 'IBAN' THEN {iban} WHEN 'SECU' THEN {secu} WHEN 'TEL' THEN {tel}
       WHEN 'SIREN' THEN {let('d', digits(8), f"concat(d, {luhn_digit('d')})")} WHEN 'SIRET' THEN {let('d', digits(13), f"concat(d, {luhn_digit('d')})")}
       WHEN 'ISIN' THEN {let('d', digits(9), f"concat('FR', d, {luhn_digit("concat('1527', d)")})")} ELSE concat(type, '-', number) END"""
-    return F.expr(f"concat({made}, if(variant = '', '', concat('-', variant)))")
+    return F.expr(f"concat({made}, if({variant} = '', '', concat('-', {variant})))")
 
 
 def masked_value(value: str = "value") -> str:
