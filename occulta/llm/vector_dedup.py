@@ -14,9 +14,9 @@ vectors are fetched for the rows that have a partner there, and links are
 decided by the cosine of the original vectors, in double precision.
 
 Codes are about the mean, which widens angles where vectors share a direction:
-tables and radius are made for the widest possible. Where that takes too many
-tables, codes are about zero, and where buckets get too large, all vectors are
-compared with all (see ``Codes``).
+tables and radius are made for the widest possible. Where that takes more than
+codes about zero would, those are learned (see ``Codes``). This holds for tables of any
+size. All against all, which loses no link, is there for those who ask for it.
 
 Equal vectors are one class before all this. A bucket beyond ``BLOCK`` rows is
 compared block against block in several tasks, whole. Links within a task
@@ -55,45 +55,55 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """Codes of vectors: ``tables`` substrings of ``w`` bits for each, of the plan that costs least on the sample.
-
-    * learned: balanced bits of centred vectors. Two unit vectors are at most
-      ``gap = sqrt(2 - 2 * least)`` apart at the threshold and at least
-      ``1 - |mean|`` from the mean, so that angle seen from the mean, which the
-      tables are made for, is ``2 * asin(gap / 2 / (1 - |mean|))`` at most. This
-      needs all axes, and that planted pairs of the sample meet as often.
-    * plain: signs about zero after random rotations; the angle is the threshold's.
-    * whole: one table of no bits, all vectors against all, where these would cost more.
+    """Codes of vectors: ``tables`` substrings of ``w`` bits for each.
+
+    * learned: bits of rotations learned from the sample. About the mean, if
+      that costs less: two unit vectors are at most ``gap = sqrt(2 - 2 * least)``
+      apart at the threshold and at least ``1 - |mean|`` from the mean, so that
+      the angle seen from there, which the tables are made for, is
+      ``2 * asin(gap / 2 / (1 - |mean|))`` at most; else about zero, where the
+      angle is the threshold's. Tables are added, and the radius widened, until
+      pairs planted in the sample meet as often as they should.
+    * plain: signs about zero after random rotations.
+    * whole: one table of no bits, all vectors against all.
 
     ``radius``: bits by which linked vectors' codes differ at most; bits of one
     rotation differ less often together than bits that know nothing of one
     another, for which it is made.
     """
 
-    def __init__(self, sample: np.ndarray, rows: int, least: float = COSINE):
+    def __init__(self, sample: np.ndarray, rows: int, least: float = COSINE, plan: str = "learned"):
         bits = max(4, min(30, math.ceil(math.log2(max(1, rows) / BUCKET))) if rows > BUCKET else 4)
-        self.width, rng = sample.shape[1], np.random.default_rng(42)
+        self.width, self.plan, zero = sample.shape[1], plan, np.zeros(sample.shape[1])
+        self.mean, self.w, self.tables, self.planes, self.radius = zero, 0, 1, np.zeros((self.width, 0)), 0
+        if plan == "whole":
+            return
+        if plan not in ("learned", "plain"):
+            raise ValueError(f"unknown plan {plan}")
         mean = sample.mean(axis=0)
         half = math.sqrt(max(0.0, 2 - 2 * least)) / 2
         far = 1 - float(np.linalg.norm(mean))
-        self.plan, self.mean, self.w, self.tables, self.planes, self.radius = "whole", np.zeros(self.width), 0, 1, np.zeros((self.width, 0)), 0
-        cost = self._cost(sample, rows) + rows * VECTOR_COPY
-        plans = [("plain", np.zeros(self.width), math.acos(least))]
-        if self.width <= BITS and half < far:
-            plans.insert(0, ("learned", mean, 2 * math.asin(half / far)))
-        best = self.__dict__.copy()
-        for plan, centre, angle in plans:
+        centres = [(zero, math.acos(least))]
+        if plan == "learned" and half < far:
+            centres.append((mean, 2 * math.asin(half / far)))
+        best, cost = {}, math.inf
+        for centre, angle in centres:
+            rng = np.random.default_rng(42)
             meet = (1 - angle / math.pi) ** bits
             tables = max(1, math.ceil(math.log(MISS) / math.log1p(-meet)))
-            if rows * tables * COPY >= cost:
-                continue
-            self.plan, self.mean, self.w, self.tables = plan, centre, bits, tables
-            self.planes, self.radius = self._planes(sample, rng), within(bits * tables, angle / math.pi)
-            if plan == "learned" and self.missed(sample, least, rng) > 2 * MISS:
+            # tables alone cost more than what is found
+            if best and rows * tables * COPY >= cost:
                 continue
-            # bits that are learned win unless others are a tenth cheaper
-            own = self._cost(sample, rows) * (0.9 if plan == "learned" else 1.0)
-            if own < cost:
+            self.mean, self.w, self.tables = centre, bits, tables
+            while True:
+                self.planes, self.radius = self._planes(sample, rng), within(bits * self.tables, angle / math.pi)
+                missed, widest = self.missed(sample, least)
+                self.radius = max(self.radius, widest)
+                if missed <= 2 * MISS or self.tables >= 4 * tables:
+                    break
+                self.tables += -(-self.tables // 4)
+            own = self._cost(sample, rows)
+            if own <= cost:
                 cost, best = own, self.__dict__.copy()
         self.__dict__.update(best)
 
@@ -102,7 +112,6 @@ class Codes:
         if self.plan == "learned":
             centred = sample - self.mean
             _, axes = np.linalg.eigh(centred.T @ centred)
-            axes = axes[:, ::-1]  # those of most variance first
             parts = [axes @ rotation(centred @ axes, rng) for _ in range(-(-need // self.width))]
         else:
             bits = min(BITS, self.width)
@@ -121,16 +130,18 @@ class Codes:
             total += float((m * m / 2 + COPY * m * np.ceil(m / BLOCK)).sum())
         return total
 
-    def missed(self, sample: np.ndarray, least: float, rng: np.random.Generator) -> float:
-        """Share of pairs at the threshold, made of sample rows turned towards others, that meet in no table."""
+    def missed(self, sample: np.ndarray, least: float) -> tuple[float, int]:
+        """Share of pairs at the threshold, made of sample rows turned towards others, that meet in no table, and the most bits they differ by."""
+        rng = np.random.default_rng(43)
         some = sample[rng.integers(len(sample), size=SAMPLE_ROWS)]
         to = sample[rng.integers(len(sample), size=SAMPLE_ROWS)]
         to = to - (to * some).sum(axis=1, keepdims=True) * some
         length = np.linalg.norm(to, axis=1)
         some, to = some[length > 1e-6], to[length > 1e-6] / length[length > 1e-6, None]
         if not len(some):
-            return 0.0
-        return float((self.of(some) != self.of(least * some + math.sqrt(1 - least * least) * to)).all(axis=1).mean())
+            return 0.0, 0
+        x, y = self.bits(some), self.bits(least * some + math.sqrt(1 - least * least) * to)
+        return float((self.substrings(x) != self.substrings(y)).all(axis=1).mean()), int((x != y).sum(axis=1).max())
 
     def bits(self, rows: np.ndarray) -> np.ndarray:
         return (rows - self.mean) @ self.planes >= 0
@@ -173,13 +184,13 @@ def rotation(data: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return turn
 
 
-def fit(rows: DataFrame, n: int, least: float = COSINE) -> Codes | None:
+def fit(rows: DataFrame, n: int, least: float = COSINE, plan: str = "learned") -> Codes | None:
     """Codes learned from (v array<double>): vectors of the sample's most common length."""
     got = vectors_of(rows.orderBy(F.xxhash64("v")).limit(SAMPLE_ROWS))
     if not got:
         return None
     width = max(got, key=lambda k: (len(got[k]), k))
-    return Codes(unit(got[width]), n, least)
+    return Codes(unit(got[width]), n, least, plan)
 
 
 def vectors_of(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -247,7 +258,7 @@ def links_in_block(x: dict, y: dict, same: bool, pairs, least: float) -> tuple[n
     return counts_x, counts_y, forest
 
 
-def near_duplicate_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
+def near_duplicate_vectors(embeddings: DataFrame, least: float = COSINE, plan: str = "learned") -> DataFrame:
     """One row for each row of ``embeddings(vec_id, embedding)``.
 
     ``n_links`` counts the other rows whose cosine is ``least`` or more,
@@ -256,7 +267,8 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = COSINE) -> Data
     non-finite components link with nothing, nor do vectors of different
     lengths. Equal vectors and repeated rows are linked; a null vec_id stays
     null in its own row and is no component's name unless no other is there.
-    An empty table gives no row; extra columns are left alone.
+    An empty table gives no row; extra columns are left alone. ``plan``: see
+    ``Codes``; ``whole`` is exact, and takes all pairs.
     """
     spark = embeddings.sparkSession
     common.ship(spark)
@@ -265,7 +277,7 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = COSINE) -> Data
     rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), digest))
     classes = common.materialise(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("v").alias("v")), "vectors")
     total = classes.count()
-    codes = fit(classes, total, least)
+    codes = fit(classes, total, least, plan)
     if codes is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     # a node's order is that of its least id, so that a component's name has it too; rows without an id come last

@@ -171,3 +171,39 @@ def test_registered_queries(spark, sf):
     links, label = components(ids, x, 0.9)
     rows = {r.vec_id: r for r in queries.op7_vector_dedup(spark, sf).collect()}
     assert [(rows[i].n_links, rows[i].component_id) for i in ids] == list(zip(links.tolist(), label.tolist()))
+
+
+@pytest.mark.parametrize("rows,offset", [(2, 0.0), (500, 0.0), (500, 1.5), (2000, 0.3), (50_000, 0.0)])
+def test_rotations_are_learned_at_every_size(rows, offset):
+    """Recall through the learned codes, of pairs about the threshold, against all pairs."""
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(min(rows, 2000) // 2, 64))
+    x[:, 0] += offset * 8
+    x = vector_dedup.unit(np.vstack([x, x + rng.normal(scale=0.05, size=x.shape) * np.abs(x).mean(axis=1, keepdims=True) * rng.uniform(0, 12, size=(len(x), 1))]))
+    made = vector_dedup.Codes(x, rows)
+    assert made.plan == "learned" and made.w >= 4 and made.planes.shape == (64, made.w * made.tables)
+    codes, bits = made.of(x), made.bits(x)
+    r, c = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    meet = [(codes[a] == codes[b]).any() and (bits[a] != bits[b]).sum() <= made.radius for a, b in zip(r[:20_000], c[:20_000])]
+    assert np.mean(meet) >= 0.999
+
+
+def test_query_takes_its_method(spark, sf, monkeypatch):
+    """The registered query's codes are learned; its links are those of all pairs."""
+    made = []
+    real = vector_dedup.fit
+    monkeypatch.setattr(vector_dedup, "fit", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    table = common.table(spark, sf, "embeddings")
+    got = sorted(tuple(r) for r in queries.op7_vector_dedup(spark, sf).collect())
+    assert [(c.plan, c.tables > 1, c.planes.shape[0]) for c in made] == [("learned", True, 64)]
+    exact = sorted(tuple(r) for r in vector_dedup.near_duplicate_vectors(table, plan="whole").collect())
+    assert made[-1].plan == "whole" and got == exact
+
+
+@pytest.mark.parametrize("plan", ["learned", "plain", "whole"])
+def test_ties_at_the_threshold(spark, plan):
+    """A cosine of exactly 0.9 is a link, one a little below isn't."""
+    rows = [(0, [10.0, 0.0, 0.0, 0.0, 0.0]), (1, [9.0, 4.0, 1.0, 1.0, 1.0]), (2, [0.0, 0.0, 0.0, 0.0, -10.0]), (3, [4.0, 1.0, 1.0, 1.0, -9.0 + 2**-30])]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicate_vectors(frame_, plan=plan).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0}
