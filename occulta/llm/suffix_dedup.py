@@ -177,6 +177,8 @@ def repeated_runs(docs: DataFrame, drawn: DataFrame) -> DataFrame:
     """(id, runs): for documents of ``drawn`` the runs (x, y) of places at which a string begins that begins elsewhere too."""
     flat = drawn.select("id", F.explode(F.arrays_zip("h", "s", "a", "e")).alias("x")).select("id", "x.*")
     words = flat.groupBy("h").agg(F.count("*").alias("c"), (F.min("s") != F.max("s")).alias("several")).filter("c > 1").select("h", "several")
+    # written, so that both sides of the join are plain exchanges, which the skew join can split
+    words = common.materialise(words, "words")
     met = common.materialise(flat.join(words, "h"), "repeated")
     kinds = met.filter("several").groupBy("h", "s").agg(F.min(F.struct("id", "a", "e")).alias("x"), F.count("*").alias("n")).select("h", "s", "x.*", "n")
     kinds = common.materialise(kinds, "kinds")

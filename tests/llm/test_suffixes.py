@@ -107,7 +107,8 @@ def test_what_is_left(spark):
     shared = "".join(rng.choice(list("abcdefgh"), size=300))
     rows = spark.createDataFrame([(1, "x1 " + shared + " y1"), (2, "x2 " + shared + " y2"), (3, "alone")], "doc_id long, text string")
     got = {r.doc_id: bytes(r.kept) if r.kept is not None else None for r in suffix_dedup.without_repeats(rows, keep_bytes=True).collect()}
-    assert got == {1: b"x11", 2: b"x22", 3: None} or got == {1: b"x1y1", 2: b"x2y2", 3: None} or all(shared[50:250].encode() not in (v or b"") for v in got.values())
+    # the spaces and the letter around the passage are part of what repeats
+    assert got == {1: b"x1" + b"1", 2: b"x2" + b"2", 3: None}
     assert suffix_dedup.without_repeats(rows.filter("false")).count() == 0
 
 
