@@ -49,8 +49,8 @@ SCHEMA = "vec_id long, n_links long, component_id long, kept boolean"
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one, safe for very large and very small numbers."""
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    """Rows scaled to length one, first by a power of two, which rounds nothing and keeps squares of very large and very small numbers in bounds."""
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
