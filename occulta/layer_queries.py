@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import checksums
 from .functions import spans as S
-from .operators import lists, masker, soft, vault
+from .operators import lists, masker, presets, soft, vault
 from .operators.masker import Masker
 from .operators.recognizers import core
 from .plans import profile
@@ -207,3 +207,11 @@ def dossier_masking(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("dossier"), "doc_id", "text").filter(F.expr(mail[0].needs.format(text="text"))).filter(F.expr(f"text rlike {S.quote(mail[0].pattern)}"))
     files, _, totals = profile.mask_dossiers(docs, Masker(recognizers=mail))
     return totals.join(files.groupBy("dossier").agg(F.count("*").alias("n_files")), "dossier").select("dossier", "n_files", "n_ok")
+
+
+@query("SELECT c_custkey AS k, CAST(s AS INTEGER) AS s, CAST(s + length(v) AS INTEGER) AS e, type, v AS value FROM (SELECT c_custkey, 3 AS s, 'EMAIL' AS type, 'a' || c_custkey || '@b.fr' AS v FROM customer UNION ALL SELECT c_custkey, 3 + length('a' || c_custkey || '@b.fr') + 4, 'TEL', '06 12 34 56 78' FROM customer WHERE c_custkey % 2 = 0)")
+def table_function_matches(spark, sf):
+    """Addresses and numbers found by the SQL table function in a lateral join; texts in which nothing is found have no row."""
+    presets.table_function(spark, "detect_contacts", [r for r in core() if r.type in ("EMAIL", "TEL")])
+    customer(spark, sf, k="c_custkey", text="concat('vu a', c_custkey, '@b.fr et ', if(c_custkey % 2 = 0, '06 12 34 56 78', 'rien'))").createOrReplaceTempView("contact_texts")
+    return spark.sql("SELECT k, s, e, type, value FROM contact_texts, LATERAL detect_contacts(text)")

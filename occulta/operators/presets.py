@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.spans import NONE, let, resolved
 from . import lists
 from .masker import Masker
-from .spec import custom_recognizers
+from .recognizers import core
+from .spec import Recognizer, custom_recognizers
 
 
 def _words(spark: SparkSession, table: DataFrame | None, column: str) -> DataFrame:
@@ -36,3 +38,17 @@ def standard(
 def web(policy: dict[str, bool] | None = None, allow: str = "false", models: dict[str, Callable[[DataFrame], object]] | None = None) -> Masker:
     """Recognisers and models, first the allow list, then the policy."""
     return Masker(extra=dict(models or {}), keep=f"NOT coalesce({allow}, false) AND {lists.by_policy(lists.policy(policy))}")
+
+
+def table_function(spark: SparkSession, name: str = "detect_pii", recognizers: list[Recognizer] | None = None) -> None:
+    """Register an SQL table function of a text: (s, e, type, value, score) of what the recognisers find, resolved.
+
+    Its body is SQL, which Catalyst puts in place of the call: ``SELECT ... FROM docs, LATERAL detect_pii(text)``.
+    Null text counts as empty.
+    """
+    found = ", ".join(r.sql("t") for r in (core() if recognizers is None else recognizers))
+    spans = let("t", "coalesce(text, '')", resolved(f"concat({NONE}, {found})"))
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS TABLE(s INT, e INT, type STRING, value STRING, score DOUBLE) "
+        f"RETURN SELECT m.s, m.e, m.type, m.value, m.score FROM (SELECT explode({spans}) AS m)"
+    )
