@@ -19,7 +19,8 @@ from .operators.masker import Masker, highlight, mask_json, replace_outside_toke
 from .operators.recognizers import core
 from .operators.spec import Recognizer
 from .plans import analytics, profile, review, verdict
-from .streaming import index
+from .sources.tables import scratch
+from .streaming import index, retries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -505,6 +506,24 @@ def pending_quarantine(spark, sf):
     return got.select(F.col("src_path").cast("long").alias("user_id"), "fail_count", (F.col("fail_count") >= index.QUARANTINE).alias("quarantined"))
 
 
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_type FROM events WHERE event_type IN ('error', 'purchase', 'signup') AND user_id IS NOT NULL AND ts IS NOT NULL),
+      c AS (SELECT user_id, max(ms) FILTER (WHERE event_type = 'purchase') AS cleared, max(ms) FILTER (WHERE event_type <> 'purchase') AS marked FROM e GROUP BY user_id),
+      n AS (SELECT c.user_id, cleared, marked, least(5, count(e.ms)) AS n, max(e.ms) AS last FROM c LEFT JOIN e ON e.user_id = c.user_id AND e.event_type = 'error' AND (cleared IS NULL OR e.ms > cleared) GROUP BY c.user_id, cleared, marked)
+      SELECT user_id, CASE WHEN n >= 5 THEN 'quarantined' WHEN n > 0 THEN 'waiting' WHEN marked > coalesce(cleared, marked - 1) THEN 'queued' ELSE 'cleared' END AS status, CAST(n AS INTEGER) AS fail_count, marked AS marked_ms,
+      CASE WHEN n BETWEEN 1 AND 4 THEN last + CAST(60000 * power(2, n - 1) AS BIGINT) END AS due_ms FROM n"""
+)
+def stream_quarantine(spark, sf):
+    """Retries and quarantine as a stream's state: errors are failures, purchases successes, sign-ups plain marks."""
+    schema = table(spark, sf, "events").schema
+    kinds = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'indexed' WHEN 'signup' THEN 'marked' END"
+    # a stream's source is a folder or a pattern, which this is for one file
+    attempts = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").select(F.col("user_id").cast("string").alias("src_path"), F.col("ts").cast("timestamp").alias("at"), F.expr(kinds).alias("kind"))
+    out = scratch(spark, "decisions")
+    retries.start(attempts, out, scratch(spark, "retries")).awaitTermination()
+    return retries.standing(spark, out).select(F.col("src_path").cast("long").alias("user_id"), "status", "fail_count", F.unix_millis("marked_at").alias("marked_ms"), F.unix_millis("due_at").alias("due_ms"))
+
+
 @query(f"SELECT sha256(text) AS content_hash, CAST(max(CASE WHEN contains(text, '@mail1.example.com') THEN 1 ELSE 0 END) AS INTEGER) AS stale FROM documents GROUP BY 1")
 def stale_by_value(spark, sf):
     """Contents that hold a value taken off the lists."""

@@ -19,13 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or "/tmp/checkpoints").rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once and read back; the folder, which may hold personal data, goes when the driver ends or :func:`remove` is called."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which goes as the tables of :func:`materialise` do."""
     path = f"{shared_dir(spark)}/occulta-{label}-{uuid.uuid4().hex[:12]}"
     if not _written:
         atexit.register(remove)
     _written.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once and read back; the folder, which may hold personal data, goes when the driver ends or :func:`remove` is called."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
