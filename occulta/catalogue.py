@@ -672,5 +672,20 @@ def dictionary_matches(spark, sf):
     return found.select("doc_id", F.explode("known").alias("m")).select("doc_id", "m.s", "m.e", "m.type")
 
 
+
+_OWN_FORENAME = "concat('N', translate(cast(c_custkey AS string), '0123456789', 'abcdefghij'))"
+
+
+@query(
+    """SELECT c_custkey AS doc_id, CAST(8 + at AS INTEGER) AS s, CAST(8 + at + length(n) + 13 AS INTEGER) AS e, n || ' Durand Petit' AS value FROM
+      (SELECT c_custkey, 'N' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS n, CASE WHEN c_custkey % 4 = 0 THEN 8 ELSE 5 END AS at FROM customer WHERE c_custkey % 3 > 0 AND c_custkey % 4 <> 1)"""
+)
+def forename_list(spark, sf):
+    """Names by a list of as many forenames as customers: a third is not in it, a half counts only after a title."""
+    c = table(spark, sf, "customer").select("c_custkey", F.expr(_OWN_FORENAME).alias("n"))
+    docs = c.select(F.col("c_custkey").alias("doc_id"), F.expr("concat(if(c_custkey % 4 = 0, 'Madame, ', 'Avis '), 'vu avec ', n, ' Durand Petit hier,\n', n, '\nDurand et x', n, ' Durand')").alias("text"))
+    listed = c.filter("c_custkey % 3 > 0").select(F.col("n").alias("forename"), F.expr("c_custkey % 4 IN (0, 1)").alias("homograph"))
+    return lists.forename_spans(docs, listed).select("doc_id", F.explode("names").alias("m")).select("doc_id", "m.s", "m.e", "m.value")
+
 QUERIES |= rule_queries.QUERIES | layer_queries.QUERIES
 ORACLE_SQL |= rule_queries.ORACLE_SQL | layer_queries.ORACLE_SQL

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import NONE, SPAN, hits, let, made, quote, resolved
 from ..sources.tables import materialise
-from .spec import CATALOGUE
+from .recognizers import NAME_WORD, TITLED
+from .spec import CATALOGUE, earlier
 
 NAMES_LEAST, SOFT_LEAST, SOFT_PRIORITY = 0.85, 0.80, 5
 
@@ -199,6 +200,35 @@ def dictionary_spans(docs: DataFrame, gazetteer: DataFrame, priority: int = 75,
     return listed_spans(docs, listed, [c for c in ("doc_id", "mission", "filename") if c in docs.columns], [], span, out)
 
 
+def forename_spans(docs: DataFrame, forenames: DataFrame, priority: int = 45, out: str = "names") -> DataFrame:
+    """``docs`` with ``out``: names that begin with a forename of ``forenames(forename, homograph)``, a list of any size.
+
+    A name is the forename, as it is written in the list, and one to three name
+    words on its line. One that is a ``homograph`` counts only after a title. The
+    texts' distinct words that stand before a name word, and their parts from a
+    hyphen or apostrophe on, meet the list by an equality join; then each text is
+    searched for the few that it has, so no list is in the plan. A forename
+    listed both ways counts without a title; those that aren't one word of
+    letters, hyphens and apostrophes are left out. Null text counts as empty, an
+    empty list finds nothing, and rows with the same or no id stay apart.
+    """
+    listed = forenames.filter(r"forename rlike r'^\p{L}[\p{L}\u0027’\-]*$'").groupBy("forename").agg(F.min(F.coalesce("homograph", F.lit(False))).alias("homograph"))
+    marked = keyed(docs, *[c for c in ("doc_id", "mission", "filename") if c in docs.columns]).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    before_name = quote(rf"(?U)[\w'’\-]+(?=[^\S\n]+{NAME_WORD})")
+    parts = "transform(filter(sequence(1, length(w)), i -> i = 1 OR substring(w, i - 1, 1) IN ('-', '\\'', '’')), i -> substring(w, i))"
+    words = f"array_distinct(flatten(transform(array_distinct(regexp_extract_all(__text, {before_name}, 0)), w -> {parts})))"
+    said = marked.select("__key", F.explode_outer(F.expr(words)).alias("forename")).filter("forename IS NOT NULL")
+    # the longest first, as one may begin another
+    kinds = [F.array_sort(F.collect_set(F.when(F.col("homograph") == h, F.struct((-F.length("forename")).alias("n"), "forename")))).alias(f"__h{int(h)}") for h in (False, True)]
+    met = said.join(listed, "forename").groupBy("__key").agg(*kinds)
+    tail = quote(rf")[^\S\n]+{NAME_WORD}(?:[^\S\n]+{NAME_WORD}){{0,2}}")
+    found = []
+    for k, wanted in enumerate(("true", earlier("__text", TITLED))):
+        x = hits("__text", rf"concat(r'(?U)\b(?:', array_join(__h{k}.forename, '|'), {tail})")
+        found.append(f"CASE WHEN size(__h{k}) > 0 THEN transform(filter({x}, x -> {wanted}), x -> {made('NOM', '1.0D', priority)}) ELSE {NONE} END")
+    return marked.join(met, "__key", "left").withColumn(out, F.expr(f"CASE WHEN __h0 IS NULL THEN {NONE} ELSE concat({', '.join(found)}) END")).drop("__h0", "__h1", "__key", "__text")
+
+
 SERVED, LEAST_SERVED = "⟦NOM_∎⟧", 3
 
 

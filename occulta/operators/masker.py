@@ -31,7 +31,8 @@ class Masker:
     ``extra``: functions from the DataFrame to a column of spans, by name;
     ``keep``: SQL over a span ``m`` that says which to keep (policy and lists);
     ``forms``: whether form rules run; ``dictionary``: known values (value,
-    entity_type), found whatever their case and accents; ``lists``: tables that
+    entity_type), found whatever their case and accents; ``forenames``: a list of any size (see
+    ``lists.forename_spans``), beside the recognisers'; ``lists``: tables that
     keep matches in clear; ``variants``: names that share a distinctive word get
     one number (see ``vault.allocate``). Where there are ``extra`` sources, names of a model's
     are looked for in the whole text. Null text counts as empty.
@@ -48,6 +49,7 @@ class Masker:
     variants: bool = True
     dictionary: DataFrame | None = None
     lists: L.Lists | None = None
+    forenames: DataFrame | None = None
 
     def register_detector(self, name: str, fn: Callable[[DataFrame], object]) -> None:
         """Add a source of spans: a function from a DataFrame to a span column, such as a pandas UDF's."""
@@ -60,6 +62,9 @@ class Masker:
         if self.dictionary is not None:
             names.append("__known")
             docs = L.dictionary_spans(docs, self.dictionary, out="__known")
+        if self.forenames is not None:
+            names.append("__forenames")
+            docs = L.forename_spans(docs, self.forenames, out="__forenames")
         docs = docs.withColumn("__low", F.lower("text"))
         for k, r in enumerate([*self.recognizers, *self.extra_recognizers]):
             names.append(f"__r{k}")

@@ -23,6 +23,7 @@ STREET = "(?:" + "|".join(sorted(map(r"{}\.?".format, STREETS), key=len, reverse
 #: Forms of address in French, in full and as abbreviated.
 TITLES = ("Monsieur", "Madame", "Mademoiselle", "Maître", "Maitre", "Docteur", "Professeur", "Mme", "Mlle", r"M\.", "Me", "Dr", "Pr", "Mgr")
 TITLE = f"(?:{'|'.join(TITLES)})"
+TITLED = rf"(?U)\b{TITLE}\b"
 #: Own list: abbreviations of banking, taxes and law that stand in capitals beside names and are none.
 ABBREVIATIONS = "APE BIC CAF CIF DCC DER DIC EUR IBAN ISIN KYC LDD NAF OPCVM PEA PEL PER RCS RIB RTO SCPI SIREN SIRET SPI SWIFT TVA URSSAF".split()
 NAME_WORD = rf"(?!(?:{'|'.join(ABBREVIATIONS)})\b)\p{{Lu}}[\p{{L}}'’\-]+"
@@ -71,9 +72,13 @@ def core(forenames: tuple[str, ...] = FORENAMES, homographs: tuple[str, ...] = H
     Numbers follow the forms that standards and law give them: IBAN (ISO 13616),
     ISIN (ISO 6166), SIREN and SIRET, NIR, tax and tele-declarant numbers as
     the tax office prints them, the French numbering plan. These forms are
-    fixed values; so are the words of the labels before them.
+    fixed values; so are the words of the labels before them. Lists of thousands
+    of forenames are for ``lists.forename_spans``; with an empty one here names
+    are told by it alone.
     """
     number = r"n(?:°|o|um[ée]ro)"
+    by_forename = [Recognizer("NOM", names_after(forenames), 45)] if forenames else []
+    by_homograph = [Recognizer("NOM", names_after(homographs), 45, before=TITLED, needs=f"({_TITLED} AND {some_of('{text}', *homographs)})")] if homographs else []
     return [
         Recognizer("EMAIL", MAILBOX, 100, needs=_AT),
         Recognizer("IBAN", r"(?U)\b[A-Z]{2}\d{2}(?:[ .\-]?[A-Z0-9]{4}){2,7}(?:[ .\-]?[A-Z0-9]{1,3})?\b", 95, check=checksums.iban, otherwise=0.5, needs=_DIGIT),
@@ -92,8 +97,8 @@ def core(forenames: tuple[str, ...] = FORENAMES, homographs: tuple[str, ...] = H
         # house number, kind of street and its name, then postcode and town
         Recognizer("ADRESSE", rf"(?iuU)\b\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s+{STREET}(?:\s+(?!\d{{5}}\b)[\p{{L}}\p{{N}}'’\-]+){{1,5}}(?:,?\s+\d{{5}}\s+\p{{L}}[\p{{L}}'’\-]*(?:[ \-](?-i:\p{{Lu}})[\p{{L}}'’\-]*)*)?", 55, needs=_DIGIT),
         Recognizer("NOM", rf"(?U)\b{TITLE}[^\S\n]+{NAME_WORD}(?:[^\S\n]+{NAME_WORD}){{0,3}}", 50, needs=_TITLED),
-        Recognizer("NOM", names_after(forenames), 45),
-        Recognizer("NOM", names_after(homographs), 45, before=rf"(?U)\b{TITLE}\b", needs=f"({_TITLED} AND {some_of('{text}', *homographs)})" if homographs else None),
+        *by_forename,
+        *by_homograph,
         Recognizer("POSTE", rf"(?iuU)\b{ROLE}\b{QUALIFIER}{COMPANY}", 40, needs=_OFFICE),
         Recognizer("URL", rf"(?iuU)\b(?:(?:{SCHEMES})://|www\.){URI_CHARS}+|\b(?:{HOST_LABEL}\.)+[a-z]{{2,63}}/{URI_CHARS}+", 42, needs=_PAGE),
     ]

@@ -32,6 +32,12 @@ ENTITIES = (
 CATALOGUE = {e.name: e for e in ENTITIES}
 
 
+def earlier(text: str, pattern: str, reach: int = 60) -> str:
+    """SQL: whether ``pattern`` occurs before a match ``x``, on its line and within ``reach`` characters."""
+    line = rf"substring_index(substring({text}, greatest(1, x.s + 1 - {reach}), least(x.s, {reach})), '\n', -1)"
+    return f"{line} rlike {quote(pattern)}"
+
+
 @dataclass(frozen=True)
 class Recognizer:
     """A pattern in Java's syntax and what becomes of its matches.
@@ -66,8 +72,7 @@ class Recognizer:
             else:
                 score = f"if({self.check('x.v')}, 1.0D, {self.otherwise}D)"
         if self.before is not None:
-            line = rf"substring_index(substring({text}, greatest(1, x.s + 1 - {self.reach}), least(x.s, {self.reach})), '\n', -1)"
-            wanted.append(f"{line} rlike {quote(self.before)}")
+            wanted.append(earlier(text, self.before, self.reach))
         no = f"WHEN NOT {self.needs.format(text=text, low=low or f'lower({text})')} THEN {NONE} " if self.needs else ""
         return f"CASE {no}WHEN {text} rlike {quote(self.pattern)} THEN transform(filter({x}, x -> {' AND '.join(wanted)}), x -> {made(self.type, score, self.priority)}) ELSE {NONE} END"
 

@@ -82,20 +82,40 @@ def processor(most: int = QUARANTINE, first_wait_s: float = FIRST_WAIT_S) -> Sta
     return Retries()
 
 
-def decisions(attempts: DataFrame, most: int = QUARANTINE, first_wait_s: float = FIRST_WAIT_S, event_time: bool = False) -> DataFrame:
+def thinned(attempts: DataFrame, most: int = QUARANTINE) -> DataFrame:
+    """``attempts`` without those that can't count: of each Arrow batch and file the last ``most`` failures, mark and success stay.
+
+    So a file that is tried over and over sends a few rows a batch to its state,
+    and says the same.
+    """
+
+    def run(batches):
+        for b in batches:
+            b = b.sort_values("at", ascending=False, kind="stable")
+            place = b.groupby(["src_path", "kind"]).cumcount()
+            yield b[(place < 1) | ((b["kind"] == "failed") & (place < most))]
+
+    rows = attempts.filter("src_path IS NOT NULL AND at IS NOT NULL AND kind IN ('marked', 'failed', 'indexed')").select("src_path", "at", "kind")
+    return rows.mapInPandas(run, ATTEMPTS)
+
+
+def decisions(attempts: DataFrame, most: int = QUARANTINE, first_wait_s: float = FIRST_WAIT_S, watermark: str | None = None) -> DataFrame:
     """Streaming (src_path, status, fail_count, marked_at, due_at) of streaming ``attempts(src_path, at, kind)``.
 
     ``kind`` is ``marked`` (wanted, not tried), ``failed`` or ``indexed``; other
-    kinds, and rows without a path or time, count for nothing; times count in whole
-    milliseconds, the rest cut off. Failures up to the last success are forgotten, one at the same moment too. A file has a row
-    in each micro-batch that has attempts at it: ``queued``, ``waiting`` until
-    ``due_at``, ``quarantined`` once it has failed ``most`` times (more aren't
-    counted) or ``cleared``; and a row ``retry`` when its time comes. Timers run
-    by the clock, or with ``event_time`` by the watermark, which ``attempts``
-    must have on ``at``. Needs the ``PROVIDER`` state store.
+    kinds, and rows without a path or time, count for nothing; times count in
+    whole milliseconds, the rest cut off. Failures up to the last success are
+    forgotten, one at the same moment too. A file has a row in each micro-batch
+    that has attempts at it: ``queued``, ``waiting`` until ``due_at``,
+    ``quarantined`` once it has failed ``most`` times (more aren't counted) or
+    ``cleared``; and a row ``retry`` when its time comes. Timers run by the
+    clock, or by the attempts' own times, ``watermark`` behind the latest one.
+    Needs the ``PROVIDER`` state store.
     """
-    rows = attempts.filter("src_path IS NOT NULL AND at IS NOT NULL AND kind IN ('marked', 'failed', 'indexed')").select("src_path", "at", "kind")
-    mode = "EventTime" if event_time else "ProcessingTime"
+    rows = thinned(attempts, most)
+    if watermark is not None:
+        rows = rows.withWatermark("at", watermark)
+    mode = "ProcessingTime" if watermark is None else "EventTime"
     return rows.groupBy("src_path").transformWithStateInPandas(processor(most, first_wait_s), DECISIONS, "Append", mode)
 
 
@@ -112,7 +132,7 @@ def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def start(attempts: DataFrame, path: str, checkpoint: str, available_now: bool = True, event_time: bool = False, **options):
+def start(attempts: DataFrame, path: str, checkpoint: str, available_now: bool = True, watermark: str | None = None, **options):
     """A query that appends ``decisions`` to a Parquet table, each row with its ``epoch``; a batch done twice replaces itself.
 
     With ``available_now`` it ends once all attempts are worked off. Timers by
@@ -120,12 +140,12 @@ def start(attempts: DataFrame, path: str, checkpoint: str, available_now: bool =
     ``due`` tells what is to be tried, and a query that goes on needs none.
     """
     # batches without data would follow each other for ever while timers run by the clock
-    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER} | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now and not event_time else {})
+    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER} | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if available_now and watermark is None else {})
 
     def each(rows: DataFrame, epoch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    writer = decisions(attempts, event_time=event_time, **options).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = decisions(attempts, watermark=watermark, **options).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     with _settings(attempts.sparkSession, settings):
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 

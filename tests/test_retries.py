@@ -24,8 +24,6 @@ def feed(spark, tmp_path):
 
     def run(**options):
         stream = spark.readStream.schema(retries.ATTEMPTS).parquet(str(source))
-        if options.get("event_time"):
-            stream = stream.withWatermark("at", "0 seconds")
         query = retries.start(stream, str(tmp_path / "out"), str(tmp_path / "check"), **options)
         query.awaitTermination(120)
         assert query.exception() is None
@@ -63,16 +61,22 @@ def test_order_and_batches_don_t_matter(spark, tmp_path, feed):
 
 def test_retry_comes_when_due(spark, feed):
     feed.put([("a", 0, "failed"), ("a", 10, "failed"), ("z", 0, "marked")])
-    feed.run(event_time=True, first_wait_s=30.0)
+    feed.run(watermark="0 seconds", first_wait_s=30.0)
     rows = spark.read.schema(retries.DECISIONS + ", epoch bigint").parquet(feed.out)
     assert rows.filter("status = 'retry'").isEmpty()
     feed.put([("z", 80, "marked")])  # the watermark passes 10 s + 2 * 30 s
     feed.put([("z", 90, "marked")])
-    feed.run(event_time=True, first_wait_s=30.0)
+    feed.run(watermark="0 seconds", first_wait_s=30.0)
     due = rows.sparkSession.read.schema(retries.DECISIONS + ", epoch bigint").parquet(feed.out).filter("status = 'retry'").select("src_path", "fail_count", F.col("due_at").cast("long").alias("due")).collect()
     assert [(r.src_path, r.fail_count, r.due - int(T0.timestamp())) for r in due] == [("a", 2, 70)]
 
 
+def test_a_hot_file_sends_few_rows(spark):
+    rows = spark.range(20000).selectExpr("'hot' AS src_path", "timestamp_millis(id) AS at", "CASE WHEN id % 9 = 0 THEN 'marked' WHEN id = 7000 THEN 'indexed' ELSE 'failed' END AS kind").coalesce(2)
+    got = retries.thinned(rows).groupBy("kind").agg(F.count("*").alias("n"), F.max("at").cast("double").alias("last")).collect()
+    assert sum(r.n for r in got) <= 4 * 7 and {r.kind: r.last for r in got} == {"marked": 19998 / 1000, "failed": 19999 / 1000, "indexed": 7.0}
+
+
 def test_as_the_batch_says(spark, feed):
     rows = [(f"p{k % 7}", k, "failed" if k % 3 else "marked") for k in range(60)]
     feed.put(rows)
