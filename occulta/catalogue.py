@@ -677,8 +677,8 @@ _OWN_FORENAME = "concat('N', translate(cast(c_custkey AS string), '0123456789',
 
 
 @query(
-    """SELECT c_custkey AS doc_id, CAST(8 + at AS INTEGER) AS s, CAST(8 + at + length(n) + 13 AS INTEGER) AS e, n || ' Durand Petit' AS value FROM
-      (SELECT c_custkey, 'N' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS n, CASE WHEN c_custkey % 4 = 0 THEN 8 ELSE 5 END AS at FROM customer WHERE c_custkey % 3 > 0 AND c_custkey % 4 <> 1)"""
+    """SELECT c_custkey AS doc_id, CAST(8 + before AS INTEGER) AS s, CAST(8 + before + length(n) + 13 AS INTEGER) AS e, n || ' Durand Petit' AS value FROM
+      (SELECT c_custkey, 'N' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS n, CASE WHEN c_custkey % 4 = 0 THEN 8 ELSE 5 END AS before FROM customer WHERE c_custkey % 3 > 0 AND c_custkey % 4 <> 1)"""
 )
 def forename_list(spark, sf):
     """Names by a list of as many forenames as customers: a third is not in it, a half counts only after a title."""
