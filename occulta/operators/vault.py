@@ -287,6 +287,88 @@ def surrogate(key: str = KEY, variant: str = "''") -> Column:
     return F.expr(f"concat({made}, if({variant} = '', '', concat('-', {variant})))")
 
 
+#: Digits that a type's stand-in is made of, more if its number has more; those that end in a Luhn digit.
+DIGITS = {"NOM": 8, "IBAN": 11, "SECU": 10, "TEL": 6, "SIREN": 8, "SIRET": 13, "ISIN": 9}
+_LUHN = ("SIREN", "SIRET", "ISIN")
+#: Digits beyond which check digits are made by a slower expression; the syllable of each pair of digits.
+_USUAL = 14
+_SYLLABLES = [c + v for c in "bcdfgjklmnprstvxzhqw" for v in "aeiou"]
+
+
+def _shuffle(key: str) -> list[tuple[str, str]]:
+    """Names and SQL, each of those before: the digits ``__d`` that a number becomes by a keyed permutation, so that different numbers never give the same.
+
+    The rounds of :func:`shuffled` without lambdas, so that Spark compiles them where they are columns.
+    """
+    wide = " ".join(f"WHEN '{t}' THEN greatest({n}, length(cast(number AS string)))" for t, n in DIGITS.items())
+    steps = [("__wd", f"CASE type {wide} END"), ("__low", "cast(pow(10, __wd div 2) AS bigint)"), ("__high", "cast(pow(10, __wd - __wd div 2) AS bigint)")]
+
+    def turn(i: int | str, half: str, other: str, size: str) -> str:
+        return f"pmod({half} + pmod(xxhash64({quote(key)}, type, __wd, {i}, {other}), {size}), {size})"
+
+    left, right = "number div __low", "number % __low"
+    steps += [("__l0", left), ("__r0", right)]
+    left, right = "__l0", "__r0"
+    for i in range(1, 2 * FEISTEL_ROUNDS + 1):
+        if i % 2 == 0:
+            steps.append((f"__l{i}", turn(i, left, right, "__high")))
+            left = f"__l{i}"
+        else:
+            steps.append((f"__r{i}", turn(i, right, left, "__low")))
+            right = f"__r{i}"
+    digits = f"concat(lpad(cast({left} AS string), __wd - __wd div 2, '0'), lpad(cast({right} AS string), __wd div 2, '0'))"
+    return [*steps, ("__d", digits), ("__check", _check(left, right))]
+
+
+def _check(left: str, right: str) -> str:
+    """SQL: what a type's check digits are made of: the Luhn sum of all digits, an ISIN's country included, or the rest of the digits by 97.
+
+    Up to ``_USUAL`` digits are added one by one; the lambda for wider ones also
+    keeps Spark from fusing this with the rounds into a method too long for the JVM to compile.
+    """
+
+    def total(half: str, doubled: int) -> str:
+        each = [(i, f"({half} div {10**i} % 10)") for i in range(_USUAL // 2)]
+        return " + ".join(f"{d} * 2 - if({d} > 4, 9, 0)" if i % 2 == doubled else d for i, d in each)
+
+    usual = f"{total(right, 0)} + if(__wd div 2 % 2 = 0, {total(left, 0)}, {total(left, 1)})"
+    wider = f"aggregate(sequence(1, __wd), 0L, (a, i) -> a + {let('x', 'cast(substring(__d, -i, 1) AS int) * if(i % 2 = 1, 2, 1)', 'if(x > 9, x - 9, x)')})"
+    luhn = f"if(__wd <= {_USUAL}, {usual}, {wider}) + CASE WHEN type <> 'ISIN' THEN 0 WHEN __wd % 2 = 0 THEN 9 ELSE 18 END"
+    return f"CASE WHEN type IN {_LUHN} THEN {luhn} WHEN type = 'IBAN' THEN ({left} % 97 * __low + {right}) % 97 END"
+
+
+def _stand_in(key: str, variant: str) -> str:
+    """SQL of a stand-in by the columns of :func:`_shuffle`."""
+
+    def syllable(pair: str, first: bool) -> str:
+        given = ", ".join(map(quote, map(str.capitalize, _SYLLABLES) if first else _SYLLABLES))
+        return f"element_at(array({given}), cast({pair} AS int) + 1)"
+
+    # two digits are a syllable, so that names tell numbers apart
+    even = "if(length(__d) % 2 = 0, __d, concat('0', __d))"
+    usual = ", ".join(syllable(f"substring(__d, {2 * i + 1}, 2)", i == 0) for i in range(DIGITS["NOM"] // 2))
+    wider = f"array_join(transform(regexp_extract_all({even}, '..', 0), (x, i) -> if(i = 0, {syllable('x', True)}, {syllable('x', False)})), '')"
+    name = f"concat(element_at(array({', '.join(map(quote, _FIRST))}), cast(pmod(xxhash64({quote(key)}, number), {len(_FIRST)}) AS int) + 1), ' ', if(__wd = {DIGITS['NOM']}, concat({usual}), {wider}))"
+    tel = f"concat('01 99 ', if(__wd = {DIGITS['TEL']}, concat(substring(__d, 1, 2), ' ', substring(__d, 3, 2), ' ', substring(__d, 5, 2)), array_join(regexp_extract_all(__d, '..?', 0), ' ')))"
+    # the bank's key, then the account's check digits: of 99999 00000, the digits and the key, by 97
+    bank = f"(97 - ({89 * 99999} + 3 * __check) % 97)"
+    whole = f"(({9999900000 % 97} * (__low % 97) * (__high % 97) + __check) * 100 + {bank}) % 97"
+    iban = f"concat('FR', lpad(cast(98 - ({whole} * 1000000 + 152700) % 97 AS string), 2, '0'), '9999900000', __d, lpad(cast({bank} AS string), 2, '0'))"
+    number = "concat('1', substring(__d, 1, 2), '20', substring(__d, 3))"
+    secu = f"concat({number}, lpad(cast(97 - if(__wd <= 15, cast({number} AS bigint) % 97, cast(cast({number} AS decimal(38,0)) % 97 AS bigint)) AS string), 2, '0'))"
+    made = f"""CASE WHEN number IS NULL THEN NULL WHEN type = 'NOM' THEN {name} WHEN type = 'EMAIL' THEN concat('contact', number, '@exemple.invalid') WHEN type = 'IBAN' THEN {iban} WHEN type = 'SECU' THEN {secu} WHEN type = 'TEL' THEN {tel}
+      WHEN type IN ('SIREN', 'SIRET') THEN concat(__d, pmod(-__check, 10)) WHEN type = 'ISIN' THEN concat('FR', __d, pmod(-__check, 10)) ELSE concat(type, '-', number) END"""
+    return f"concat({made}, if({variant} = '', '', concat('-', {variant})))"
+
+
+def with_surrogates(rows: DataFrame, name: str, key: str = KEY, variant: str = "''") -> DataFrame:
+    """``rows(type, number, ...)`` with :func:`surrogate` as ``name``, its steps columns on the way, which Spark compiles."""
+    steps = _shuffle(key)
+    for step, sql in steps:
+        rows = rows.withColumn(step, F.expr(sql))
+    return rows.withColumn(name, F.expr(_stand_in(key, variant))).drop(*(step for step, _ in steps))
+
+
 def masked_value(value: str = "value") -> str:
     """SQL: a value for display, two characters of each word and up to six dots."""
     return f"array_join(transform(split({value}, ' '), w -> concat(substring(w, 1, 2), repeat('•', least(6, greatest(0, length(w) - 2))))), ' ')"
